@@ -1,0 +1 @@
+"""Nothing here on purpose: every input of this library is a finished table."""
