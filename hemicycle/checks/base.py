@@ -23,10 +23,12 @@ def statement(body: str) -> str:
     for name in reversed(_CTES):
         if re.search(rf"\b{name}\b", text):
             used.insert(0, f"{name} AS ({_CTES[name]})")
-            text += _CTES[name]
+            text += "\n" + _CTES[name]
     body = body.strip()
     if not used:
         return body
+    if body.startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ",\n".join(used) + ",\n" + body[15:]
     if body[:5].upper() == "WITH ":
         return "WITH " + ",\n".join(used) + ",\n" + body[5:]
     return "WITH " + ",\n".join(used) + "\n" + body

@@ -202,3 +202,76 @@ def magnitude_sql(source: str, keys: str, total: int, lowest: int, highest: int,
 {out}_r AS (SELECT *, row_number() OVER ({part} ORDER BY population / CAST(k AS DOUBLE) DESC, district, k) AS rn FROM {out}_q),
 {out}_w AS (SELECT * EXCLUDE (k, rn, rest), {lowest} + count(*) FILTER (rn <= rest) AS magnitude FROM {out}_r GROUP BY ALL),
 {out} AS (SELECT * REPLACE (CAST(magnitude AS INT) AS magnitude) FROM {out}_w)"""
+
+
+# ---- geometry: customers as 1 km squares, 40 to a row, some far away ----
+
+def unit_cells(spark, sf) -> DataFrame:
+    """Grid cell of each customer; every 97th lies alone, far to the east."""
+    u = F.col("unit_id")
+    far = F.when(u % 97 == 5, 100).otherwise(0)
+    return units(spark, sf).select("unit_id", "commune", "region", (u % 40 + far).alias("cx"), F.floor(u / 40).alias("cy"))
+
+
+cte("unit_cells", """SELECT unit_id, commune, region, unit_id % 40 + CASE WHEN unit_id % 97 = 5 THEN 100 ELSE 0 END AS cx,
+unit_id // 40 AS cy FROM units""")
+
+_CORNERS = [(0, 0, 0.0, 0.0), (0, 1, 1.0, 0.0), (0, 2, 1.0, 1.0), (0, 3, 0.0, 1.0), (0, 4, 0.0, 0.0)]
+_HOLE = [(1, 0, 0.25, 0.25), (1, 1, 0.75, 0.25), (1, 2, 0.75, 0.75), (1, 3, 0.25, 0.75), (1, 4, 0.25, 0.25)]
+
+
+def vertices(spark, sf) -> DataFrame:
+    """Square outlines in metres; every tenth customer has a square hole."""
+    def corner(c):
+        ring, seq, dx, dy = c
+        return F.struct(F.lit(0).alias("part"), F.lit(ring).alias("ring"), F.lit(seq).alias("seq"),
+                        ((F.col("cx") + dx) * 1000).alias("x"), ((F.col("cy") + dy) * 1000).alias("y"))
+
+    outline, hole = F.array(*map(corner, _CORNERS)), F.array(*map(corner, _HOLE))
+    rings = F.when(F.col("unit_id") % 10 == 3, F.concat(outline, hole)).otherwise(outline)
+    return unit_cells(spark, sf).select("unit_id", "region", F.inline(rings))
+
+
+cte("vertices", f"""SELECT unit_id, region, 0 AS part, ring, seq, (cx + dx) * 1e3 AS x, (cy + dy) * 1e3 AS y
+FROM unit_cells, (VALUES {', '.join(map(str, _CORNERS + _HOLE))}) c(ring, seq, dx, dy) WHERE ring = 0 OR unit_id % 10 = 3""")
+
+
+def edges(spark, sf) -> DataFrame:
+    """Rook neighbours of the customer grid."""
+    from hemicycle.operators.graph import adjacency
+
+    return adjacency(vertices(spark, sf), "rook")
+
+
+cte("edges", """SELECT a.unit_id AS src, b.unit_id AS dst FROM unit_cells a, unit_cells b
+WHERE (b.cx = a.cx + 1 AND b.cy = a.cy) OR (b.cy = a.cy + 1 AND b.cx = a.cx)""".replace(
+    "a.unit_id AS src, b.unit_id AS dst", "LEAST(a.unit_id, b.unit_id) AS src, GREATEST(a.unit_id, b.unit_id) AS dst"))
+
+
+def shapes(spark, sf) -> DataFrame:
+    """One outline per customer: rectangle, right triangle or L shape."""
+    u = F.col("c_custkey")
+    w, h = u % 7 + 1, u % 3 + 2
+    kinds = {
+        0: [(0, 0), (w, 0), (0, h), (0, 0)],
+        1: [(0, 0), (w * 2, 0), (w * 2, h), (w, h), (w, h * 2), (0, h * 2), (0, 0)],
+        2: [(0, 0), (w, 0), (w, h), (0, h), (0, 0)],
+    }
+
+    def ring(corners):
+        return F.array(*[
+            F.struct(F.lit(0).alias("part"), F.lit(0).alias("ring"), F.lit(i).alias("seq"),
+                     *[(F.lit(v) if isinstance(v, int) else v).cast("double").alias(n) for n, v in zip("xy", p)])
+            for i, p in enumerate(corners)
+        ])
+
+    outline = F.when(u % 4 == 0, ring(kinds[0])).when(u % 4 == 1, ring(kinds[1])).otherwise(ring(kinds[2]))
+    return table(spark, sf, "customer").select(u.alias("unit_id"), F.inline(outline))
+
+
+cte("shapes", """SELECT c_custkey AS unit_id, c_custkey % 4 AS kind, CAST(c_custkey % 7 + 1 AS DOUBLE) AS w,
+CAST(c_custkey % 3 + 2 AS DOUBLE) AS h FROM customer""")
+cte("shape_measures", """SELECT unit_id, CASE kind WHEN 0 THEN w * h / 2 WHEN 1 THEN 3 * w * h ELSE w * h END AS area,
+CASE kind WHEN 0 THEN w + h + sqrt(w * w + h * h) WHEN 1 THEN 4 * w + 4 * h ELSE 2 * w + 2 * h END AS perimeter,
+CASE kind WHEN 0 THEN w * h / 2 WHEN 1 THEN 3.5e0 * w * h ELSE w * h END AS hull,
+CASE kind WHEN 1 THEN sqrt(w * w + h * h) ELSE sqrt(w * w + h * h) / 2 END AS r FROM shapes""")
