@@ -425,6 +425,9 @@ def _(spark, sf):
     return graph.contract_graph(b.edges(spark, sf), groups)
 
 
+cte("near", "SELECT src, dst FROM edges WHERE src // 8 = dst // 8 UNION ALL SELECT dst, src FROM edges WHERE src // 8 = dst // 8")
+
+
 @query("h5_connected_components", """WITH RECURSIVE r(unit_id, node) AS (SELECT unit_id, unit_id FROM same_row UNION
  SELECT r.unit_id, n.dst FROM r JOIN near n ON n.src = r.node)
 SELECT unit_id, min(node) AS component FROM r GROUP BY 1""".replace("same_row", "units"))
@@ -437,7 +440,6 @@ def row_edges(spark, sf):
     return b.edges(spark, sf).where("floor(src / 8) = floor(dst / 8)")
 
 
-cte("near", "SELECT src, dst FROM edges WHERE src // 8 = dst // 8 UNION ALL SELECT dst, src FROM edges WHERE src // 8 = dst // 8")
 DEG = "deg AS (SELECT unit_id, region, commune, (SELECT count(*) FROM edges WHERE src = unit_id OR dst = unit_id) AS degree FROM units)"
 
 
@@ -538,7 +540,7 @@ def _(spark, sf):
 
 @query("s4_getis_ord_local", f"""WITH g AS (SELECT src AS unit_id, sum(value) AS near, count(*) AS w FROM ways JOIN zv ON unit_id = dst GROUP BY 1),
 t AS (SELECT count(*) AS n, sum(value) AS s, sum(value * value) AS q FROM zv),
-m AS (SELECT unit_id, near, w, n, s - value AS rest, (s - value) / (n - 1) AS mean, (q - value * value) / (n - 1) - pow((s - value) / (n - 1), 2) AS v FROM zv JOIN g USING (unit_id), t)
+m AS (SELECT unit_id, near, w, t.n, s - value AS rest, (s - value) / (t.n - 1) AS mean, (q - value * value) / (t.n - 1) - pow((s - value) / (t.n - 1), 2) AS v FROM zv JOIN g USING (unit_id), t)
 SELECT unit_id, {R('near / rest', 6)} AS g, {R('(near / rest - w / CAST(n - 1 AS DOUBLE)) / (sqrt(w * (n - 1 - w) * v / (CAST(n - 1 AS DOUBLE) * (n - 1) * (n - 2))) / mean)', 6)} AS z FROM m""")
 def _(spark, sf):
     return rounded(spatial.getis_ord_local(values(spark, sf), b.edges(spark, sf)).select("unit_id", "g", "z"))

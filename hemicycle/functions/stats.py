@@ -91,8 +91,9 @@ def radar(df: DataFrame, id_col: str, directions: dict[str, str]) -> DataFrame:
     return attach(long, span, ["metric"]).select(id_col, "metric", score.alias("score"))
 
 
-def average_rank(order: Column, keys: Iterable[str]) -> Column:
+def average_rank(value: Column, keys: Iterable[str], descending: bool = False) -> Column:
     """Rank with ties sharing their mean, over a domain-bounded group."""
-    w = group_window(keys)
-    first = F.rank().over(w.orderBy(order))
-    return first + (F.count(F.lit(1)).over(group_window([*keys]).partitionBy(*keys, order)) - 1) / 2
+    order = value.desc_nulls_last() if descending else value.asc_nulls_last()
+    first = F.rank().over(group_window(keys).orderBy(order))
+    same = group_window(keys).partitionBy(*keys, value)
+    return first + (F.count(F.lit(1)).over(same) - 1) / 2
