@@ -218,7 +218,7 @@ def _(spark, sf):
 SELECT district, party, seats, COALESCE(bool_or(place = seats AND r.votes = nxt), false) AS tie
 FROM r JOIN seats USING (district, party) GROUP BY ALL""")
 def _(spark, sf):
-    return seats.boundary_tie(candidates(spark, sf), _list_seats(spark, sf))
+    return seats.boundary_tie(candidates(spark, sf), _list_seats(spark, sf), most_seats=30)
 
 
 BEST = "(SELECT district FROM district_votes GROUP BY 1 ORDER BY sum(votes) DESC, district LIMIT 1)"

@@ -40,8 +40,8 @@ def strip(value: Column) -> Column:
 def to_ascii(value: Column) -> Column:
     """Compatibility decomposition, then everything outside ASCII dropped.
 
-    One-letter forms go through ``translate``; only texts that still hold a
-    non-ASCII character look up the rarer several-letter forms.
+    One-letter forms go through ``translate``; only texts that hold one of the
+    rarer several-letter forms are spelled out character by character.
     """
     source, target, several = _ascii_tables()
     plain = F.translate(value, source, target)
@@ -55,7 +55,8 @@ def to_ascii(value: Column) -> Column:
         ),
         "",
     )
-    full = F.when(plain.rlike(r"[^\x00-\x7F]"), spelled).otherwise(plain)
+    rare = F.length(F.translate(plain, "".join(several), "")) < F.length(plain)
+    full = F.when(rare, spelled).otherwise(plain)
     return F.regexp_replace(full, r"[^\x00-\x7F]", "")
 
 

@@ -308,15 +308,26 @@ def elect_candidates(
     return ranked.join(seats.select(*keys, "seats"), keys).where("place <= seats")
 
 
-def boundary_tie(candidates: DataFrame, seats: DataFrame, keys: Sequence[str] = ("district", "party")) -> DataFrame:
-    """Whether the last elected and the first unelected have equal votes."""
+def boundary_tie(
+    candidates: DataFrame,
+    seats: DataFrame,
+    keys: Sequence[str] = ("district", "party"),
+    most_seats: int | None = None,
+) -> DataFrame:
+    """Whether the last elected and the first unelected have equal votes.
+
+    ``most_seats`` drops hopeless rows early, as in ``elect_candidates``.
+    """
     keys = list(keys)
     w = group_window(keys).orderBy(F.col("votes").desc(), "candidate_id")
-    ranked = candidates.select(
-        *keys, "votes", F.row_number().over(w).alias("_place"), F.lead("votes").over(w).alias("_next")
-    ).join(seats.select(*keys, "seats"), keys)
-    tied = (F.col("_place") == F.col("seats")) & (F.col("votes") == F.col("_next"))
-    return ranked.groupBy(*keys, "seats").agg(F.coalesce(F.bool_or(tied), F.lit(False)).alias("tie"))
+    ranked = candidates.select(*keys, "votes", F.row_number().over(w).alias("_place"))
+    if most_seats is not None:
+        ranked = ranked.where(F.col("_place") <= most_seats + 1)
+    at = lambda place: F.max(F.when(F.col("_place") == place, F.col("votes")))
+    both = ranked.join(seats.select(*keys, "seats"), keys).groupBy(*keys, "seats").agg(
+        at(F.col("seats")).alias("_last"), at(F.col("seats") + 1).alias("_next")
+    )
+    return both.select(*keys, "seats", F.coalesce(F.col("_last") == F.col("_next"), F.lit(False)).alias("tie"))
 
 
 def one_against_two_level(votes: DataFrame, magnitudes: DataFrame | int | Column, keys: Sequence[str] = ("district",)) -> DataFrame:

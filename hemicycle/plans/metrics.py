@@ -10,6 +10,7 @@ from hemicycle.functions.frames import attach, ensure, ratio, rnd
 from hemicycle.functions.rules import threshold_columns
 from hemicycle.functions.stats import dist_stats, to_long
 from hemicycle.operators import indices, seats
+from hemicycle.session import cut_lineage
 
 
 def assign_votes(votes: DataFrame, plans: DataFrame) -> DataFrame:
@@ -41,8 +42,8 @@ def district_population(plans: DataFrame, population: DataFrame) -> DataFrame:
     )
 
 
-def _results(plans, votes, population, magnitudes, pacts, threshold, strict, bounds):
-    pop = district_population(plans, population)
+def _results(cast, pop, magnitudes, pacts, threshold, strict, bounds):
+    """Seats of every (plan, district, party), and the district table."""
     if magnitudes is None:
         table = seats.magnitudes_dhondt(pop, ("plan_id",), **bounds)
     else:
@@ -53,7 +54,6 @@ def _results(plans, votes, population, magnitudes, pacts, threshold, strict, bou
             if strict else F.coalesce("magnitude", F.lit(0))
         )
         table = table.withColumn("magnitude", fixed)
-    cast = assign_votes(votes, plans)
     keys = ("plan_id", "district")
     if pacts is None:
         result = seats.run_plan(cast, table, keys, threshold)
@@ -78,7 +78,12 @@ def plan_electoral_metrics(
     **bounds: int,
 ) -> DataFrame:
     """Proportionality, seats and malapportionment of each plan."""
-    result, table = _results(plans, votes, population, magnitudes, pacts, threshold, True, bounds)
+    cast, pop = assign_votes(votes, plans), district_population(plans, population)
+    return _metrics(cast, pop, magnitudes, pacts, threshold, bounds)
+
+
+def _metrics(cast, pop, magnitudes, pacts, threshold, bounds) -> DataFrame:
+    result, table = _results(cast, pop, magnitudes, pacts, threshold, True, bounds)
     shares = seats.national_shares(result, ("plan_id",))
     gap = F.abs(F.col("seat_share") * 100 - F.col("vote_share") * 100)
     party = shares.groupBy("plan_id").agg(
@@ -113,7 +118,8 @@ def electoral_ensemble(
 
     A district without a fixed magnitude gets no seats and is skipped.
     """
-    result, _ = _results(plans, votes, population, magnitudes, pacts, threshold, False, bounds)
+    cast, pop = assign_votes(votes, plans), district_population(plans, population)
+    result, _ = _results(cast, pop, magnitudes, pacts, threshold, False, bounds)
     shares = seats.national_shares(result, ("plan_id",))
     bonus = rnd(F.col("seat_share") * 100 - F.col("vote_share") * 100, 4)
     party = shares.groupBy("plan_id").agg(
@@ -144,10 +150,11 @@ def mode_matrix(
     plan: DataFrame, votes: DataFrame, population: DataFrame, magnitudes: DataFrame, pacts: DataFrame, **bounds: int
 ) -> DataFrame:
     """Metrics of one plan under fixed/computed seats and one/two levels."""
+    cast, pop = cut_lineage(assign_votes(votes, plan)), cut_lineage(district_population(plan, population))
     out = None
     for fixed in (magnitudes, None):
         for level in (None, pacts):
-            part = plan_electoral_metrics(plan, votes, population, fixed, level, **({} if fixed is not None else bounds))
+            part = _metrics(cast, pop, fixed, level, 0.0, bounds)
             out = part if out is None else out.unionByName(part)
     return out
 
