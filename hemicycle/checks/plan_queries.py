@@ -300,7 +300,7 @@ def _(spark, sf):
 @query("g4_convex_hull_ratio", f"SELECT unit_id, {R('area / hull', 6)} AS convex_hull_ratio FROM shape_measures")
 def _(spark, sf):
     v = b.shapes(spark, sf)
-    both = geometry.area_perimeter(v).join(geometry.hull_area(geometry.hull_points(v)), "unit_id")
+    both = geometry.area_perimeter(v).join(geometry.hull_area(geometry.hulls(v)), "unit_id")
     return rounded(both.select("unit_id", (F.col("area") / F.col("hull_area")).alias("convex_hull_ratio")))
 
 

@@ -45,9 +45,8 @@ def to_ascii(value: Column) -> Column:
     """
     source, target, several = _ascii_tables()
     plain = F.translate(value, source, target)
-    table = F.map_from_arrays(
-        F.array(*[F.lit(c) for c in several]), F.array(*[F.lit(c) for c in several.values()])
-    )
+    pairs = "\x02".join(f"{c}\x01{spelling}" for c, spelling in several.items())
+    table = F.str_to_map(F.lit(pairs), F.lit("\x02"), F.lit("\x01"))
     spelled = F.array_join(
         F.transform(
             F.regexp_extract_all(plain, F.lit("(?s)."), F.lit(0)),

@@ -10,12 +10,12 @@ from __future__ import annotations
 
 import math
 import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from hemicycle.functions.frames import attach, ratio, rnd
 from hemicycle.session import cut_lineage
@@ -25,6 +25,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 RING = ["unit_id", "part", "ring"]
 _HULL_CHUNK = 10_000
+_POINT = T.StructType([T.StructField(c, T.DoubleType()) for c in "xy"])
 
 
 def segments(vertices: DataFrame) -> DataFrame:
@@ -114,40 +115,41 @@ def _hull(points: np.ndarray) -> np.ndarray:
     return np.array(half(points) + half(points[::-1]))
 
 
-def hull_points(vertices: DataFrame) -> DataFrame:
-    """Convex hull vertices (unit_id, seq, x, y) of each unit.
+@F.pandas_udf(T.ArrayType(_POINT))
+def _hull_of_points(points: pd.Series) -> pd.Series:
+    """Convex hull of the points of each row."""
+    return points.map(lambda row: [
+        {"x": x, "y": y} for x, y in _hull(np.array([(p["x"], p["y"]) for p in row], float)).tolist()
+    ])
+
+
+def hulls(vertices: DataFrame) -> DataFrame:
+    """Convex hull (unit_id, hull array) of each unit.
 
     Long outlines are first cut to the hulls of pieces of bounded length, so
     the last step of a unit only sees points that may lie on its hull.
     """
-    def reduce(frame: pd.DataFrame) -> pd.DataFrame:
-        hull = _hull(frame[["x", "y"]].to_numpy(float))
-        return pd.DataFrame({"unit_id": frame["unit_id"].iloc[0], "seq": range(len(hull)), "x": hull[:, 0], "y": hull[:, 1]})
+    points = lambda: F.collect_list(F.struct("x", "y"))
+    piece = F.floor(F.col("seq") / _HULL_CHUNK)
+    pieces = vertices.where("ring = 0").groupBy("unit_id", "part", piece.alias("_piece")).agg(points().alias("_p"))
+    corners = pieces.select("unit_id", F.inline(_hull_of_points("_p")))
+    whole = corners.groupBy("unit_id").agg(points().alias("_p"))
+    return whole.select("unit_id", _hull_of_points("_p").alias("hull"))
 
-    kind = dict(vertices.dtypes)["unit_id"]
-    schema = f"unit_id {kind}, seq int, x double, y double"
-    outline = vertices.where("ring = 0").withColumn("_piece", F.floor(F.col("seq") / _HULL_CHUNK))
-    pieces = outline.groupBy("unit_id", "part", "_piece").applyInPandas(reduce, schema)
-    return pieces.groupBy("unit_id").applyInPandas(reduce, schema)
 
+def hull_points(hull: DataFrame) -> DataFrame:
+    return hull.select("unit_id", F.inline("hull"))
 
-def hull_area(hulls: DataFrame) -> DataFrame:
-    """Area of each hull; the outline is closed by its first point."""
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            areas = []
-            for points in frame["points"]:
-                xy = np.array([(p["x"], p["y"]) for p in points])
-                x, y = xy[:, 0], xy[:, 1]
-                areas.append(abs(np.dot(x, np.roll(y, -1)) - np.dot(np.roll(x, -1), y)) / 2)
-            yield pd.DataFrame({"unit_id": frame["unit_id"], "hull_area": areas})
 
-    kind = dict(hulls.dtypes)["unit_id"]
-    points = F.sort_array(F.collect_list(F.struct("seq", "x", "y"))).alias("points")
-    return hulls.groupBy("unit_id").agg(points).mapInPandas(measure, f"unit_id {kind}, hull_area double")
+def hull_area(hull: DataFrame) -> DataFrame:
+    """Area of each hull; the outline is closed by its first point."""
+    h = F.col("hull")
+    following = F.concat(F.slice(h, 2, F.size(h)), F.slice(h, 1, 1))
+    cross = F.zip_with(h, following, lambda p, q: p["x"] * q["y"] - q["x"] * p["y"])
+    return hull.select("unit_id", (F.abs(F.aggregate(cross, F.lit(0.0), lambda a, c: a + c)) / 2).alias("hull_area"))
 
 
-@F.pandas_udf("struct<x:double,y:double,r:double>")
+@F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in "xyr"]))
 def _circle_of_few(points: pd.Series) -> pd.DataFrame:
     """Smallest circle around at most four points per row."""
     full = np.array([[(p["x"], p["y"]) for p in row] + [(row[0]["x"], row[0]["y"])] * (4 - len(row)) for row in points], float)
@@ -210,9 +212,9 @@ def enclosing_circles(points: DataFrame, keys: Sequence[str], max_rounds: int =
 
 def compactness(vertices: DataFrame) -> DataFrame:
     """Polsby-Popper, Schwartzberg, hull ratio, Reock and their mean."""
-    hulls = cut_lineage(hull_points(vertices))
-    circles = enclosing_circles(hulls, ["unit_id"])
-    out = area_perimeter(vertices).join(hull_area(hulls), "unit_id").join(circles.select("unit_id", "r"), "unit_id")
+    hull = cut_lineage(hulls(vertices))
+    circles = enclosing_circles(hull_points(hull), ["unit_id"])
+    out = area_perimeter(vertices).join(hull_area(hull), "unit_id").join(circles.select("unit_id", "r"), "unit_id")
     out = out.select(
         "unit_id",
         polsby_popper(F.col("area"), F.col("perimeter")).alias("polsby_popper"),
@@ -226,9 +228,9 @@ def compactness(vertices: DataFrame) -> DataFrame:
 
 def reock_by_plan(plans: DataFrame, vertices: DataFrame) -> DataFrame:
     """Mean Reock of the districts of each plan; fails outside [0, 1]."""
-    hulls = cut_lineage(hull_points(vertices))
+    corners = hull_points(cut_lineage(hulls(vertices)))
     areas = area_perimeter(vertices).select("unit_id", "area")
-    points = plans.join(hulls.select("unit_id", "x", "y"), "unit_id").select("plan_id", "district", "x", "y")
+    points = plans.join(corners, "unit_id").select("plan_id", "district", "x", "y")
     circles = enclosing_circles(points, ["plan_id", "district"])
     area = plans.join(areas, "unit_id").groupBy("plan_id", "district").agg(F.sum("area").alias("area"))
     value = F.col("area") / (math.pi * F.col("r") * F.col("r"))
