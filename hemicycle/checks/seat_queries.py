@@ -73,13 +73,13 @@ def _(spark, sf):
 
 
 @query("e4_dhondt_two_level", f"WITH {PSRC}, {b.two_level_sql('src', 'district')} "
-       "SELECT district, party, pact, votes, magnitude, pact_seats, seats FROM seats")
+       "SELECT district, party, pact, votes, magnitude, pact_seats, seats, CAST(sum(GREATEST(votes, 0)) OVER (PARTITION BY district) AS BIGINT) AS district_votes FROM seats")
 def _(spark, sf):
     return seats.dhondt_two_level(_pact_votes(spark, sf), b.magnitudes(spark, sf))
 
 
 @query("e4_dhondt_two_level_threshold", f"WITH {PSRC}, {b.two_level_sql('src', 'district', '0.05')} "
-       "SELECT district, party, pact, votes, magnitude, pact_seats, seats FROM seats")
+       "SELECT district, party, pact, votes, magnitude, pact_seats, seats, CAST(sum(GREATEST(votes, 0)) OVER (PARTITION BY district) AS BIGINT) AS district_votes FROM seats")
 def _(spark, sf):
     return seats.dhondt_two_level(_pact_votes(spark, sf), b.magnitudes(spark, sf), threshold=0.05)
 
@@ -88,7 +88,7 @@ CAPPED = PSRC.replace("votes, magnitude", f"votes, {CAPS} AS cap, magnitude")
 
 
 @query("e5_dhondt_two_level_capped", f"WITH {CAPPED}, {b.two_level_sql('src', 'district', cap='cap')} "
-       "SELECT district, party, pact, votes, cap, magnitude, pact_seats, seats FROM seats")
+       "SELECT district, party, pact, votes, cap, magnitude, pact_seats, seats, CAST(sum(GREATEST(votes, 0)) OVER (PARTITION BY district) AS BIGINT) AS district_votes FROM seats")
 def _(spark, sf):
     votes = _pact_votes(spark, sf).withColumn("cap", _caps())
     return seats.dhondt_two_level(votes, b.magnitudes(spark, sf))

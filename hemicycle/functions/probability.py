@@ -30,7 +30,7 @@ def kolmogorov_tail(x: Column, terms: int = 101) -> Column:
     return F.when(x < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), series)))
 
 
-def shuffled(position: Column, size: Column, seed: Column, rounds: int = 24) -> Column:
+def shuffled(position: Column, size: Column, seed: Column, rounds: int = 16) -> Column:
     """Image of ``position`` under a pseudo-random permutation of 0..size-1.
 
     A swap-or-not shuffle: every round pairs position i with (k - i) mod size

@@ -82,7 +82,9 @@ def dhondt(
     source = with_magnitude(votes, magnitudes, keys)
     ranked = _ranked_quotients(source, keys, threshold)
     won = F.sum((F.col("_alive") & (F.col("_rank") <= F.col("magnitude"))).cast("int"))
-    return ranked.groupBy(*source.columns).agg(won.alias("seats"))
+    carried = [c for c in source.columns if c not in (*keys, "party")]
+    out = ranked.groupBy(*keys, "party").agg(*[F.first(c).alias(c) for c in carried], won.alias("seats"))
+    return out.select(*source.columns, "seats")
 
 
 def run_plan(
@@ -122,21 +124,31 @@ def dhondt_two_level(
 ) -> DataFrame:
     """Seats to pacts first, then inside each pact to its parties.
 
+    The parties of a pact travel with it as an array, so the votes are read
+    once and need no join back. ``district_votes`` sums the positive votes.
+
     The threshold holds between pacts only. A ``cap`` column (registered
     candidates) limits the second level; a missing cap is the pact's seats.
     """
     keys = list(keys)
+    inside = [c for c in votes.columns if c not in (*keys, "pact")]
     positive = F.greatest(F.col("votes"), F.lit(0))
-    pact_votes = votes.groupBy(*keys, F.col("pact").alias("party")).agg(F.sum(positive).alias("votes"))
-    pact_seats = dhondt(pact_votes, magnitudes, keys, threshold).select(
+    # the window places a district in one task; every later step keeps to it
+    placed = votes.withColumn("_district_votes", F.sum(positive).over(group_window(keys)))
+    pacts = placed.groupBy(*keys, F.col("pact").alias("party")).agg(
+        F.sum(positive).alias("votes"), F.collect_list(F.struct(*inside, "_district_votes")).alias("_parties")
+    )
+    won = dhondt(pacts, magnitudes, keys, threshold).select(
         *keys,
         F.col("party").alias("pact"),
         F.col("magnitude").alias("district_magnitude"),
         F.col("seats").alias("pact_seats"),
+        F.inline("_parties"),
+    )
+    out = dhondt(won, F.col("pact_seats"), [*keys, "pact"])
+    return out.drop("magnitude").withColumnRenamed("district_magnitude", "magnitude").withColumnRenamed(
+        "_district_votes", "district_votes"
     )
-    inner = votes.join(pact_seats, [*keys, "pact"])
-    out = dhondt(inner, F.col("pact_seats"), [*keys, "pact"])
-    return out.drop("magnitude").withColumnRenamed("district_magnitude", "magnitude")
 
 
 def run_plan_two_level(
@@ -157,11 +169,11 @@ def run_plan_two_level(
         roster = candidates.select(*on, F.col("n_candidates").cast("int").alias("cap"))
         merged = merged.join(roster, on, "left")
     result = dhondt_two_level(merged, magnitudes, keys, threshold).where("magnitude > 0")
-    total = F.sum(F.greatest(F.col("votes"), F.lit(0))).over(group_window(keys))
     return (
-        result.withColumn("votes_pct", rnd(ratio(F.col("votes"), total, 0.0) * 100, 4))
+        result.withColumn("votes_pct", rnd(ratio(F.col("votes"), F.col("district_votes"), 0.0) * 100, 4))
         .withColumn("seats_pct", rnd(F.col("seats") / F.col("magnitude") * 100, 4))
         .withColumn("pact_seats", F.sum("seats").over(group_window([*keys, "pact"])))
+        .drop("district_votes")
     )
 
 

@@ -43,6 +43,7 @@ def moran_global(values: DataFrame, edges: DataFrame, keys: Sequence[str] = (),
     The pseudo p is (1 + the smaller tail count) / (permutations + 1).
     """
     keys = list(keys)
+    edges = cut_lineage(edges.select("src", "dst"))
     z = _centred(values, keys)
     lag = spatial_lag(z.select(*keys, "unit_id", F.col("z").alias("value")), edges, keys)
     both = attach(z, lag, [*keys, "unit_id"])

@@ -8,17 +8,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: int | str = 8, memory: str = "12g", partitions: int = 8) -> SparkSession:
+def local_session(
+    cores: int | str = 8, memory: str = "12g", partitions: int = 8, conf: dict[str, str] | None = None
+) -> SparkSession:
     """A local session for tests and benchmarks; a cluster brings its own."""
-    spark = (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("hemicycle")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
-        .getOrCreate()
     )
+    for key, value in (conf or {}).items():
+        builder = builder.config(key, value)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
