@@ -7,8 +7,24 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from hemicycle.session import cut_lineage
+
 Keys = Iterable[str]
 
+#: rows up to which a side of narrow columns is sent to every executor
+BROADCAST_ROWS = 500_000
+
+
+def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` stored once, and broadcast if its counted rows stay below ``limit``.
+
+    Keeps a long plan table from being shuffled to meet a table of units. The
+    check needs the real size, because Spark's estimate of an aggregated or
+    joined side is far too large. A larger side is joined by a shuffle.
+    """
+    stored = cut_lineage(df)
+    return F.broadcast(stored) if stored.count() <= limit else stored
+
 
 def group_window(keys: Keys) -> WindowSpec:
     """Window over a group whose size the domain bounds (parties, districts)."""

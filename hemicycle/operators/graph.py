@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from hemicycle.functions.frames import attach, group_window, rnd
+from hemicycle.functions.frames import attach, group_window, rnd, small_side
 from hemicycle.functions.nearest import nearest
 from hemicycle.functions.ordered import exact_quantiles, row_index
 from hemicycle.operators.geometry import segments
@@ -50,7 +50,7 @@ def edge_sides(edges: DataFrame, plans: DataFrame) -> DataFrame:
             F.struct(F.col("dst").alias("unit_id"), F.lit(False).alias("_first")),
         )).alias("_end"),
     ).select(*edges.columns, "_end.*")
-    placed = plans.where("district IS NOT NULL").join(ends, "unit_id")
+    placed = plans.where("district IS NOT NULL").join(small_side(ends), "unit_id")
     return placed.groupBy("plan_id", *edges.columns).agg(
         F.max(F.when(F.col("_first"), F.col("district"))).alias("src_district"),
         F.max(F.when(~F.col("_first"), F.col("district"))).alias("dst_district"),

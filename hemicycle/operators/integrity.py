@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hemicycle.functions.frames import attach, group_window, ratio, rnd
+from hemicycle.functions.frames import attach, group_window, ratio, rnd, small_side
 from hemicycle.functions.ordered import exact_quantiles
 from hemicycle.functions.rules import SMALL_FRAGMENT_SHARE, is_split
 
@@ -46,7 +46,7 @@ def max_deviation(plans: DataFrame, population: DataFrame, n_districts: int | No
     present when no number is given.
     """
     pop = (
-        plans.join(population.select("unit_id", "population"), "unit_id", "left")
+        plans.join(small_side(population.select("unit_id", "population")), "unit_id", "left")
         .groupBy("plan_id", "district")
         .agg(F.sum(F.coalesce("population", F.lit(0))).alias("_p"))
     )
@@ -69,25 +69,18 @@ def fragments(plans: DataFrame, units: DataFrame, unit_cols: Sequence[str]) -> D
     levels = F.array(*[F.struct(F.lit(c).alias("level"), F.col(c).cast("string").alias("unit")) for c in unit_cols])
     wide = units.select("unit_id", F.coalesce("population", F.lit(0)).alias("population"), F.inline(levels))
     return (
-        plans.join(wide, "unit_id")
+        plans.join(small_side(wide), "unit_id")
         .groupBy("plan_id", "level", "unit", "district")
         .agg(F.sum("population").alias("population"))
     )
 
 
-def unit_splits(parts: DataFrame, small: float = SMALL_FRAGMENT_SHARE) -> DataFrame:
-    """One row per (plan, level, unit): its districts and small fragments."""
-    share = lambda f: F.when(F.col("population") > 0, f["population"] / F.col("population")).otherwise(0.0)
-    by_unit = parts.groupBy("plan_id", "level", "unit").agg(
+def unit_splits(parts: DataFrame) -> DataFrame:
+    """One row per (plan, level, unit) with its population and districts."""
+    return parts.groupBy("plan_id", "level", "unit").agg(
         F.count(F.lit(1)).alias("n_fragments"),
         F.sum("population").alias("population"),
-        F.sort_array(F.collect_list(F.struct("district", "population"))).alias("_parts"),
-    )
-    tiny = F.size(F.filter("_parts", lambda f: share(f) < small))
-    return by_unit.select(
-        "plan_id", "level", "unit", "n_fragments", "population",
-        F.transform("_parts", lambda f: f["district"]).alias("districts"),
-        F.when(is_split(F.col("n_fragments")), tiny).otherwise(0).alias("small_fragments"),
+        F.sort_array(F.collect_list("district")).alias("districts"),
     )
 
 
@@ -106,15 +99,20 @@ def split_measures(
 
     One row per (plan, level). ``affected_share`` is a fraction.
     """
-    by_unit = unit_splits(fragments(plans, units, unit_cols), small)
-    split = is_split(F.col("n_fragments"))
-    total = F.sum("population")
-    weighted = F.sum((F.col("n_fragments") - 1) * F.col("population"))
-    out = by_unit.groupBy("plan_id", "level").agg(
-        F.count_if(split).alias("split_units"),
-        ratio(weighted, total, 0.0).alias("split_severity"),
-        F.sum("small_fragments").alias("small_fragments"),
-        rnd(ratio(F.sum(F.when(split, F.col("population")).otherwise(0)), total, 0.0), 4).alias("affected_share"),
+    w = group_window(["plan_id", "level", "unit"])  # at most one row per district
+    total, n = F.sum("population").over(w), F.count(F.lit(1)).over(w)
+    parts = fragments(plans, units, unit_cols).withColumns(
+        {"_unit": total, "_n": n, "_first": F.row_number().over(w.orderBy("district")) == 1}
+    )
+    split = is_split(F.col("_n"))
+    tiny = split & (ratio(F.col("population"), F.col("_unit"), 0.0) < small)
+    people = F.sum("population")
+    weighted = F.sum(F.when(F.col("_first"), (F.col("_n") - 1) * F.col("_unit")))
+    out = parts.groupBy("plan_id", "level").agg(
+        F.count_if(F.col("_first") & split).alias("split_units"),
+        ratio(weighted, people, 0.0).alias("split_severity"),
+        F.count_if(tiny).alias("small_fragments"),
+        rnd(ratio(F.sum(F.when(split, F.col("population")).otherwise(0)), people, 0.0), 4).alias("affected_share"),
     )
     counts = units.agg(*[F.count_distinct(c).alias(c) for c in unit_cols]).unpivot([], list(unit_cols), "level", "n_units")
     return out.join(counts, "level").withColumn(

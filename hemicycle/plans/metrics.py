@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from hemicycle.functions.frames import attach, ensure, ratio, rnd
+from hemicycle.functions.frames import attach, ensure, ratio, rnd, small_side
 from hemicycle.functions.rules import threshold_columns
 from hemicycle.functions.stats import dist_stats, to_long
 from hemicycle.operators import indices, seats
@@ -19,7 +19,7 @@ def assign_votes(votes: DataFrame, plans: DataFrame) -> DataFrame:
     Votes are summed per (unit, party) first, so that repeated vote rows do
     not multiply with the number of plans.
     """
-    per_unit = seats.sum_votes(votes, ("unit_id",))
+    per_unit = small_side(seats.sum_votes(votes, ("unit_id",)))
     return (
         plans.where("district IS NOT NULL").join(per_unit, "unit_id")
         .groupBy("plan_id", "district", "party")
@@ -36,7 +36,7 @@ def unmatched_votes(votes: DataFrame, plans: DataFrame) -> DataFrame:
 def district_population(plans: DataFrame, population: DataFrame) -> DataFrame:
     """Population by (plan, district); unknown units count 0."""
     return (
-        plans.join(population.select("unit_id", "population"), "unit_id", "left")
+        plans.join(small_side(population.select("unit_id", "population")), "unit_id", "left")
         .groupBy("plan_id", "district")
         .agg(F.coalesce(F.sum("population"), F.lit(0)).alias("population"))
     )

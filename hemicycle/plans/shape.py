@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from hemicycle.functions.frames import attach, rnd
+from hemicycle.functions.frames import attach, rnd, small_side
 from hemicycle.operators.geometry import polsby_popper
 from hemicycle.operators.graph import cut_edges, edge_sides
 from hemicycle.operators.integrity import max_deviation, split_measures
@@ -20,7 +20,7 @@ def dissolve(plans: DataFrame, measures: DataFrame, borders: DataFrame) -> DataF
     inner = edge_sides(borders, plans).where("src_district = dst_district").groupBy(
         "plan_id", F.col("src_district").alias("district")
     ).agg(F.sum("border").alias("_inner"))
-    outer = plans.join(measures, "unit_id").groupBy("plan_id", "district").agg(
+    outer = plans.join(small_side(measures), "unit_id").groupBy("plan_id", "district").agg(
         F.sum("area").alias("area"), F.sum("perimeter").alias("_sum"), F.count(F.lit(1)).alias("n_units")
     )
     out = attach(outer, inner, ["plan_id", "district"])
