@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from hemicycle.checks import bridge as b
@@ -276,7 +278,7 @@ def _(spark, sf):
 PLAIN = "regexp_replace(strip_accents(lower({0})), '[^\\x00-\\x7F]', '', 'g')"
 
 
-@query("b2_normalize_party_name")
+@query("b2_normalize_party_name", """SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(strip_accents(lower(text)), '[^\\x00-\\x7F]', '', 'g'), '^[\\s\\x1c-\\x1f]+', ''), '[\\s\\x1c-\\x1f]+$', '')) AS digest FROM documents""")
 def _(spark, sf):
     return b.table(spark, sf, "documents").select("doc_id", F.md5(text.normalize_party_name(F.col("text"))).alias("digest"))
 
@@ -360,14 +362,26 @@ def _(spark, sf):
     return rounded_weight.withColumns(rules.representation_flags(F.col("relative_weight")))
 
 
-@query("b16_scenario_rules")
+def _sorted_json(column: str):
+    return F.to_json(F.map_from_entries(F.sort_array(F.map_entries(column))))
+
+
+def _rule_rows() -> str:
+    as_map = lambda m: json.dumps(m, separators=(",", ":"), sort_keys=True)
+    return ", ".join(
+        f"({i}, '{s.name}', '{s.reform}', '{s.decision_unit}', '{as_map(s.modes())}', '{as_map(s.penalties())}', {s.pop_tolerance}e0)"
+        for i, s in enumerate(scenarios.SCENARIOS.values()))
+
+
+@query("b16_scenario_rules", f"""SELECT scenario, reform, decision_unit, modes, penalties, pop_tolerance, count(*) AS n_plans FROM events
+JOIN (VALUES {_rule_rows()}) t(k, scenario, reform, decision_unit, modes, penalties, pop_tolerance) ON user_id % 7 = k GROUP BY ALL""")
 def _(spark, sf):
     """Plans per scenario with its rules; events name the scenarios."""
     e = b.table(spark, sf, "events").groupBy((F.col("user_id") % 7).alias("k")).agg(F.count(F.lit(1)).alias("n_plans"))
     names = F.array(*[F.lit(s.name) for s in scenarios.SCENARIOS.values()])
     table = scenarios.rules_table(spark)
     return e.withColumn("scenario", F.element_at(names, (F.col("k") + 1).cast("int"))).join(table, "scenario").select(
-        "scenario", "reform", "decision_unit", F.to_json("modes").alias("modes"), F.to_json("penalties").alias("penalties"), "pop_tolerance", "n_plans")
+        "scenario", "reform", "decision_unit", *[_sorted_json(c).alias(c) for c in ("modes", "penalties")], "pop_tolerance", "n_plans")
 
 
 @query("b17_legal_magnitudes", f"""SELECT district, count(*) AS units, CAST({rules.LAW_SEATS}[district] AS INT) AS law, CAST({rules.CENSUS_SEATS}[district] AS INT) AS census

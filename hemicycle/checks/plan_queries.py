@@ -72,7 +72,16 @@ def band_plans(spark, sf):
 cte("band_plans", """SELECT CAST(p AS INT) AS plan_id, unit_id, CAST(cy // (p * 4) AS INT) AS district FROM unit_cells, range(1, 4) t(p)""")
 
 
-@query("p5_contiguity")
+BAND_COMPONENTS = """band_ways AS (SELECT p.plan_id, w.src, w.dst FROM (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges) w
+ JOIN band_plans p ON p.unit_id = w.src JOIN band_plans q ON q.unit_id = w.dst AND q.plan_id = p.plan_id AND q.district = p.district),
+reach(plan_id, unit_id, node) AS (SELECT plan_id, unit_id, unit_id FROM band_plans UNION
+ SELECT r.plan_id, r.unit_id, w.dst FROM reach r JOIN band_ways w ON w.plan_id = r.plan_id AND w.src = r.node),
+parts AS (SELECT plan_id, unit_id, min(node) AS component FROM reach GROUP BY ALL),
+touching AS (SELECT plan_id, district, count(DISTINCT component) AS components, count(*) AS n_units, count(DISTINCT component) = 1 AS contiguous
+ FROM band_plans JOIN parts USING (plan_id, unit_id) GROUP BY ALL)"""
+
+
+@query("p5_contiguity", f"WITH RECURSIVE {BAND_COMPONENTS} SELECT * FROM touching")
 def _(spark, sf):
     return graph.contiguity(b.edges(spark, sf), band_plans(spark, sf))
 
@@ -195,7 +204,12 @@ def _(spark, sf):
     return integrity.reference_plan_detail(plans.where("plan_id = 3"), units, 8)
 
 
-@query("p18_preserve_violations")
+@query("p18_preserve_violations", f"""WITH RECURSIVE {BAND_COMPONENTS},
+sp AS (SELECT plan_id, count(*) FILTER (nd > 1) AS split FROM (SELECT plan_id, commune, count(DISTINCT district) AS nd FROM band_plans JOIN units USING (unit_id) GROUP BY ALL) GROUP BY 1),
+pd AS (SELECT plan_id, district, sum(population) AS p FROM band_plans JOIN population USING (unit_id) GROUP BY ALL),
+dv AS (SELECT plan_id, max(abs(p - ideal)) / max(ideal) * 100 AS dev FROM (SELECT *, avg(p) OVER (PARTITION BY plan_id) AS ideal FROM pd) GROUP BY 1)
+SELECT plan_id, split = 0 AS units_whole, (SELECT bool_and(contiguous) FROM touching t WHERE t.plan_id = sp.plan_id) AS contiguous, dev <= 10 AS population_ok
+FROM sp JOIN dv USING (plan_id)""")
 def _(spark, sf):
     plans, units = band_plans(spark, sf), b.unit_frame(spark, sf)
     return integrity.preserve_violations(plans, units, ["commune"], 0.10, graph.contiguity(b.edges(spark, sf), plans))
@@ -555,7 +569,11 @@ def _(spark, sf):
     return rounded(spatial.spatial_correlogram(values(spark, sf), b.edges(spark, sf), 2).select("order", "moran_i"))
 
 
-@query("s6_autocorrelation_scopes")
+@query("s6_autocorrelation_scopes", f"""WITH m AS (SELECT unit_id, 'region' AS scope, CAST(region AS VARCHAR) AS place, population FROM unit_frame UNION ALL SELECT unit_id, 'national', 'all', population FROM unit_frame),
+v AS (SELECT unit_id, scope, place, unnest(['population', 'parity']) AS variable, unnest([CAST(population AS DOUBLE), CAST(unit_id % 3 AS DOUBLE)]) AS x FROM m),
+zz AS (SELECT *, x - avg(x) OVER w AS z, count(*) OVER w AS n FROM v WINDOW w AS (PARTITION BY scope, place, variable)),
+lg AS (SELECT a.scope, a.place, a.variable, a.unit_id, avg(c.z) AS lag FROM ways JOIN zz a ON a.unit_id = src JOIN zz c ON c.unit_id = dst AND c.scope = a.scope AND c.place = a.place AND c.variable = a.variable GROUP BY ALL)
+SELECT scope, place, variable, max(n) AS n, {R('max(n) / CAST(count(lag) AS DOUBLE) * sum(z * lag) / sum(z * z)', 6)} AS moran_i FROM zz LEFT JOIN lg USING (scope, place, variable, unit_id) GROUP BY ALL""")
 def _(spark, sf):
     units = b.unit_frame(spark, sf).withColumn("parity", F.col("unit_id") % 3)
     return rounded(spatial.autocorrelation_scopes(units, b.edges(spark, sf), {"region": "region", "national": None}, ["population", "parity"]))

@@ -305,6 +305,13 @@ def _(spark, sf):
     return _ensemble(spark, sf)
 
 
+@query("f17_party_bonus", f"""WITH {plan_metrics_sql('true', True, False, 'f16')}
+SELECT plan_id, party, {R('100 * seat_share - 100 * vote_share', 4)} AS seat_bonus FROM f16_sh""")
+def _(spark, sf):
+    cast = metrics.assign_votes(b.unit_votes(spark, sf), b.plans(spark, sf))
+    return metrics.ensemble_seat_bonus(seats.run_plan(cast, b.plan_magnitudes(spark, sf), ("plan_id", "district")))
+
+
 def stats_sql(value: str) -> str:
     q = lambda p: f"quantile_cont({value}, {p}e0)"
     sd = f"COALESCE(stddev_samp({value}), 0)"

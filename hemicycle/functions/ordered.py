@@ -49,8 +49,8 @@ def running(
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = slice_totals.select(
-        *keys,
-        "_slice",
+        *[F.col(k).alias(f"_key_{k}") for k in keys],
+        F.col("_slice").alias("_key__slice"),
         *[
             getattr(F, fn)(f"_total_{out}").over(before).alias(f"_offset_{out}")
             for out, (fn, _) in totals.items()
@@ -61,7 +61,10 @@ def running(
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
     )
-    return sliced.join(offsets, [*keys, "_slice"]).select(
+    same = F.col("_slice") == F.col("_key__slice")
+    for k in keys:  # a null key is a group of its own, as in a window
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    return sliced.join(offsets, same).select(
         *df.columns,
         *[
             _FOLD[fn](F.col(f"_offset_{out}"), getattr(F, fn)(col).over(inside)).alias(out)
