@@ -41,7 +41,8 @@ def to_ascii(value: Column) -> Column:
     """Compatibility decomposition, then everything outside ASCII dropped.
 
     One-letter forms go through ``translate``; only texts that hold one of the
-    rarer several-letter forms are spelled out character by character.
+    rarer several-letter forms are spelled out character by character. Pure
+    ASCII (as many bytes as characters) is returned as it is.
     """
     source, target, several = _ascii_tables()
     plain = F.translate(value, source, target)
@@ -56,7 +57,8 @@ def to_ascii(value: Column) -> Column:
     )
     rare = F.length(F.translate(plain, "".join(several), "")) < F.length(plain)
     full = F.when(rare, spelled).otherwise(plain)
-    return F.regexp_replace(full, r"[^\x00-\x7F]", "")
+    is_ascii = F.length(value) == F.octet_length(value)
+    return F.when(is_ascii, value).otherwise(F.regexp_replace(full, r"[^\x00-\x7F]", ""))
 
 
 def normalize_cut(value: Column) -> Column:
