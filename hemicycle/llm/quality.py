@@ -122,9 +122,27 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "tex
     The base rule fails texts under ten words or with over a fifth of their
     words in repeated windows; null and empty texts fail it.
     """
-    measured = measure(docs, text_col)
+    return judge_counts(measure(docs, text_col), rules)
+
+
+def judge_counts(measured: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Verdicts on the counts of ``measure``."""
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     broken = F.array_compact(F.array(*[F.when(~r.passes(), F.lit(r.name)) for r in rules]))
     return measured.withColumns({"base_failed": base, "broken": broken}).withColumn(
         "kept", ~F.col("base_failed") & (F.size("broken") == 0)
     )
+
+
+def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with their own columns.
+
+    The verdict is used beside a row number, which the optimiser must not
+    compute twice; without it the filter would be moved below the counts and
+    every rule would count the text anew.
+    """
+    names = [f"_c{i}" for i in range(len(docs.columns))]  # no clash with the counts
+    text = names[docs.columns.index(text_col)]
+    judged = measure(docs.toDF(*names), text).withColumn("_row", F.monotonically_increasing_id())
+    good = judge_counts(judged, rules).filter(F.col("kept") & (F.col("_row") >= 0))
+    return good.select(*names).toDF(*docs.columns)
