@@ -25,19 +25,19 @@ from xxhash import xxh3_64_intdigest
 
 from hemicycle.llm.arrays import mix, pack_parts, unpack_parts
 from hemicycle.llm.components import components
-from hemicycle.session import cut_lineage
+from hemicycle.llm.storage import settled
 
 WORDS = 5
 #: linked: SHARE_TOP * intersection >= ... in whole numbers, 100 * i >= 80 * u
 SIMILAR = 80
 #: ratio of the sizes at the two ends of a band
 BAND = 1.5625
-#: a key that so many documents share is heavy; documents may leave out as many as their spare pieces
-HEAVY = 64
 #: keys that one reduce task sorts, about
 KEYS_PER_PART = 1_000_000
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+#: of a document in a band: id, signature of its set, band, spare pieces, size of the set
+_OWNER = np.dtype([("doc", "<i8"), ("sig", "<i8"), ("level", "i1"), ("spare", "<i4"), ("n", "<i4")])
 _TOPS = np.ceil(8 * BAND ** np.arange(60)).astype(np.int64)
 
 
@@ -67,7 +67,7 @@ def pieces(level: int) -> tuple[int, int]:
     ``b <= 1.25 a``, so in at most a quarter of the band's largest ``a``.
     """
     most = int(_TOPS[level]) // 4
-    spare = most * 15 // 100 + 1
+    spare = most // 2 + 1
     return most + 1 + spare, spare
 
 
@@ -110,6 +110,14 @@ def set_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_shingles long, sig_a long, sig_b long, n_keys long")
 
 
+def _opened(block: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int.from_bytes(block[:8], "little")
+    owners = np.frombuffer(block, _OWNER, n, 8)
+    rest = 8 + owners.nbytes
+    count = (len(block) - rest) // 12
+    return np.frombuffer(block, np.uint64, count, rest), owners[np.frombuffer(block, np.uint32, count, rest + 8 * count)]
+
+
 def shared_pieces(docs: DataFrame, parts: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``key, doc_id, level, spare, n, held``: the pieces that several documents hold.
 
@@ -119,13 +127,18 @@ def shared_pieces(docs: DataFrame, parts: int, id_col: str = "doc_id", text_col:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
-        held: list[tuple[np.ndarray, int, int, int, int]] = []
+        held: list[tuple] = []
         total = 0
 
         def flush() -> pa.RecordBatch:
-            sizes = [len(h[0]) for h in held]
-            columns = [np.repeat(np.array([h[i] for h in held], t), sizes) for i, t in ((1, np.int64), (2, np.int8), (3, np.int32), (4, np.int64))]
-            made = list(pack_parts(np.concatenate([h[0] for h in held]), columns, parts))
+            """A block for each part: its documents once, then keys beside the places of their documents."""
+            owners = np.array([h[1:] for h in held], _OWNER)
+            place = np.repeat(np.arange(len(held), dtype=np.uint32), [len(h[0]) for h in held])
+            made = []
+            for part, block in pack_parts(np.concatenate([h[0] for h in held]), [place], parts):
+                key, own = unpack_parts([block], [np.uint64, np.uint32])
+                used, own = np.unique(own, return_inverse=True)
+                made.append((part, len(used).to_bytes(8, "little") + owners[used].tobytes() + key.tobytes() + own.astype(np.uint32).tobytes()))
             return pa.RecordBatch.from_arrays([pa.array([p for p, _ in made], pa.int32()), pa.array([b for _, b in made], pa.binary())], names=["part", "block"])
 
         for batch in batches:
@@ -133,15 +146,15 @@ def shared_pieces(docs: DataFrame, parts: int, id_col: str = "doc_id", text_col:
                 s = shingles(text)
                 if len(s) < 4 or doc_id is None:  # smaller sets link only with equal ones
                     continue
-                mark = (int(np.add.reduce(mix(s))), int(np.add.reduce(mix(s ^ _ODD[0]))))
+                mark = (np.add.reduce(mix(s)), np.add.reduce(mix(s ^ _ODD[0])))
                 if mark in seen:
                     continue
                 seen.add(mark)
                 for level in levels(len(s)):
                     keys, spare = sketch_keys(s, level)
-                    held.append((keys, doc_id, level, spare, len(s)))
+                    held.append((keys, doc_id, mark[0].astype(np.int64), level, spare, len(s)))
                     total += len(keys)
-                if total >= 2_000_000:
+                if total >= 500_000:
                     yield flush()
                     held, total = [], 0
         if held:
@@ -153,19 +166,25 @@ def shared_pieces(docs: DataFrame, parts: int, id_col: str = "doc_id", text_col:
             for part, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 blocks.setdefault(part, []).append(block)
         for part in list(blocks):
-            key, doc, level, spare, n = unpack_parts(blocks.pop(part), [np.uint64, np.int64, np.int8, np.int32, np.int64])
+            key, own = (np.concatenate(x) for x in zip(*map(_opened, blocks.pop(part)), strict=True))
             order = np.argsort(key, kind="stable")
-            first = np.r_[True, np.diff(key[order]) != 0]
-            sizes = np.diff(np.r_[np.flatnonzero(first), len(order)])
-            many = np.repeat(sizes > 1, sizes)
-            order, held = order[many], np.repeat(sizes, sizes)[many]
+            sizes = np.diff(np.r_[np.flatnonzero(np.r_[True, np.diff(key[order]) != 0]), len(order)])
+            order = order[np.repeat(sizes > 1, sizes)]
+            key, own = key[order], own[order]
+            doc, sig, level, spare, n = (own[c] for c in ("doc", "sig", "level", "spare", "n"))
+            order = np.lexsort((doc, sig, key))
+            k, g = key[order], sig[order]
+            new = np.r_[True, k[1:] != k[:-1]]
+            order = order[new | np.r_[True, g[1:] != g[:-1]]]  # equal sets once
+            sizes = np.diff(np.r_[np.flatnonzero(np.r_[True, np.diff(key[order]) != 0]), len(order)])
+            order, held = order[np.repeat(sizes > 1, sizes)], np.repeat(sizes, sizes)[np.repeat(sizes > 1, sizes)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (key[order].view(np.int64), doc[order], level[order].astype(np.int32), spare[order], n[order], held)],
+                [pa.array(x) for x in (key[order].view(np.int64), doc[order], level[order].astype(np.int32), spare[order].astype(np.int32), n[order], held.astype(np.int32))],
                 names=["key", "doc_id", "level", "spare", "n", "held"],
             )
 
     made = _texts(docs, id_col, text_col).mapInArrow(emit, "part int, block binary")
-    return made.repartition(parts, "part").mapInArrow(reduce, "key long, doc_id long, level int, spare int, n long, held long")
+    return made.repartition(parts, "part").mapInArrow(reduce, "key long, doc_id long, level int, spare int, n int, held int")
 
 
 def set_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -206,47 +225,46 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     not read.
     """
     spark = docs.sparkSession
-    sizes = cut_lineage(set_sizes(docs, id_col, text_col))
+    sizes = settled(set_sizes(docs, id_col, text_col))
     filled = sizes.filter("n_shingles > 0 and doc_id is not null")
     kinds = filled.groupBy("n_shingles", "sig_a", "sig_b").agg(F.min("doc_id").alias("kind"))
     same = filled.join(kinds, ["n_shingles", "sig_a", "sig_b"]).select("doc_id", "kind")
     total = sizes.agg(F.coalesce(F.sum("n_keys"), F.lit(0))).first()[0]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // KEYS_PER_PART))
-    shared = cut_lineage(shared_pieces(docs, parts, id_col, text_col))
-
-    # a document drops its heavy keys if that leaves more agreeing pieces than it may lack
-    heavy = F.sum((F.col("held") > HEAVY).cast("int")).over(Window.partitionBy("doc_id", "level"))
-    light = shared.withColumn("_heavy", heavy).filter((F.col("held") <= HEAVY) | (F.col("_heavy") > F.col("spare")))
-    degree = light.groupBy("doc_id").agg(F.sum(F.col("held") - 1).alias("degree"))
-    member = cut_lineage(
-        light.select("key", "doc_id", "n").join(degree, "doc_id").join(same, "doc_id")
-        .groupBy("key", "kind").agg(F.max("degree").alias("degree"), F.max("n").alias("n"))
-    )
-    several = member.groupBy("key").agg(F.min("kind").alias("_a"), F.max("kind").alias("_b")).filter("_a <> _b").select("key")
-    member = member.join(several, "key")
+    shared = settled(shared_pieces(docs, parts, id_col, text_col))
+
+    member = settled(shared.join(same, "doc_id").groupBy("key", "level", "kind").agg(F.max("spare").alias("spare"), F.max("n").alias("n"), F.max("held").alias("held")))
+    for _ in range(2):
+        # Linked sets agree in more pieces than the spare ones. Sets with no more shared pieces than that have no
+        # partner; of the others, in one order of all keys, the most crowded spare ones can go: one more agrees.
+        ranked = F.row_number().over(Window.partitionBy("kind", "level").orderBy("held", "key"))
+        own = F.count("*").over(Window.partitionBy("kind", "level"))
+        placed = member.withColumns({"_rank": ranked, "_own": own}).filter("_own > spare")
+        several = placed.groupBy("key").agg(F.min("kind").alias("_a"), F.max("kind").alias("_b")).filter("_a <> _b").select("key")
+        member = settled(placed.join(several, "key"))
+    member = member.filter("_rank <= _own - spare")
     wanted = member.select(F.col("kind").alias("doc_id")).distinct()
-    sets = cut_lineage(set_table(docs.join(wanted, docs[id_col].cast("long") == wanted["doc_id"], "left_semi"), id_col, text_col).dropDuplicates(["doc_id"]))
+    picked = docs.join(wanted, docs[id_col].cast("long") == wanted["doc_id"], "left_semi")
+    sets = settled(set_table(picked, id_col, text_col).dropDuplicates(["doc_id"]))
 
-    fits = (100 * F.least("n", "o") >= SIMILAR * F.greatest("n", "o"))
-    now = cut_lineage(member.withColumn("component", F.col("kind")))
+    fits = 100 * F.least("n", "o") >= SIMILAR * F.greatest("n", "o")
     links = same.filter("doc_id <> kind").select(F.col("doc_id").alias("a"), F.col("kind").alias("b"))
-    found = None
-    for closing in (False, False, True):
-        if closing:
-            other = now.select("key", F.col("kind").alias("other"), F.col("n").alias("o"), F.col("component").alias("_c"))
-            pairs = now.join(other, "key").filter((F.col("component") < F.col("_c")) & fits)
-        else:
-            best = F.max_by(F.struct(F.col("kind").alias("other"), F.col("n").alias("o"), F.col("component").alias("_c")), F.struct("degree", -F.col("kind")))
-            lead = now.groupBy("key").agg(best.alias("_l")).select("key", "_l.*")
-            pairs = now.join(lead, "key").filter((F.col("component") != F.col("_c")) & fits)
-        pairs = pairs.select(F.least("kind", "other").alias("a"), F.greatest("kind", "other").alias("b")).distinct()
-        good = cut_lineage(verified(pairs, sets))
-        found = good if found is None else found.unionByName(good)
-        if not closing:
-            label = components(found).select(F.col("id").alias("kind"), F.col("component").alias("_new"))
-            now = now.join(label, "kind", "left").withColumn("component", F.coalesce("_new", "component")).drop("_new")
-            ends = now.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).filter("_a <> _b").select("key")
-            now = cut_lineage(now.join(ends, "key"))
+
+    # first every set with the leader of its key, then what is still apart with all others of the key
+    degree = member.groupBy("kind").agg(F.sum("held").alias("degree"))
+    best = F.max_by(F.struct(F.col("kind").alias("other"), F.col("n").alias("o")), F.struct("degree", -F.col("kind")))
+    lead = member.join(degree, "kind").groupBy("key").agg(best.alias("_l")).select("key", "_l.*")
+    near = member.join(lead, "key").filter((F.col("kind") != F.col("other")) & fits)
+    pairs = near.select(F.least("kind", "other").alias("a"), F.greatest("kind", "other").alias("b")).distinct()
+    first = settled(verified(pairs, sets))
+    label = components(first).select(F.col("id").alias("kind"), F.col("component").alias("_new"))
+    now = member.join(label, "kind", "left").withColumn("component", F.coalesce("_new", "kind")).drop("_new")
+    ends = now.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).filter("_a <> _b").select("key")
+    now = settled(now.join(ends, "key").select("key", "kind", "n", "component"))
+    other = now.select("key", F.col("kind").alias("other"), F.col("n").alias("o"), F.col("component").alias("_c"))
+    apart = now.join(other, "key").filter((F.col("component") < F.col("_c")) & fits)
+    pairs = apart.select(F.least("kind", "other").alias("a"), F.greatest("kind", "other").alias("b")).distinct()
+    found = first.unionByName(verified(pairs, sets))
     label = components(found.unionByName(links))
     out = sizes.join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
