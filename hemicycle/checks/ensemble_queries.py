@@ -396,7 +396,7 @@ def _(spark, sf):
 
 
 ESS = """fl AS (SELECT metric, chain, min(lag) FILTER (lag >= 1 AND acf < 0.05) AS fl FROM ac GROUP BY ALL),
-es AS (SELECT metric, chain, any_value(n) AS n, any_value(n) / GREATEST(1 + 2 * sum(acf) FILTER (lag >= 1 AND lag <= COALESCE(GREATEST(fl - 1, 1), 200)), 1) AS ess
+es AS (SELECT metric, chain, any_value(n) AS n, any_value(n) / GREATEST(1 + 2 * sum(acf) FILTER (lag >= 1 AND lag <= CASE WHEN fl IS NULL THEN 200 WHEN fl > 2 THEN fl - 1 ELSE 1 END), 1) AS ess
  FROM ac JOIN fl USING (metric, chain) WHERE lag <= n // 2 GROUP BY metric, chain)"""
 
 

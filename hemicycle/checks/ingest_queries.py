@@ -694,7 +694,7 @@ def _elected(spark, sf):
     mags = people.select("district").distinct().withColumn("magnitude", F.lit(30))
     pact = people.select("party", F.col("list_id").alias("pact")).distinct()
     result = seats.dhondt_two_level(seats.attach_pact(seats.sum_votes(people), pact), mags)
-    won = seats.elect_candidates(people, result.select("district", "party", "seats"), most_seats=30)
+    won = seats.elect_candidates(people, result.select("district", "party", "seats"))
     return people, won.select("district", "party", "list_id", "candidate_id", "candidate_name"), mags, pact
 
 
@@ -715,12 +715,12 @@ x AS (SELECT (SELECT count(DISTINCT district) FROM list_votes) - (SELECT count(*
 SELECT *, CASE WHEN districts_validated = districts_total AND discrepancies = 0 THEN 'EXACT_REPRODUCTION' ELSE 'PARTIAL' END AS status FROM x""")
 def _(spark, sf):
     people, proclaimed, mags, pact = _elected(spark, sf)
-    return quality.validate_election(people, proclaimed.where("candidate_id % 10 > 0 OR district = 1"), mags, pact, most_seats=30)[0]
+    return quality.validate_election(people, proclaimed.where("candidate_id % 10 > 0 OR district = 1"), mags, pact)[0]
 
 
 def _discrepancies(spark, sf):
     people, proclaimed, mags, pact = _elected(spark, sf)
-    return quality.validate_election(people, proclaimed.where("candidate_id % 10 > 0 OR district = 1"), mags, pact, most_seats=30)[1]
+    return quality.validate_election(people, proclaimed.where("candidate_id % 10 > 0 OR district = 1"), mags, pact)[1]
 
 
 @query("n1_discrepancies", f"""WITH {VAL} SELECT 'candidate_mismatch' AS type, district, candidate_id, candidate_name, 'not elected' AS expected, 'elected (D''Hondt)' AS calculated

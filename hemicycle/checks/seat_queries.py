@@ -210,7 +210,7 @@ def _list_seats(spark, sf):
   ORDER BY votes DESC, candidate_id) AS place FROM candidates)
 SELECT r.district, r.party, candidate_id, r.votes, place, seats FROM r JOIN seats USING (district, party) WHERE place <= seats""")
 def _(spark, sf):
-    return seats.elect_candidates(candidates(spark, sf), _list_seats(spark, sf), most_seats=30)
+    return seats.elect_candidates(candidates(spark, sf), _list_seats(spark, sf))
 
 
 @query("e13_boundary_tie", f"""{LISTS}, r AS (SELECT *, row_number() OVER w AS place, lead(votes) OVER w AS nxt FROM candidates
@@ -218,7 +218,7 @@ def _(spark, sf):
 SELECT district, party, seats, COALESCE(bool_or(place = seats AND r.votes = nxt), false) AS tie
 FROM r JOIN seats USING (district, party) GROUP BY ALL""")
 def _(spark, sf):
-    return seats.boundary_tie(candidates(spark, sf), _list_seats(spark, sf), most_seats=30)
+    return seats.boundary_tie(candidates(spark, sf), _list_seats(spark, sf))
 
 
 BEST = "(SELECT district FROM district_votes GROUP BY 1 ORDER BY sum(votes) DESC, district LIMIT 1)"

@@ -48,7 +48,7 @@ def attach(df: DataFrame, summary: DataFrame, keys: Keys = ()) -> DataFrame:
 
 
 def rnd(value: Column | str, digits: int) -> Column:
-    """Round half to even, as Python and numpy do."""
+    """Round half to even in decimal, as numpy does; Python's ``round`` looks at the binary value instead."""
     return F.bround(F.col(value) if isinstance(value, str) else value, digits)
 
 

@@ -68,8 +68,9 @@ def effective_sample_size(chains: DataFrame, max_lag: int = 200) -> DataFrame:
     """n / (1 + 2 * sum of autocorrelations before the first below 0.05)."""
     rho = acf(chains, max_lag, half=True)
     low = rho.groupBy(*KEYS).agg(F.min(F.when((F.col("lag") >= 1) & (F.col("acf") < 0.05), F.col("lag"))).alias("_first_low"))
-    last = F.greatest(F.col("_first_low") - 1, F.lit(1))
-    used = F.col("lag").between(1, F.coalesce(last, F.lit(max_lag)))
+    # a chain that never falls so low sums every lag that there is
+    last = F.when(F.col("_first_low").isNull(), F.lit(max_lag)).otherwise(F.greatest(F.col("_first_low") - 1, F.lit(1)))
+    used = F.col("lag").between(1, last)
     total = F.coalesce(F.sum(F.when(used, F.col("acf"))), F.lit(0.0))
     return attach(rho, low, KEYS).groupBy(*KEYS, "n").agg((F.col("n") / F.greatest(1 + 2 * total, F.lit(1.0))).alias("ess"))
 

@@ -256,7 +256,7 @@ def population_feasibility(units: DataFrame, n_districts: int, tolerance: float,
     if n_districts < 1:
         raise ValueError("n_districts must be at least 1")
     whole = units.groupBy(F.col(unit_col).alias("unit")).agg(F.sum("population").alias("population"))
-    largest = F.max(F.struct("population", (-F.col("unit")).alias("u")))
+    largest = F.min(F.struct((-F.col("population")).alias("_less"), "unit", "population"))  # ties to the smaller id, of any type
     out = whole.agg(F.sum("population").alias("total_population"), largest.alias("_top"))
     total = F.when(F.col("total_population") > 0, F.col("total_population")).otherwise(
         F.raise_error(F.lit("total population must be positive"))
@@ -264,7 +264,7 @@ def population_feasibility(units: DataFrame, n_districts: int, tolerance: float,
     ideal = total / n_districts
     needed = F.greatest(F.lit(0.0), F.col("_top.population") / ideal - 1)
     return out.select(
-        "total_population", ideal.alias("ideal"), (-F.col("_top.u")).alias("largest_unit"),
+        "total_population", ideal.alias("ideal"), F.col("_top.unit").alias("largest_unit"),
         F.col("_top.population").alias("largest_population"), needed.alias("required_tolerance"),
         (needed <= tolerance).alias("feasible"),
     )

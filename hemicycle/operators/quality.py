@@ -119,7 +119,7 @@ def result_invariants(results: DataFrame, magnitudes: DataFrame, total: int = 15
 
 def validate_election(
     candidates: DataFrame, proclaimed: DataFrame, magnitudes: DataFrame, pacts: DataFrame,
-    final_votes: DataFrame | None = None, roster: DataFrame | None = None, most_seats: int | None = None,
+    final_votes: DataFrame | None = None, roster: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Recomputed election against the proclaimed one: report, discrepancies.
 
@@ -148,10 +148,10 @@ def validate_election(
     official = known.groupBy("district", "list_id").agg(F.count(F.lit(1)).alias("proclaimed_seats"))
     mine = result.join(lists, key).groupBy("district", "list_id").agg(F.sum("seats").alias("calculated_seats"))
     by_list = mine.join(official, ["district", "list_id"], "full").fillna(0, ["calculated_seats", "proclaimed_seats"])
-    winners = seats.elect_candidates(person, result.where("seats > 0"), most_seats=most_seats).select("district", "candidate_id", "candidate_name", F.lit(True).alias("_c"))
+    winners = seats.elect_candidates(person, result.where("seats > 0")).select("district", "candidate_id", "candidate_name", F.lit(True).alias("_c"))
     named = known.groupBy("district", "candidate_id").agg(F.min("candidate_name").alias("_name"), F.lit(True).alias("_p"))
     people = winners.join(named, ["district", "candidate_id"], "full")
-    ties = seats.boundary_tie(person, result.where("seats > 0"), most_seats=most_seats).where("tie")
+    ties = seats.boundary_tie(person, result.where("seats > 0")).where("tie")
     per_party = known.groupBy(*key).agg(F.count(F.lit(1)).alias("_k"))
 
     wrong_list = by_list.where("calculated_seats <> proclaimed_seats").select(

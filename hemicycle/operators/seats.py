@@ -305,38 +305,28 @@ def elect_candidates(
     candidates: DataFrame,
     seats: DataFrame,
     keys: Sequence[str] = ("district", "party"),
-    most_seats: int | None = None,
 ) -> DataFrame:
     """The most voted candidates of each list; ties to the smaller id.
 
-    ``most_seats`` (largest list result, when known) lets Spark drop
-    hopeless rows before the shuffle, which keeps a huge list cheap.
+    Lists without a seat leave before the ranking.
     """
     keys = list(keys)
     place = F.row_number().over(group_window(keys).orderBy(F.col("votes").desc(), "candidate_id"))
-    ranked = candidates.withColumn("place", place)
-    if most_seats is not None:
-        ranked = ranked.where(F.col("place") <= most_seats)
-    return ranked.join(seats.select(*keys, "seats"), keys).where("place <= seats")
+    won = seats.select(*keys, "seats").where("seats > 0")
+    return candidates.join(won, keys).withColumn("place", place).where("place <= seats")
 
 
 def boundary_tie(
     candidates: DataFrame,
     seats: DataFrame,
     keys: Sequence[str] = ("district", "party"),
-    most_seats: int | None = None,
 ) -> DataFrame:
-    """Whether the last elected and the first unelected have equal votes.
-
-    ``most_seats`` drops hopeless rows early, as in ``elect_candidates``.
-    """
+    """Whether the last elected and the first unelected have equal votes."""
     keys = list(keys)
     w = group_window(keys).orderBy(F.col("votes").desc(), "candidate_id")
-    ranked = candidates.select(*keys, "votes", F.row_number().over(w).alias("_place"))
-    if most_seats is not None:
-        ranked = ranked.where(F.col("_place") <= most_seats + 1)
+    ranked = candidates.join(seats.select(*keys, "seats"), keys).select(*keys, "seats", "votes", F.row_number().over(w).alias("_place"))
     at = lambda place: F.max(F.when(F.col("_place") == place, F.col("votes")))
-    both = ranked.join(seats.select(*keys, "seats"), keys).groupBy(*keys, "seats").agg(
+    both = ranked.where("_place <= seats + 1").groupBy(*keys, "seats").agg(
         at(F.col("seats")).alias("_last"), at(F.col("seats") + 1).alias("_next")
     )
     return both.select(*keys, "seats", F.coalesce(F.col("_last") == F.col("_next"), F.lit(False)).alias("tie"))

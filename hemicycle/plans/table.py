@@ -63,7 +63,7 @@ def evenly_spaced_plans(plans: DataFrame, n: int) -> DataFrame:
     ids = row_index(plans.select("plan_id").distinct(), (), ["plan_id"], "_i")
     ids = attach(ids, ids.agg(F.count(F.lit(1)).alias("_size")))
     step = (F.col("_size") - 1) / max(n - 1, 1)
-    spots = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.floor(j * step))
+    spots = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.when(j == n - 1, F.col("_size") - 1).otherwise(F.floor(j * step)) if n > 1 else j)
     wanted = (F.col("_size") <= n) | F.array_contains(spots, F.col("_i"))
     return plans.join(ids.where(wanted).select("plan_id"), "plan_id", "left_semi")
 

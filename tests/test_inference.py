@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hemicycle.operators import chains, ensemble, pareto
+from hemicycle.operators import chains, ensemble, integrity, pareto
+from hemicycle.plans import table
 
 
 def brute_front(points):
@@ -128,3 +129,27 @@ def test_ties_share_the_rank(spark):
     table = spark.createDataFrame([("a", 1.0), ("b", 1.0), ("c", 3.0)], "scenario string, max_dev_pct_median double")
     got = {r.scenario: r["rank"] for r in ensemble.rank_scenarios(table, {"max_dev_pct": 1.0}).collect()}
     assert got == {"a": 1, "b": 1, "c": 3}
+
+
+def test_effective_size_of_a_slow_chain(spark):
+    """A random walk keeps its autocorrelation: every lag counts."""
+    rng = np.random.default_rng(4)
+    walk = np.cumsum(rng.normal(size=400))
+    rows = [("m", 0, i, float(v)) for i, v in enumerate(walk + 50 * np.arange(400))]
+    x = walk + 50 * np.arange(400)
+    x = x - x.mean()
+    rho = [float(x[: 400 - lag] @ x[lag:] / (x @ x)) for lag in range(1, 41)]
+    assert min(rho) > 0.05
+    got = chains.effective_sample_size(spark.createDataFrame(rows, "metric string, chain int, position long, value double"), 40).first()
+    assert abs(got.ess - 400 / (1 + 2 * sum(rho))) < 1e-6
+
+
+def test_evenly_spaced_has_the_last_plan(spark):
+    plans = spark.range(32).selectExpr("cast(id as int) plan_id", "1 unit_id", "1 district")
+    got = sorted(r.plan_id for r in table.evenly_spaced_plans(plans, 30).collect())
+    assert got == np.linspace(0, 31, 30).astype(int).tolist()
+
+
+def test_feasibility_of_text_ids(spark):
+    units = spark.createDataFrame([("01101_001", 5.0), ("01101_002", 7.0), ("00500_003", 7.0)], "unit_id string, population double")
+    assert integrity.population_feasibility(units, 2, 0.1).first().largest_unit == "00500_003"
