@@ -4,20 +4,22 @@ from __future__ import annotations
 
 import gc
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from hemicycle.session import cut_lineage
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` in the checkpoint folder.
+def give_back(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to.
 
-    Spark deletes shuffle files once the driver has collected the plans that
-    wrote them, which a mostly idle driver may not do for a long time; so it
-    is asked to.
+    It does so once the driver has collected those plans, which a mostly idle
+    driver may not do for a long time; so it is asked to.
     """
-    stored = cut_lineage(df)
-    del df
     gc.collect()
-    stored.sparkSession.sparkContext._jvm.System.gc()
-    return stored
+    spark.sparkContext._jvm.System.gc()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` in the checkpoint folder, after the disk of earlier steps is free."""
+    give_back(df.sparkSession)
+    return cut_lineage(df)
