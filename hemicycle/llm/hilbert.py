@@ -34,7 +34,7 @@ def quantise(df: DataFrame, dims: list[str], bits: int) -> DataFrame:
     bounds = keyed.agg(*[F.percentile_approx(f"_axis{i}", shares, 10_000).alias(f"b{i}") for i in range(len(dims))]).first()
     codes = {}
     for i in range(len(dims)):
-        code = F.lit(0)
+        code = F.hash(f"_axis{i}").bitwiseAND(0)  # zero, but not a constant: the optimiser would unfold the whole curve over it
         for bound in sorted(set(bounds[i] or [])):
             code = code + F.coalesce((F.col(f"_axis{i}") > bound).cast("int"), F.lit(0))
         codes[f"_axis{i}"] = code
