@@ -177,7 +177,7 @@ def _circle_of_few(points: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"x": best[:, 0] + base[:, 0, 0], "y": best[:, 1] + base[:, 0, 1], "r": best[:, 2]})
 
 
-def enclosing_circles(points: DataFrame, keys: Sequence[str], max_rounds: int = 200) -> DataFrame:
+def enclosing_circles(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Smallest enclosing circle per group: (keys, cx, cy, r).
 
     Each round finds the farthest point of every group (an aggregation with
@@ -198,7 +198,7 @@ def enclosing_circles(points: DataFrame, keys: Sequence[str], max_rounds: int =
         return held.select(*keys, F.slice(rim, 1, 3).alias("basis"), F.col("_c.x").alias("cx"), F.col("_c.y").alias("cy"), F.col("_c.r").alias("r"))
 
     circles = cut_lineage(solved(start, F.array("a", "b", "c", "d")))
-    for _ in range(max_rounds):
+    while True:
         away = F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy"))
         outside = points.join(circles, keys).where(away > F.col("r") * (1 + 1e-9) + 1e-12)
         worst = outside.groupBy(*keys).agg(F.max(F.struct(away.alias("far"), "x", "y")).alias("_w"))
@@ -207,7 +207,6 @@ def enclosing_circles(points: DataFrame, keys: Sequence[str], max_rounds: int =
             return circles.drop("basis")
         grown = solved(circles.join(worst, keys), F.concat("basis", F.array("_w")))
         circles = cut_lineage(circles.join(worst, keys, "left_anti").unionByName(grown))
-    raise RuntimeError("enclosing circles did not settle")
 
 
 def compactness(vertices: DataFrame) -> DataFrame:

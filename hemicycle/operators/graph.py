@@ -64,7 +64,7 @@ def cut_edges(edges: DataFrame, plans: DataFrame) -> DataFrame:
     return sides.groupBy("plan_id").agg(F.count_if(cut).alias("cut_edges"))
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = (), max_rounds: int = 100) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Smallest node id of each node's component, per key (e.g. plan).
 
     Alternating large-star and small-star steps shorten every path to one
@@ -75,7 +75,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]
     current = edges.where("src <> dst").select(*keys, F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
     current = cut_lineage(current)
     seen = None
-    for _ in range(max_rounds):
+    while True:
         both = current.union(current.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy(*keys, "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, [*keys, "u"]).where("v > u").select(*keys, F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -89,8 +89,6 @@ def connected_components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]
         if state == seen:
             break
         seen = state
-    else:
-        raise RuntimeError("components did not settle")
     roots = current.groupBy(*keys, F.col("u").alias("unit_id")).agg(F.min("v").alias("_root"))
     return nodes.select(*keys, "unit_id").join(roots, [*keys, "unit_id"], "left").select(
         *keys, "unit_id", F.coalesce("_root", "unit_id").alias("component")
@@ -192,7 +190,12 @@ def diameter(nodes: DataFrame, edges: DataFrame) -> int:
 
 
 def graph_stats(nodes: DataFrame, edges: DataFrame, with_diameter: bool = True) -> DataFrame:
-    """Size, degrees, density, components and (below 5000 nodes) diameter."""
+    """Size, degrees, density, components and diameter.
+
+    The diameter is null where the graph is not connected. It searches from
+    every node, so it grows with the square of the nodes; leave it out with
+    ``with_diameter=False`` where the graph is not a small one.
+    """
     deg = degrees(nodes.select("unit_id"), edges)
     base = deg.agg(
         F.count(F.lit(1)).alias("nodes"), (F.sum("degree") / 2).cast("long").alias("edges"),
@@ -206,9 +209,8 @@ def graph_stats(nodes: DataFrame, edges: DataFrame, with_diameter: bool = True)
     )
     if not with_diameter:
         return out
-    size = out.select("nodes", "connected").first()
-    value = str(diameter(nodes, edges)) if size.connected and size.nodes < 5000 else "N/A"
-    return out.withColumn("diameter", F.lit(value))
+    value = diameter(nodes, edges) if out.select("connected").first().connected else None
+    return out.withColumn("diameter", F.lit(value).cast("int"))
 
 
 def degree_by(nodes: DataFrame, edges: DataFrame, column: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -104,14 +105,32 @@ def latest_runs(files: DataFrame, run_id: str | None = None) -> DataFrame:
 
 
 def load_ensembles(spark: SparkSession, base: str, scenarios: Sequence[str] | None = None, run_id: str | None = None) -> DataFrame:
-    """Statistics of the chosen run of every scenario, tagged by scenario."""
-    chosen = latest_runs(list_files(spark, base, "ensemble_stats*.csv"), run_id)
+    """Statistics of the chosen run of every scenario, tagged by scenario.
+
+    Columns are matched by name: files are read together only if their headers
+    agree, and a column that a file lacks is null there. Columns in which
+    every value is a number become doubles. The file of a run may also be a
+    folder of parts. Without any file the result has the scenario only.
+    """
+    chosen = latest_runs(list_files(spark, base, "*.csv").where(F.contains("path", F.lit("/ensemble_stats"))), run_id)
     if scenarios is not None:
         chosen = chosen.where(F.col("scenario").isin(list(scenarios)))
-    found = [r.path for r in chosen.select("path").collect()]  # one path per scenario
-    stats = spark.read.option("header", True).csv(found)
-    scenario = F.regexp_extract(F.input_file_name(), r"([^/]+)(?:/run_[^/]+)?/ensemble_stats[^/]*$", 1)
-    return stats.withColumn("scenario", scenario)
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for row in chosen.select("path").collect():  # one path per scenario
+        path = re.sub(r"(/ensemble_stats[^/]*)/[^/]*$", r"\1", row.path)
+        header = tuple(spark.read.option("header", True).csv(path).columns)
+        groups.setdefault(header, []).append(path)
+    scenario = F.regexp_extract(F.input_file_name(), r"([^/]+)(?:/run_[^/]+)?/ensemble_stats[^/]*(?:/[^/]+)?$", 1)
+    stats = spark.createDataFrame([], "scenario string")
+    for paths in groups.values():
+        rows = spark.read.option("header", True).csv(paths).withColumn("scenario", scenario)
+        stats = stats.unionByName(rows, allowMissingColumns=True)
+    names = [c for c in stats.columns if c != "scenario"]
+    if not names:
+        return stats
+    number = {c: F.col(f"`{c}`").try_cast("double") for c in names}
+    odd = stats.agg(*[F.count_if(F.col(f"`{c}`").isNotNull() & number[c].isNull()).alias(c) for c in names]).first()
+    return stats.select("scenario", *[(F.col(f"`{c}`") if odd[c] else number[c]).alias(c) for c in names])
 
 
 def load_scenario_statuses(spark: SparkSession, base: str) -> DataFrame:

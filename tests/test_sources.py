@@ -64,11 +64,20 @@ def test_latest_runs_and_statuses(spark, tmp_path):
     (tmp_path / "s3").mkdir()
     (tmp_path / "s3" / "scenario_status.json").write_text(json.dumps({"status": "infeasible", "reason": "r"}))
     got = {r.scenario: r.x for r in store.load_ensembles(spark, str(tmp_path)).collect()}
-    assert got == {"s1": "2", "s2": "4"}
-    assert {r.scenario: r.x for r in store.load_ensembles(spark, str(tmp_path), run_id="aa-aa").collect()} == {"s1": "1"}
+    assert got == {"s1": 2.0, "s2": 4.0}
+    assert {r.scenario: r.x for r in store.load_ensembles(spark, str(tmp_path), run_id="aa-aa").collect()} == {"s1": 1.0}
     assert [tuple(r) for r in store.load_scenario_statuses(spark, str(tmp_path)).collect()] == [("s3", "infeasible", "r")]
 
 
+def test_ensembles_with_unequal_headers(spark, tmp_path):
+    for scenario, content in (("s1", "x,score\n1,a\n2,3\n"), ("s2", "score,x\n5,6\n"), ("s3", "x,extra,score\n7,0.5,\n")):
+        (tmp_path / scenario).mkdir()
+        (tmp_path / scenario / "ensemble_stats.csv").write_text(content)
+    rows = store.load_ensembles(spark, str(tmp_path)).select("scenario", "x", "score", "extra").collect()
+    assert sorted(map(tuple, rows)) == [("s1", 1.0, "a", None), ("s1", 2.0, "3", None), ("s2", 6.0, "5", None), ("s3", 7.0, None, 0.5)]
+    assert store.load_ensembles(spark, str(tmp_path), ["none"]).collect() == []
+
+
 def test_plan_store(spark, tmp_path):
     rows = [("r1", "free", 0, d, f"u{u}", (d + u) % 3) for d in range(6) for u in range(5)] + [("r1", "free", 0, 0, None, 1)]
     plans = spark.createDataFrame(rows, "run_id string, scenario string, chain_id int, draw int, unit_id string, district int")
