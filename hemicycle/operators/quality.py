@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from hemicycle.functions import text
 from hemicycle.functions.frames import attach
@@ -31,8 +32,17 @@ def _none(n: Column) -> Column:
     return n == 0
 
 
+def _lacking(table: DataFrame, wanted: tuple[str, ...]) -> DataFrame | None:
+    """A failed row for each missing column, or None if all are there."""
+    missing = [(f"column {c}", False, 1) for c in wanted if c not in table.columns]
+    return table.sparkSession.createDataFrame(missing, "check string, ok boolean, found long") if missing else None
+
+
 def check_population_table(table: DataFrame, n_communes: int = N_COMMUNES) -> DataFrame:
-    """``table`` is (CUT, personas) as text."""
+    """``table`` is (CUT, personas) as text; if one is missing, that is all the report says."""
+    lacking = _lacking(table, ("CUT", "personas"))
+    if lacking is not None:
+        return lacking
     number = F.col("CUT").try_cast("double").cast("long")
     code = F.lpad(number.cast("string"), 5, "0")
     region = F.substring(code, 1, 2).try_cast("int")
@@ -48,7 +58,10 @@ def check_population_table(table: DataFrame, n_communes: int = N_COMMUNES) -> Da
 
 
 def check_votes_table(table: DataFrame) -> DataFrame:
-    """``table`` is (CUT, party, votes) as text."""
+    """``table`` is (CUT, party, votes) as text; if one is missing, that is all the report says."""
+    lacking = _lacking(table, ("CUT", "party", "votes"))
+    if lacking is not None:
+        return lacking
     nulls = table.agg(sum((F.count_if(F.col(c).isNull()) for c in ("CUT", "party", "votes")), F.lit(0)).alias("_nulls"))
     votes = F.coalesce(F.col("votes").try_cast("double"), F.lit(0.0))
     by_cut = table.groupBy(F.col("CUT").try_cast("double").cast("long").alias("CUT")).agg(F.sum(votes).alias("v"))
@@ -60,10 +73,20 @@ def check_votes_table(table: DataFrame) -> DataFrame:
 
 
 def check_assignment(table: DataFrame, n_communes: int = N_COMMUNES, n_districts: int = N_DISTRICTS) -> DataFrame:
-    """``table`` is (key, district) with text keys."""
+    """``table`` is (key, district); keys have to be text and districts whole numbers.
+
+    If a column is missing, that is all the report says.
+    """
+    lacking = _lacking(table, ("key", "district"))
+    if lacking is not None:
+        return lacking
     inside = F.col("district").between(1, n_districts)
     present = F.count_distinct(F.when(inside, F.col("district")))
+    text_keys = F.lit(0) if table.schema["key"].dataType == StringType() else F.count("key")
+    district = F.col("district").try_cast("double")
     return _report(table, {
+        "text keys": (text_keys, _none),
+        "whole districts": (F.count_if(F.col("district").isNotNull() & ~F.coalesce(district == F.floor(district), F.lit(False))), _none),
         "expected keys": (F.count_distinct("key"), lambda n: n == n_communes),
         "districts in range": (F.count_if(~F.coalesce(inside, F.lit(False))), _none),
         "missing districts": (F.lit(n_districts) - present, _none),
