@@ -80,10 +80,10 @@ def check_assignment(table: DataFrame, n_communes: int = N_COMMUNES, n_districts
     lacking = _lacking(table, ("key", "district"))
     if lacking is not None:
         return lacking
-    inside = F.col("district").between(1, n_districts)
-    present = F.count_distinct(F.when(inside, F.col("district")))
-    text_keys = F.lit(0) if table.schema["key"].dataType == StringType() else F.count("key")
     district = F.col("district").try_cast("double")
+    inside = district.between(1, n_districts)
+    present = F.count_distinct(F.when(inside, district))
+    text_keys = F.lit(0) if table.schema["key"].dataType == StringType() else F.count("key")
     return _report(table, {
         "text keys": (text_keys, _none),
         "whole districts": (F.count_if(F.col("district").isNotNull() & ~F.coalesce(district == F.floor(district), F.lit(False))), _none),

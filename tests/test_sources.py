@@ -78,6 +78,16 @@ def test_ensembles_with_unequal_headers(spark, tmp_path):
     assert store.load_ensembles(spark, str(tmp_path), ["none"]).collect() == []
 
 
+def test_checks_of_odd_tables(spark):
+    short = spark.createDataFrame([("1",)], "CUT string")
+    assert [tuple(r) for r in quality.check_population_table(short).collect()] == [("column personas", False, 1)]
+    assert [r.check for r in quality.check_votes_table(short).collect()] == ["column party", "column votes"]
+    assert [r.check for r in quality.check_assignment(short).collect()] == ["column key", "column district"]
+    odd = spark.createDataFrame([(1, "1"), (2, "2.5"), (3, "x"), (4, None)], "key int, district string")
+    found = {r.check: (r.ok, r.found) for r in quality.check_assignment(odd, 4, 2).collect()}
+    assert found["text keys"] == (False, 4) and found["whole districts"] == (False, 2) and found["expected keys"] == (True, 4)
+
+
 def test_plan_store(spark, tmp_path):
     rows = [("r1", "free", 0, d, f"u{u}", (d + u) % 3) for d in range(6) for u in range(5)] + [("r1", "free", 0, 0, None, 1)]
     plans = spark.createDataFrame(rows, "run_id string, scenario string, chain_id int, draw int, unit_id string, district int")
