@@ -3,7 +3,8 @@
 Pages of a host are aligned with one of them, the seed, by simple tree
 matching. A node of the seed that most aligned pages repeat word for word is
 template, a node that varies is a slot. A page is then aligned once more and
-loses its template; menus, forms and the like go by their tags and names.
+loses its template, inside articles too; menus, forms and the like also go by
+their tags and names.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ NOISE = frozenset(
 FOREIGN = frozenset("comment comments reply ad ads advert advertisement sponsored promo".split())
 #: a node is template if this share of the aligned pages, and so many at least, repeat it
 TEMPLATE_SHARE, TEMPLATE_PAGES = 0.6, 5
+#: a paragraph of an article that has no name, nor anything between it and the article, needs so many pages
+PLAIN_PAGES = 20
 #: seeds up to this many bytes together are sent to all tasks; beyond that pages meet them by a shuffle
 SEND_BYTES = 32 << 20
 
@@ -185,11 +188,28 @@ def _seed(page: str) -> Node:
     return root
 
 
+@lru_cache(maxsize=512)
+def _plain(page: str) -> frozenset[int]:
+    """Numbers of the seed's plain paragraphs in articles, with the inline nodes in them."""
+    out = set()
+    todo = [(_seed(page), False, False)]
+    while todo:
+        node, inside, plain = todo.pop()
+        inside = node.tag in ("article", "main") or (inside and not node.names)
+        plain = inside and not node.names and (node.tag == "p" or (plain and node.tag in INLINE))
+        if plain:
+            out.add(node.number)
+        todo.extend((c, inside, plain) for c in node.kids)
+    return frozenset(out)
+
+
 def main_text(page: str, seed: str | None = None, template: frozenset[int] = frozenset()) -> str:
     """The blocks of the article, one a line.
 
     Without an article or main element the whole body counts. Template nodes
-    (numbers of the seed's nodes) are dropped outside articles.
+    (numbers of the seed's nodes) are dropped. Inside an article a constant
+    inline node stays where it is part of a running text, and an article that
+    is constant as a whole stays: the page itself is repeated.
     """
     root = parse(page)
     nodes = number(root)
@@ -206,11 +226,15 @@ def main_text(page: str, seed: str | None = None, template: frozenset[int] = fro
         if text:
             blocks.append(text)
 
-    # (node, inside an article, leaving)
-    todo: list[tuple[Node | str, bool, bool]] = [(root, not articles, False)]
+    # (node, inside an article, in one that is constant, in a running text, leaving)
+    todo: list[tuple[Node | str, bool, bool, bool, bool]] = [(root, not articles, False, False, False)]
     tops = set(map(id, articles))
+    above = set()  # nodes that hold an article
+    for node in reversed(nodes):
+        if any(id(c) in tops or id(c) in above for c in node.kids):
+            above.add(id(node))
     while todo:
-        node, inside, leaving = todo.pop()
+        node, inside, whole, running, leaving = todo.pop()
         if isinstance(node, str):
             if inside:
                 parts.append(node)
@@ -222,16 +246,17 @@ def main_text(page: str, seed: str | None = None, template: frozenset[int] = fro
         if not region and node.tag not in ("html", "body", "#root", "main"):
             if node.tag in DROPPED or node.names & NOISE or (node.tag == "header" and not (inside and articles)):
                 continue
-            if node.number in constant and not (inside and articles) and node.words:
+            if node.number in constant and node.words and id(node) not in above and not (whole or (running and node.tag in INLINE)):
                 continue
-        inside = inside or region
+        inside, whole = inside or region, whole or (region and node.number in constant)
+        running = bool(articles) and inside and any(isinstance(c, str) and not c.isspace() for c in node.children)
         if node.tag == "br":
             parts.append(" ")
         if node.tag not in INLINE:
             if inside:
                 close()
-            todo.append((node, inside, True))
-        todo.extend((c, inside, False) for c in reversed(node.children))
+            todo.append((node, inside, whole, running, True))
+        todo.extend((c, inside, whole, running, False) for c in reversed(node.children))
     close()
     return "\n".join(blocks)
 
@@ -255,9 +280,10 @@ def induce(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
             for host, page, seed in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 root = parse(page)
                 number(root)
+                plain = _plain(seed)
                 for a, b in align(_seed(seed), root):
                     if a.words:
-                        one = sums.setdefault((host, a.number), [0, 0])
+                        one = sums.setdefault((host, a.number), [0, 0, PLAIN_PAGES if a.number in plain else TEMPLATE_PAGES])
                         one[0] += 1
                         one[1] += a.words == b.words
             if len(sums) > 100_000:
@@ -266,9 +292,9 @@ def induce(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
         if sums:
             yield _counts(sums)
 
-    aligned = base.join(_sent(seeds), "host").select("host", "page", "seed").mapInArrow(count, "host string, node int, pages long, equal long")
-    total = aligned.groupBy("host", "node").agg(F.sum("pages").alias("pages"), F.sum("equal").alias("equal"))
-    constant = total.filter((F.col("equal") >= TEMPLATE_PAGES) & (F.col("equal") >= TEMPLATE_SHARE * F.col("pages")))
+    aligned = base.join(_sent(seeds), "host").select("host", "page", "seed").mapInArrow(count, "host string, node int, pages long, equal long, least int")
+    total = aligned.groupBy("host", "node").agg(F.sum("pages").alias("pages"), F.sum("equal").alias("equal"), F.max("least").alias("least"))
+    constant = total.filter((F.col("equal") >= F.col("least")) & (F.col("equal") >= TEMPLATE_SHARE * F.col("pages")))
     return seeds.join(constant.groupBy("host").agg(F.collect_list("node").alias("template")), "host", "left")
 
 
@@ -277,8 +303,9 @@ def _counts(sums: dict[tuple[str, int], list[int]]) -> pa.RecordBatch:
         [
             pa.array([h for h, _ in sums], pa.string()), pa.array([n for _, n in sums], pa.int32()),
             pa.array([v[0] for v in sums.values()], pa.int64()), pa.array([v[1] for v in sums.values()], pa.int64()),
+            pa.array([v[2] for v in sums.values()], pa.int32()),
         ],
-        names=["host", "node", "pages", "equal"],
+        names=["host", "node", "pages", "equal", "least"],
     )
 
 

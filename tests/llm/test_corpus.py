@@ -187,6 +187,20 @@ def test_pages(spark):
     assert wrapper.main_text(deep) == "x"
 
 
+def test_page_templates_inside_articles(spark):
+    page = (
+        "<body><{1}><h1>Head {0}</h1><div class='zq7'><p>Read this on our app</p></div><p>Text <b>with</b> {0}</p><a>Send it on</a><p>Last {0}</p></{1}><p>out</p></body>"
+    )
+    rows = [(i, "http://a.example/", page.format(i, "article")) for i in range(8)] + [(10 + i, "http://m.example/", page.format(i, "main")) for i in range(8)]
+    rows += [(20 + i, "http://r.example/", page.format(0, "article")) for i in range(8)]  # one page again and again
+    rows += [(100 + i, "http://p.example/", f"<article><h1>Head {i}</h1><p>Plain and constant</p><p>Text {i}</p></article>") for i in range(20)]
+    got = {r.page_id: r.text for r in wrapper.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[100] == "Head 0\nText 0"  # a plain paragraph goes on more pages
+    for i in range(8):
+        assert got[i] == got[10 + i] == f"Head {i}\nText with {i}\nLast {i}"
+        assert got[20 + i] == "Head 0\nRead this on our app\nText with 0\nSend it on\nLast 0"
+
+
 def test_scores(docs, texts, empty):
     rows = {r.doc_id: r for r in maxent.score_texts(docs).collect()}
     cut = lambda t: [*WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None]
