@@ -201,6 +201,51 @@ def test_page_templates_inside_articles(spark):
         assert got[20 + i] == "Head 0\nRead this on our app\nText with 0\nSend it on\nLast 0"
 
 
+def test_page_names_and_seeds(spark):
+    read = lambda page: wrapper.main_text(page)
+    assert read("<div class='content has-sidebar'><form><article><p>x</p></article></form></div>") == "x"
+    assert read("<article><h2 id='social-impact'>a</h2><section id='related-work'>b</section><p id='search'>c</p><div class='share box'>d</div></article>") == "a\nb\nc"
+    page = "<body><article><h1>Head {0}</h1><div id='comments'>By {0}</div><div class='zq7'>Same on all</div><p>Text {0}</p></article></body>"
+    rows = [(None, "http://s.example/", None), (0, "http://s.example/", ""), (1, "http://s.example/", "<p>gone</p>")]
+    rows += [(10 + i, "http://s.example/", page.format(i)) for i in range(8)]
+    got = {r.page_id: r.text for r in wrapper.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[None] == got[0] == "" and got[1] == "gone" and all(got[10 + i] == f"Head {i}\nText {i}" for i in range(8))
+
+
+def test_page_alignment(monkeypatch):
+    def tree(page):
+        root = wrapper.parse(page)
+        wrapper.number(root)
+        return root
+
+    def brute(a, b):
+        if a.tag != b.tag:
+            return 0
+        row = [0] * (len(b.kids) + 1)
+        for x in a.kids:
+            new = [0]
+            for j, y in enumerate(b.kids):
+                m = brute(x, y)
+                new.append(max(row[j + 1], new[-1], row[j] + m if m else 0))
+            row = new
+        return 1 + row[-1]
+
+    rng = random.Random(5)
+    make = lambda d: "".join(f"<{t}>{make(d - 1) if d else ''}</{t}>" for t in rng.choices(["div", "ul", "b"], k=rng.randint(0, 4)))
+    for cells in (wrapper.CELLS, 1):
+        monkeypatch.setattr(wrapper, "CELLS", cells)
+        for _ in range(150):
+            a, b = tree(make(3)), tree(make(3))
+            pairs = wrapper.align(a, b)
+            assert len(pairs) == brute(a, b) and all(x.tag == y.tag for x, y in pairs)
+            assert sorted(y.number for _, y in pairs) == [y.number for _, y in sorted(pairs, key=lambda p: p[0].number)]  # order kept
+    monkeypatch.undo()
+    long = [tree(f"<body><{t}>0</{t}>" + "".join(f"<div><i>{k}</i></div><ul></ul>" for k in range(n)) + "<p>end</p></body>") for t, n in (("h1", 1000), ("h2", 900))]
+    assert len(wrapper.align(*long)) == 2 + 1 + 900 * 3
+    deep = [tree("<div>" * 2000 + t + "</div>" * 2000) for t in ("<p>x</p>", "<p>x</p><ul></ul>")]
+    assert len(wrapper.align(*deep)) == 2002
+
+
 def test_scores(docs, texts, empty):
     rows = {r.doc_id: r for r in maxent.score_texts(docs).collect()}
     cut = lambda t: [*WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None]
