@@ -1,18 +1,20 @@
 """Toxicity from the nearest labelled examples.
 
-Examples and documents are TF-IDF vectors over word stems. The examples'
-inverted index is cut into blocks that carry the largest weight of each stem;
-a block is read only if its bound can still reach the nearest ``NEIGHBOURS``,
-so the cosines found are exact. Neighbours vote with a power of their cosine,
-and a logistic curve fitted on left-out votes makes a probability of the vote.
+Examples and documents are TF-IDF vectors over all words of the examples; a
+word weighs the more the better it tells the label, and none is left out. The
+examples' inverted index is cut into blocks that carry the largest weight of
+each word; a block is read only if its bound can still reach the nearest
+``NEIGHBOURS``, so the cosines found are exact. Neighbours vote with a power of
+their cosine, and a logistic curve fitted on left-out votes makes a probability
+of the vote.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -22,43 +24,89 @@ from hemicycle.session import cut_lineage
 
 #: labelled rows at most that the model is fitted on, half of them for each label
 MOST_EXAMPLES = 4000
-#: stems at most that vectors have, and characters of a stem
-MOST_STEMS, STEM = 128, 4
-#: a stem speaks for the label if its chi-squared value is at least this, in so many examples
-LEAST_CHI, LEAST_EXAMPLES = 20.0, 3
+#: weight of a word that says nothing about the label, beside the square root of its chi-squared value over what chance gives, by the examples
+PLAIN, CHANCE = 0.02, 20.0
 NEIGHBOURS, POWER, BLOCK = 16, 4, 32
-#: blocks read in one step
+#: words that this part of the examples holds are kept as dense rows: one in so many
+COMMON = 16
+#: texts scored at once
+TEXTS = 64
+#: blocks read in the first step
 STEP = 8
 #: a vote of this weight for the share of the label stands beside the neighbours
 PRIOR_WEIGHT = 0.05
-_HEAD = itemgetter(slice(0, STEM))
+_WORD = re.compile(r"\w+")
 
 
 def stems(text: str | None) -> Counter:
-    """Counts of the stems of a whole text."""
-    return Counter(map(_HEAD, (text or "").lower().split()))
+    """Counts of the words of a whole text."""
+    return Counter(_WORD.findall((text or "").lower()))
+
+
+class Postings:
+    """Sparse lists of ``(place, weight)`` a word, in blocks of places with their largest weights."""
+
+    def __init__(self, word: np.ndarray, place: np.ndarray, weight: np.ndarray, words: int, examples: int):
+        order = np.lexsort((place, word))
+        word, self.place, self.weight = word[order], place[order].astype(np.int32), weight[order]
+        self.words, self.examples, self.blocks = words, examples, max(1, -(-examples // BLOCK))
+        block, self.inside = self.place // BLOCK, self.place % BLOCK
+        new = np.r_[True, (word[1:] != word[:-1]) | (block[1:] != block[:-1])] if len(word) else np.zeros(0, bool)
+        self.begin = np.flatnonzero(new)  # of each run of a word in a block
+        self.end = np.r_[self.begin[1:], len(word)] if len(word) else self.begin
+        self.block = block[self.begin]
+        self.top = np.maximum.reduceat(self.weight, self.begin) if len(word) else self.weight
+        self.runs = np.searchsorted(word[self.begin], np.arange(words + 1))  # of each word
+        found = np.bincount(word, minlength=words)
+        common = np.flatnonzero(found * COMMON >= max(1, examples))
+        self.row = np.full(words, -1)  # of a common word in the dense part, which is multiplied for many texts at once
+        self.row[common] = np.arange(len(common))
+        self.dense = self[common.tolist()].reshape(len(common), self.blocks * BLOCK)
+
+    def common(self, vectors: list[tuple[tuple[int, ...], np.ndarray]]) -> np.ndarray:
+        """What common words add to the cosines of some texts with every example."""
+        x = np.zeros((len(vectors), len(self.dense)))
+        for i, (at, w) in enumerate(vectors):
+            row = self.row[list(at)] if at else np.zeros(0, np.int64)
+            x[i, row[row >= 0]] = w[row >= 0]
+        return x @ self.dense
+
+    def __getitem__(self, at: list[int]) -> np.ndarray:
+        """Weights of some words as a dense array, word x block x place in the block."""
+        out = np.zeros((len(at), self.blocks * BLOCK))
+        for i, w in enumerate(at):
+            runs = slice(self.runs[w], self.runs[w + 1])
+            if runs.start < runs.stop:
+                part = slice(self.begin[runs.start], self.end[runs.stop - 1])
+                out[i, self.place[part]] = self.weight[part]
+        return out.reshape(len(at), self.blocks, BLOCK)
+
+
+def _ranges(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of some ranges, and the range of each."""
+    size = end - begin
+    which = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + begin[which], which
 
 
 @dataclass
 class Model:
-    """Stems with their weights, examples block by block, and the curve."""
+    """Words with their weights, examples block by block, and the curve."""
 
     weight: dict[str, float]
     example_ids: np.ndarray
     labels: np.ndarray
-    postings: np.ndarray  # stem x block x place in the block: weight, 0 where the example lacks the stem
-    block_max: np.ndarray  # stems x blocks
+    postings: Postings
     share: float
     curve: tuple[float, float]
 
     def __post_init__(self) -> None:
         self.place = {s: i for i, s in enumerate(self.weight)}
         self.idf = np.array(list(self.weight.values()))
-        self.seen: dict[tuple, tuple] = {}  # texts with equal counts of known stems
 
     def known(self, counts: Counter) -> tuple[tuple[int, int], ...]:
         place = self.place
-        return tuple(sorted((place[s], counts[s]) for s in place.keys() & counts.keys()))
+        return tuple(sorted((place[s], c) for s, c in counts.items() if s in place))
 
     def vector(self, known: tuple[tuple[int, int], ...]) -> tuple[tuple[int, ...], np.ndarray]:
         """Stems of a text that the model knows, with unit weights."""
@@ -68,20 +116,40 @@ class Model:
         w = (1 + np.log(counts)) * self.idf[list(at)]
         return at, w / np.linalg.norm(w)
 
-    def nearest(self, at: tuple[int, ...], w: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, at: tuple[int, ...], w: np.ndarray, skip: int = -1, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Exactly the nearest examples with a cosine over zero, best first; ties by place."""
-        at = list(at)
-        bound = w @ self.block_max[at]
+        post = self.postings
+        if common is None:
+            common = post.common([(at, w)])[0]
+        common = common.reshape(post.blocks, BLOCK)
+        terms = np.array(at, np.int64)
+        rare = post.row[terms] < 0
+        terms, w = terms[rare], w[rare]
+        runs, term = _ranges(post.runs[terms], post.runs[terms + 1])
+        block = post.block[runs]
+        bound = common.max(axis=1) + np.bincount(block, w[term] * post.top[runs], post.blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
+        by_block = np.argsort(block, kind="stable")  # the runs of each block
+        first = np.searchsorted(block[by_block], np.arange(post.blocks + 1))
         ids, cos, worst = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for begin in range(0, len(order), STEP):
-            blocks = order[begin : begin + STEP]
-            if len(ids) >= NEIGHBOURS and bound[blocks[0]] < worst - 1e-12:
-                break
-            sums = (w @ self.postings[at][:, blocks].reshape(len(at), -1)) if len(at) > 1 else w[0] * self.postings[at[0], blocks].ravel()
+        begin = 0
+        while begin < len(order):
+            blocks = order[begin : begin + STEP + begin]  # as many again as were read
+            begin += len(blocks)
+            if len(ids) >= NEIGHBOURS:
+                blocks = blocks[bound[blocks] >= worst - 1e-9]
+                if not len(blocks):
+                    break
+            pick, which = _ranges(first[blocks], first[blocks + 1])
+            pick = by_block[pick]
+            chosen = runs[pick]
+            size = post.end[chosen] - post.begin[chosen]
+            entry = np.arange(size.sum()) + np.repeat(post.begin[chosen] - np.cumsum(size) + size, size)
+            slot = np.repeat(which * BLOCK, size) + post.inside[entry]
+            sums = np.bincount(slot, np.repeat(w[term[pick]], size) * post.weight[entry], len(blocks) * BLOCK) + common[blocks].ravel()
             places = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            use = (sums > max(0.0, worst - 1e-12)) & (places != skip)
+            use = (sums > max(0.0, worst - 1e-9)) & (places != skip)
             ids, cos = np.r_[ids, places[use]], np.r_[cos, sums[use]]
             if len(ids) > NEIGHBOURS:
                 best = np.lexsort((ids, -cos))[:NEIGHBOURS]
@@ -95,25 +163,20 @@ class Model:
         power = cos**POWER
         return float((power @ self.labels[near] + PRIOR_WEIGHT * self.share) / (power.sum() + PRIOR_WEIGHT))
 
-    def score(self, text: str | None) -> tuple[float, list[int], list[float]]:
-        """Probability of the label, with the examples that it rests on."""
-        known = self.known(stems(text))
-        if known in self.seen:
-            return self.seen[known]
-        at, w = self.vector(known)
-        near, cos = self.nearest(at, w) if at else (np.zeros(0, np.int64), np.zeros(0))
-        a, b = self.curve
-        vote = np.clip(self.vote(near, cos), 1e-6, 1 - 1e-6)
-        p = 1 / (1 + np.exp(-(a * np.log(vote / (1 - vote)) + b)))
-        found = float(p), self.example_ids[near].tolist(), cos.tolist()
-        if len(self.seen) >= 50_000:
-            self.seen.clear()
-        self.seen[known] = found
-        return found
+    def score_all(self, texts: list[str | None]) -> Iterator[tuple[float, list[int], list[float]]]:
+        """Probability of the label, with the examples that it rests on, of each text."""
+        for begin in range(0, len(texts), TEXTS):
+            vectors = [self.vector(self.known(stems(t))) for t in texts[begin : begin + TEXTS]]
+            for (at, w), common in zip(vectors, self.postings.common(vectors), strict=True):
+                near, cos = self.nearest(at, w, common=common) if at else (np.zeros(0, np.int64), np.zeros(0))
+                a, b = self.curve
+                vote = np.clip(self.vote(near, cos), 1e-6, 1 - 1e-6)
+                p = 1 / (1 + np.exp(-(a * np.log(vote / (1 - vote)) + b)))
+                yield float(p), self.example_ids[near].tolist(), cos.tolist()
 
 
 def chi_squared(n: int, pos: int, found: int, hits: int) -> float:
-    """Of a stem in ``found`` of ``n`` examples, ``hits`` of the ``pos`` labelled ones; 0 if it speaks against."""
+    """Of a word in ``found`` of ``n`` examples, ``hits`` of the ``pos`` labelled ones; 0 if it speaks against."""
     if hits * (n - pos) <= (found - hits) * pos:
         return 0.0
     b, c = found - hits, pos - hits
@@ -122,30 +185,34 @@ def chi_squared(n: int, pos: int, found: int, hits: int) -> float:
 
 
 def build(examples: list[tuple[int, int, Counter]], found: dict[str, tuple[int, int]], totals: dict[int, int]) -> Model:
-    """Fit on ``(id, label, stems)``.
+    """Fit on ``(id, label, words)``.
 
-    ``found`` has the examples and labelled examples of each stem, ``totals``
+    ``found`` has the examples and labelled examples of each word, ``totals``
     the labelled rows of each label.
     """
     share = totals.get(1, 0) / max(1, sum(totals.values()))
     n, pos = len(examples), sum(label for _, label, _ in examples)
-    strong = sorted((-x, s) for s, (k, h) in found.items() if k >= LEAST_EXAMPLES and (x := chi_squared(n, pos, k, h)) >= LEAST_CHI)[:MOST_STEMS]
-    weight = {s: float(np.log(n / found[s][0]) + 0.1) for _, s in strong}
-    place = {s: i for i, s in enumerate(weight)}
-    # only examples with a stem have a cosine; like examples share blocks, which keeps the bounds low
-    rows = [(i, label, c) for i, label, c in examples if any(s in place for s in c)]
-    rows.sort(key=lambda r: (min(place[s] for s in r[2] if s in place), r[1], r[0]))
-    blocks = max(1, -(-len(rows) // BLOCK))
-    dense = np.zeros((max(1, len(weight)), blocks * BLOCK))
-    model = Model(weight, np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float), dense, np.zeros((0, blocks)), share, (1.0, 0.0))
+    weight, told = {}, {}
+    for word, (k, h) in sorted(found.items()):
+        told[word] = (max(0.0, chi_squared(n, pos, k, h) - CHANCE) / max(1, n)) ** 0.5
+        weight[word] = float((np.log(n / k) + 0.1) * (PLAIN + told[word]))
+    # like examples share blocks, which keeps the bounds low
+    rows = [(i, label, c) for i, label, c in examples if c]
+    lead = [max(c, key=lambda s: (told[s] * weight[s], s)) for _, _, c in rows]
+    rows = [r for _, r in sorted(zip(lead, rows, strict=True), key=lambda x: (-told[x[0]], x[0], x[1][1], x[1][0]))]
+    place = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    model = Model(weight, np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float), Postings(*place, len(weight), 0), share, (1.0, 0.0))
     vectors = [model.vector(model.known(r[2])) for r in rows]
-    for j, (at, w) in enumerate(vectors):
-        dense[list(at), j] = w
-    cut = dense.reshape(len(dense), blocks, BLOCK)
-    model.block_max = cut.max(axis=2)
-    model.postings = cut
-    votes = [model.vote(*model.nearest(at, w, skip=j)) for j, (at, w) in enumerate(vectors)]
-    silent = Counter(label for _, label, c in examples if not any(s in place for s in c))
+    if rows:
+        word = np.concatenate([np.array(at, np.int64) for at, _ in vectors])
+        at = np.repeat(np.arange(len(rows)), [len(at) for at, _ in vectors])
+        model.postings = Postings(word, at, np.concatenate([w for _, w in vectors]), len(weight), len(rows))
+    votes = []
+    for begin in range(0, len(rows), TEXTS):
+        part = vectors[begin : begin + TEXTS]
+        for j, ((at, w), common) in enumerate(zip(part, model.postings.common(part), strict=True), begin):
+            votes.append(model.vote(*model.nearest(at, w, skip=j, common=common)))
+    silent = Counter(label for _, label, c in examples if not c)
     prior = model.vote(np.zeros(0, np.int64), np.zeros(0))
     x = np.array(votes + [prior, prior]).clip(1e-6, 1 - 1e-6)
     y = np.array([r[1] for r in rows] + [0, 1], float)
@@ -181,7 +248,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     Rows are taken in the order of a hash of the id, half for each label (the
     rest of a short half goes to the other). A document with several labels
-    has the highest; null labels and ids do not count. Only stem counts of the
+    has the highest; null labels and ids do not count. Only word counts of the
     chosen rows come to the driver.
     """
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg((F.max(label_col) > 0).cast("int").alias("label"))
@@ -209,15 +276,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     kind = docs.schema[id_col].dataType.simpleString()
     sums = rows.select("id", "text", "label").mapInArrow(count, f"id {kind}, label int, stems array<string>, counts array<bigint>")
-    spread = cut_lineage(sums).select("id", "label", F.explode(F.arrays_zip("stems", "counts")).alias("s")).select("id", "label", "s.*")
     # bounded by the sample, as all that follows
-    common = spread.groupBy("stems").agg(F.count("*").alias("found"), F.sum("label").alias("hits")).filter(F.col("found") >= LEAST_EXAMPLES).collect()
-    found = {r["stems"]: (r["found"], r["hits"]) for r in common}
-    n, pos = take[0] + take[1], take[1]
-    strong = [s for s, (k, h) in found.items() if chi_squared(n, pos, k, h) >= LEAST_CHI]
-    counts: dict[int, Counter] = {}
-    for r in spread.filter(F.col("stems").isin(strong)).collect() if strong else []:
-        counts.setdefault(r["id"], Counter())[r["stems"]] = r["counts"]
+    counts, found = {}, {}
+    rows = cut_lineage(sums.groupBy("id").agg(F.max("label").alias("label"), F.collect_list(F.struct("stems", "counts")).alias("parts")))
+    for r in rows.toLocalIterator():
+        sum_of: Counter = Counter()
+        for part in r["parts"]:  # rows that share an id are one example
+            for word, c in zip(part["stems"], part["counts"], strict=True):
+                sum_of[word] += c
+        counts[r["id"]] = sum_of
+        for word in sum_of:
+            k, h = found.get(word, (0, 0))
+            found[word] = k + 1, h + r["label"]
     examples = [(r[id_col], r["label"], counts.get(r[id_col], Counter())) for r in chosen.collect()]
     return build(sorted(examples, key=lambda e: e[0]), found, totals)
 
@@ -228,18 +298,18 @@ def score_toxicity(
     """``id_col, held_out, score, predicted, evidence, cosines`` of every row.
 
     ``evidence`` are the ids of the examples that voted. Null and empty texts,
-    and texts without a known stem, get the score of the bare prior. Without
+    and texts without a known word, get the score of the bare prior. Without
     labels every score is the same. Rows with null or repeated ids are scored
     as rows of their own; an empty table gives an empty result.
     """
     model = model or fit(docs, labels, id_col, text_col, label_col)
     kind = docs.schema[id_col].dataType.simpleString()
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # MOST_EXAMPLES x MOST_STEMS numbers at most
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # the words of MOST_EXAMPLES texts at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in batches:
-            found = [own.score(t) for t in batch.column(2).to_pylist()]
+            found = list(own.score_all(batch.column(2).to_pylist()))
             scores = [f[0] for f in found]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -260,6 +330,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            yield batch.filter(pa.array([sent.value.score(t)[0] < 0.5 for t in texts], pa.bool_()))
+            yield batch.filter(pa.array([f[0] < 0.5 for f in sent.value.score_all(texts)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

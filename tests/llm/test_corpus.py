@@ -149,6 +149,29 @@ def test_toxicity(spark, empty):
     assert toxicity.score_toxicity(empty.select("doc_id", "text"), labels).collect() == []
 
 
+def test_toxicity_terms(spark):
+    rng = random.Random(8)
+    # far more than 128 words speak for the label, and clean words share their first letters
+    bad = [f"vile{a}{b}{c}" for a in "abcdef" for b in "ghijkl" for c in "mnopqr"]
+    fine = [w[:4] + w[4:][::-1] for w in bad]
+    rows, toxic = [], []
+    for i in range(900):
+        toxic.append(int(i % 3 == 0))
+        rows.append((i, " ".join(rng.sample(fine, 12) + (rng.sample(bad, 12) if toxic[i] else rng.sample(fine, 12)))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert set(model.weight) == set(bad) | set(fine) and min(model.weight.values()) > 0  # no word is left out
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs, labels, model=model).collect()}
+    held = [i for i in got if got[i].held_out]
+    assert sum(got[i].predicted == toxic[i] for i in held) >= 0.95 * len(held)
+    for i in held[:40]:
+        at, w = model.vector(model.known(toxicity.stems(rows[i][1])))
+        exact = np.sort((w @ model.postings[list(at)].reshape(len(at), -1)))[::-1]
+        cos = got[i].cosines
+        assert len(cos) == toxicity.NEIGHBOURS and np.allclose(cos, exact[: len(cos)])  # pruning loses nothing
+
+
 def test_packing(docs, texts, empty):
     from tokenizers import Tokenizer
 
