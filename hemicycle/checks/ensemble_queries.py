@@ -36,6 +36,11 @@ def _(spark, sf):
     return fairshare.pivoted(fairshare.matrix(_alloc(spark, sf), "seats"), range(4))
 
 
+@query("q1_seats_matrix_wide_all", f"""WITH {ALLOC} SELECT party, {', '.join(f'CAST(COALESCE(sum(seats) FILTER (district = {d}), 0) AS BIGINT) AS "{d}"' for d in range(25))} FROM seats GROUP BY 1""")
+def _(spark, sf):
+    return fairshare.pivoted(fairshare.matrix(_alloc(spark, sf), "seats"), range(25))
+
+
 @query("q2_fair_share_district", f"WITH {FAIR} SELECT party, district, votes, magnitude, {R('fair_share', 6)} AS fair_share FROM fair")
 def _(spark, sf):
     return rounded(_fair(spark, sf)).select("party", "district", "votes", "magnitude", "fair_share")
@@ -43,7 +48,8 @@ def _(spark, sf):
 
 @query("q3_fair_share_biproportional")
 def _(spark, sf):
-    return rounded(fairshare.fair_share_biproportional(b.district_votes(spark, sf), b.magnitudes(spark, sf))[0])
+    shares, settled = fairshare.fair_share_biproportional(b.district_votes(spark, sf), b.magnitudes(spark, sf))
+    return rounded(shares).withColumn("converged", F.lit(settled))
 
 
 @query("q3_fair_share_by_plan")
@@ -238,6 +244,15 @@ def _(spark, sf):
     return pareto.sweep({0.0: stats.where("scenario = 'click'"), 0.5: stats.where("scenario = 'error'")}, ["max_dev_pct", "pp_mean", "split_units"])
 
 
+SCENARIOS = {"click": 0.0, "error": 0.25, "purchase": 0.5, "signup": 0.75, "view": 1.0}
+
+
+@query("i9_sweep_all", " UNION ALL ".join(f"SELECT max_dev_pct, pp_mean, {v}e0 AS penalty FROM event_stats WHERE scenario = '{k}'" for k, v in SCENARIOS.items()))
+def _(spark, sf):
+    stats = event_stats(spark, sf)
+    return pareto.sweep({v: stats.where(F.col("scenario") == k) for k, v in SCENARIOS.items()}, ["max_dev_pct", "pp_mean", "split_units"])
+
+
 SWEEP_DOM = dominated({"max_dev_pct": "<", "split_severity": "<"}).replace("event_stats", "sweep")
 FRONT = f"tf AS (SELECT *, NOT {SWEEP_DOM} AS is_pareto FROM sweep p)"
 
@@ -267,7 +282,7 @@ def _(spark, sf):
 
 @query("i11_bootstrap_bands")
 def _(spark, sf):
-    return rounded(pareto.bootstrap_bands(sweep(spark, sf), "max_dev_pct", "split_severity", replicates=40))
+    return rounded(pareto.bootstrap_bands(sweep(spark, sf), "max_dev_pct", "split_severity", replicates=200))
 
 
 KNEE = f"""{FRONT}, f AS (SELECT *, row_number() OVER (ORDER BY max_dev_pct, split_severity, penalty) - 1 AS position FROM tf WHERE is_pareto),

@@ -537,7 +537,7 @@ def _(spark, sf):
 
 @query("s2_moran_permutations")
 def _(spark, sf):
-    return rounded(spatial.moran_global(values(spark, sf), b.edges(spark, sf), permutations=99))
+    return rounded(spatial.moran_global(values(spark, sf), b.edges(spark, sf), permutations=999))
 
 
 @query("s3_moran_local", f"""SELECT unit_id, value, {R('(n - 1) / sum(z * z) OVER () * z * COALESCE(lag, 0)', 6)} AS local_i,
@@ -549,7 +549,7 @@ def _(spark, sf):
 
 @query("s3_moran_local_permutations")
 def _(spark, sf):
-    return rounded(spatial.moran_local(values(spark, sf), b.edges(spark, sf), permutations=49))
+    return rounded(spatial.moran_local(values(spark, sf), b.edges(spark, sf), permutations=999))
 
 
 @query("s4_getis_ord_local", f"""WITH g AS (SELECT src AS unit_id, sum(value) AS near, count(*) AS w FROM ways JOIN zv ON unit_id = dst GROUP BY 1),

@@ -31,25 +31,24 @@ def numbered(chains: DataFrame) -> DataFrame:
 def acf(chains: DataFrame, max_lag: int = 50, half: bool = False) -> DataFrame:
     """Autocorrelation by (metric, chain, lag), lag 0 included.
 
-    A chain is cut into blocks of fixed length that also receive the first
+    A chain is cut into blocks of fixed length (of ``max_lag`` if that is more) that also receive the first
     ``max_lag`` values of the next block; products inside blocks add up to the
     whole chain. ``half`` also limits lags to half the chain. Constant chains
     give zeros.
     """
-    if max_lag > _BLOCK:
-        raise ValueError(f"max_lag must not exceed {_BLOCK}")
+    size = max(_BLOCK, max_lag)
     rows = chains if "position" in chains.columns else numbered(chains)
     sizes = rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("_mean"))
     centred = attach(rows, sizes, KEYS).withColumn("x", F.col("value") - F.col("_mean"))
-    block = F.floor(F.col("position") / _BLOCK)
-    spill = (F.col("position") % _BLOCK < max_lag) & (block > 0)
+    block = F.floor(F.col("position") / size)
+    spill = (F.col("position") % size < max_lag) & (block > 0)
     blocks = F.when(spill, F.array(block, block - 1)).otherwise(F.array(block))
     spread = centred.select(*KEYS, "position", "x", F.explode(blocks).alias("block"))
 
     def products(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("position")
         x = frame["x"].to_numpy()
-        own = int((frame["position"] // _BLOCK == frame["block"]).sum())
+        own = int((frame["position"] // size == frame["block"]).sum())
         lags = np.arange(min(max_lag, len(x) - 1) + 1)
         dots = [float(np.dot(x[: min(own, len(x) - k)], x[k : k + own])) for k in lags]
         return pd.DataFrame({"metric": frame["metric"].iloc[0], "chain": frame["chain"].iloc[0], "lag": lags, "dot": dots})

@@ -159,7 +159,7 @@ def spatial_correlogram(
 
 
 def autocorrelation_scopes(
-    units: DataFrame, edges: DataFrame, scopes: dict[str, str | None], variables: Sequence[str], permutations: int = 0
+    units: DataFrame, edges: DataFrame, scopes: dict[str, str | None], variables: Sequence[str]
 ) -> DataFrame:
     """Global Moran of every variable within every scope, in one job.
 
