@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hemicycle.llm import embedding_dedup, hilbert, jaccard, maxent, packing, piece_codec, quality, repeats, toxicity, wrapper
+from hemicycle.llm import centroids, embedding_dedup, hilbert, jaccard, maxent, packing, piece_codec, quality, repeats, spelling, toxicity, wrapper
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,6 +60,14 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(_read(spark, sf_dir, "documents"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(_read(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 def _reach(links: str) -> str:
     """CTE ``reach``: every id with the ids that links lead to."""
     return f"reach(id, root) AS (SELECT a, b FROM {links} UNION SELECT r.id, l.b FROM reach r JOIN {links} l ON r.root = l.a)"
@@ -129,8 +137,72 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM c
 """
 
+_OP12 = rf"""
+WITH RECURSIVE tab(i, k, c) AS (
+    SELECT i, 0, i FROM range(256) r(i)
+    UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM tab WHERE k < 8
+), t AS (SELECT list(c ORDER BY i) AS t FROM tab WHERE k = 8), runs AS (
+    SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, translate(unnest(regexp_extract_all(coalesce(text, ''), '{spelling.RUN}')), '{_UPPER}', '{_LOWER}') AS run FROM documents
+), kinds AS (
+    SELECT id, run, count(*) AS n, hex(id || ':' || run) AS x FROM runs WHERE length(run) >= 7 GROUP BY id, run
+), hashed AS (
+    SELECT run, n, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(len(x) // 2),
+        lambda i: 16 * strpos('123456789ABCDEF', x[2 * i + 1]) + strpos('123456789ABCDEF', x[2 * i + 2]))),
+        lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) AS h
+    FROM kinds, t
+), w AS MATERIALIZED (
+    SELECT word, CAST(sum(n) AS BIGINT) AS n
+    FROM (SELECT n, CASE WHEN h % 31 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word FROM hashed)
+    WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), del AS MATERIALIZED (
+    SELECT word, i, word[:i] || word[i + 2:] AS less FROM (SELECT word, unnest(range(length(word))) AS i FROM w)
+), near AS (
+    SELECT a.word, b.word AS other FROM del a JOIN del b ON a.i = b.i AND a.less = b.less AND a.word <> b.word
+    UNION SELECT d.word, w.word FROM del d JOIN w ON d.less = w.word
+    UNION SELECT w.word, d.word FROM del d JOIN w ON d.less = w.word
+), best AS (
+    SELECT near.word, count(*) AS n_near, min({{'n': -w.n, 'w': w.word}}) AS b FROM near JOIN w ON w.word = near.other GROUP BY near.word
+), f AS MATERIALIZED (
+    SELECT w.word, CASE WHEN -b.n >= 10 * n THEN b.w END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.n >= 10 * n THEN -b.n END AS form_n
+    FROM w LEFT JOIN best USING (word)
+), path(word, root) AS (
+    SELECT word, word FROM f UNION ALL SELECT path.word, f.form FROM path JOIN f ON f.word = path.root WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, path.root, f.n, f.n_near, f.form_n FROM f JOIN path ON path.word = f.word JOIN f g ON g.word = path.root AND g.form IS NULL
+"""
+
+
+def _op13(count: int = 40, rounds: int = 5) -> str:
+    """Every round is a pair of subqueries: nearest centroids, then new ones."""
+    parts = [f"""
+    WITH good AS MATERIALIZED (
+        SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+        WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), x AS MATERIALIZED (
+        SELECT r, d, CAST(floor(256 * e[d]) AS BIGINT) AS v FROM good, range(1, 65) s(d)
+    ), c0 AS MATERIALIZED (
+        SELECT c, d, v FROM (SELECT r, row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c FROM good WHERE vec_id IS NOT NULL) JOIN x USING (r) WHERE c < {count}
+    )"""]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (
+        SELECT r, min({{'s': s, 'c': c}}) AS b FROM (SELECT r, c, sum((x.v - k.v) * (x.v - k.v)) AS s FROM x JOIN c{i} k USING (d) GROUP BY r, c) GROUP BY r
+    )""")
+        if i < rounds:
+            parts.append(f"""c{i + 1} AS MATERIALIZED (
+        SELECT c, d, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS v
+        FROM (SELECT b.c AS c, d, sum(v) AS s, count(*) AS n FROM a{i} JOIN x USING (r) GROUP BY 1, 2)
+        UNION ALL SELECT c, d, v FROM c{i} WHERE c NOT IN (SELECT b.c FROM a{i})
+    )""")
+    last = f"""
+    SELECT vec_id, CAST(b.c AS INT) AS cluster, CAST(b.s AS BIGINT) AS distance, CAST(sum(b.s) OVER (PARTITION BY b.c) AS BIGINT) AS cluster_inertia,
+        CAST(sum(b.s) OVER () AS BIGINT) AS inertia, sha256(t) AS centroid_sha256
+    FROM a{rounds} JOIN good USING (r) JOIN (SELECT c, string_agg(CAST(v AS VARCHAR), ',' ORDER BY d) AS t FROM c{rounds} GROUP BY c) k ON k.c = b.c"""
+    return ", ".join(parts) + last
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_embedding_near_dedup, op2_hilbert_sharding, op3_quality_rules, op4_sentencepiece_codec, op5_jaccard_join,
     op6_toxicity, op7_best_fit_packing, op8_html_extraction, op9_lm_scoring, op10_suffix_dedup,
+    op12_spelling_variants, op13_centroid_clustering,
 )}
-ORACLES: dict[str, str] = {"op1_embedding_near_dedup": _OP1, "op3_quality_rules": _OP3, "op5_jaccard_join": _OP5}
+ORACLES: dict[str, str] = {"op1_embedding_near_dedup": _OP1, "op3_quality_rules": _OP3, "op5_jaccard_join": _OP5, "op12_spelling_variants": _OP12, "op13_centroid_clustering": _op13()}
