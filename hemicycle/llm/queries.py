@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hemicycle.llm import centroids, embedding_dedup, hilbert, jaccard, maxent, packing, piece_codec, quality, repeats, spelling, toxicity, wrapper
+from hemicycle.llm import centroids, embedding_dedup, hilbert, jaccard, maxent, nn_descent, packing, piece_codec, quality, repeats, spelling, toxicity, wrapper
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,6 +60,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(_read(spark, sf_dir, "documents"))
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.nearest_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(_read(spark, sf_dir, "documents"))
 
@@ -203,6 +207,6 @@ def _op13(count: int = 40, rounds: int = 5) -> str:
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_embedding_near_dedup, op2_hilbert_sharding, op3_quality_rules, op4_sentencepiece_codec, op5_jaccard_join,
     op6_toxicity, op7_best_fit_packing, op8_html_extraction, op9_lm_scoring, op10_suffix_dedup,
-    op12_spelling_variants, op13_centroid_clustering,
+    op11_nearest_neighbours, op12_spelling_variants, op13_centroid_clustering,
 )}
 ORACLES: dict[str, str] = {"op1_embedding_near_dedup": _OP1, "op3_quality_rules": _OP3, "op5_jaccard_join": _OP5, "op12_spelling_variants": _OP12, "op13_centroid_clustering": _op13()}
