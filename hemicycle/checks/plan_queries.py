@@ -535,45 +535,115 @@ def _(spark, sf):
     return rounded(spatial.moran_global(values(spark, sf), b.edges(spark, sf)))
 
 
-@query("s2_moran_permutations")
+_PERMUTED = """pos AS (SELECT unit_id, row_number() OVER (ORDER BY unit_id) - 1 AS pos, z FROM zv),
+pm AS (SELECT k, unit_id, row_number() OVER (PARTITION BY k ORDER BY md5(k || ':' || unit_id), unit_id) - 1 AS r FROM zv, range(1, {draws} + 1) t(k)),
+pz AS MATERIALIZED (SELECT k, pm.unit_id, z FROM pm JOIN pos ON r = pos UNION ALL SELECT 0, unit_id, z FROM zv)"""
+
+
+@query("s2_moran_permutations", f"""WITH {MORAN}, {_PERMUTED.format(draws=999)},
+cr AS (SELECT a.k, sum(a.z * c.z * w1) AS c FROM ww JOIN pz a ON a.unit_id = src JOIN pz c ON c.unit_id = dst AND c.k = a.k GROUP BY 1),
+o AS (SELECT c AS obs, (SELECT sum(z * z) FROM zv) AS z2 FROM cr WHERE k = 0),
+lg AS (SELECT count(*) AS larger FROM cr, o WHERE k > 0 AND c >= obs - 1e-9 * z2)
+SELECT n, {R('mi', 6)} AS moran_i, {R('''(mi + 1e0 / (n - 1)) / sqrt((CAST(n AS DOUBLE) * n * s1 - n * s2 + 3e0 * s0 * s0) / ((CAST(n AS DOUBLE) * n - 1) * s0 * s0)
+ - pow(1e0 / (n - 1), 2))''', 6)} AS z_norm, {R('(least(larger, 999 - larger) + 1) / 1e3', 6)} AS p_sim FROM i, s, q, lg""")
 def _(spark, sf):
     return rounded(spatial.moran_global(values(spark, sf), b.edges(spark, sf), permutations=999))
 
 
-@query("s3_moran_local", f"""SELECT unit_id, value, {R('(n - 1) / sum(z * z) OVER () * z * COALESCE(lag, 0)', 6)} AS local_i,
- CASE WHEN z > 0 AND COALESCE(lag, 0) > 0 THEN 1 WHEN z <= 0 AND COALESCE(lag, 0) > 0 THEN 2 WHEN z <= 0 THEN 3 ELSE 4 END AS quadrant
-FROM zv LEFT JOIN lagged USING (unit_id)""")
+LOCAL = f"""{R('(n - 1) / sum(z * z) OVER () * z * COALESCE(lag, 0)', 6)} AS local_i,
+ CASE WHEN z > 0 AND COALESCE(lag, 0) > 0 THEN 1 WHEN z <= 0 AND COALESCE(lag, 0) > 0 THEN 2 WHEN z <= 0 THEN 3 ELSE 4 END AS quadrant"""
+
+
+@query("s3_moran_local", f"""SELECT unit_id, value, {LOCAL} FROM zv LEFT JOIN lagged USING (unit_id)""")
 def _(spark, sf):
     return rounded(spatial.moran_local(values(spark, sf), b.edges(spark, sf)))
 
 
-@query("s3_moran_local_permutations")
+def _drawn(keys: str, name: str) -> str:
+    """CTEs: placed ``m (keys, unit_id, y)``, its neighbours, and 999 conditional draws counted by unit and variable."""
+    on, a, by = (f"USING ({keys})", f"{keys}, ", f"PARTITION BY {keys}") if keys else ("ON true", "", "")
+    both = " AND ".join([f"x.{k} = c.{k}" for k in keys.split(", ") if k] or ["true"])
+    return f"""pl AS MATERIALIZED (SELECT *, row_number() OVER ({by} ORDER BY unit_id) - 1 AS pos, count(*) OVER ({by}) AS n FROM m),
+nb AS MATERIALIZED (SELECT {"".join(f"x.{k}, " for k in keys.split(", ") if k)}x.unit_id, count(*) AS d, [sum(c.y[1]), sum(c.y[len(c.y)])] AS near
+ FROM (SELECT DISTINCT src, dst FROM ways) JOIN pl x ON x.unit_id = src JOIN pl c ON c.unit_id = dst AND {both} GROUP BY ALL),
+un AS MATERIALIZED (SELECT {a}unit_id, pos, n, y, d, near FROM pl JOIN nb USING ({a}unit_id)),
+sl AS (SELECT {a}max(n) AS n, max(d) AS d FROM un GROUP BY ALL),
+tg AS MATERIALIZED (SELECT {a}k, s, s + CAST('0x' || substr(md5({name}k || ':' || s), 1, 15) AS BIGINT) % (n - 1 - s) AS t FROM sl, range(1, 1000) k(k), range(0, d) s(s)),
+fy({a}k, s, ts, ws, r) AS (SELECT DISTINCT {a}k, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]), CAST(-1 AS BIGINT) FROM tg
+ UNION ALL SELECT {a}k, s + 1, list_prepend(t, ts), list_prepend(CASE WHEN list_contains(ts, s) THEN ws[list_position(ts, s)] ELSE s END, ws),
+  CASE WHEN list_contains(ts, t) THEN ws[list_position(ts, t)] ELSE t END FROM fy JOIN tg USING ({a}k, s)),
+dr AS MATERIALIZED (SELECT {a}k, s - 1 AS slot, r FROM fy WHERE s > 0),
+sm AS (SELECT {"".join(f"x.{k}, " for k in keys.split(", ") if k)}x.unit_id, dr.k, sum(c.y[1]) AS s1, sum(c.y[len(c.y)]) AS s2
+ FROM un x JOIN dr {on.replace("ON true", "ON slot < x.d")} JOIN pl c ON {both} AND c.pos = r + CASE WHEN r >= x.pos THEN 1 ELSE 0 END WHERE slot < x.d GROUP BY ALL),
+mn AS (SELECT {a}[avg(y[1]), avg(y[len(y)])] AS mean, [sum(y[1]), sum(y[len(y)])] AS tot, [sum(y[1] * y[1]), sum(y[len(y)] * y[len(y)])] AS sq FROM pl GROUP BY ALL),
+vr AS (SELECT {a}unit_id, v, n, d, y[v] AS y, near[v] AS near, mean[v] AS mean, tot[v] AS tot, sq[v] AS sq, CASE v WHEN 1 THEN s1 ELSE s2 END AS sim
+ FROM sm JOIN un USING ({a}unit_id) JOIN mn {on}, range(1, 3) v(v)),
+ct AS (SELECT {a}unit_id, v, n, d, y, near, mean, tot, sq, count(*) FILTER (sim >= near) AS more,
+ count(*) FILTER (CASE WHEN y > mean THEN sim >= near WHEN y < mean THEN sim <= near ELSE true END) AS high FROM vr GROUP BY ALL)"""
+
+
+_GSTAR = "(near / (tot - y) - d / CAST(n - 1 AS DOUBLE)) / (sqrt(d * (n - 1 - d) * ((sq - y * y) / (n - 1) - pow((tot - y) / (n - 1), 2)) / (CAST(n - 1 AS DOUBLE) * (n - 1) * (n - 2))) / ((tot - y) / (n - 1)))"
+_P = "(least({0}, 999 - {0}) + 1) / 1e3"
+_ONE = "m AS (SELECT unit_id, [value, value] AS y FROM zv)"
+
+
+@query("s3_moran_local_permutations", f"""WITH RECURSIVE {_ONE}, {_drawn("", "")}
+SELECT unit_id, value, {LOCAL}, {R(_P.format('high'), 6)} AS p_sim, COALESCE({_P.format('high')} < 0.05e0, false) AS significant
+FROM zv LEFT JOIN lagged USING (unit_id) LEFT JOIN (SELECT unit_id, high FROM ct WHERE v = 1) USING (unit_id)""")
 def _(spark, sf):
     return rounded(spatial.moran_local(values(spark, sf), b.edges(spark, sf), permutations=999))
 
 
-@query("s4_getis_ord_local", f"""WITH g AS (SELECT src AS unit_id, sum(value) AS near, count(*) AS w FROM ways JOIN zv ON unit_id = dst GROUP BY 1),
-t AS (SELECT count(*) AS n, sum(value) AS s, sum(value * value) AS q FROM zv),
-m AS (SELECT unit_id, near, w, t.n, s - value AS rest, (s - value) / (t.n - 1) AS mean, (q - value * value) / (t.n - 1) - pow((s - value) / (t.n - 1), 2) AS v FROM zv JOIN g USING (unit_id), t)
-SELECT unit_id, {R('near / rest', 6)} AS g, {R('(near / rest - w / CAST(n - 1 AS DOUBLE)) / (sqrt(w * (n - 1 - w) * v / (CAST(n - 1 AS DOUBLE) * (n - 1) * (n - 2))) / mean)', 6)} AS z FROM m""")
+@query("s4_getis_ord_local", f"""WITH RECURSIVE {_ONE}, {_drawn("", "")}, g AS (SELECT unit_id, near / (tot - y) AS g, {_GSTAR} AS z, {_P.format('more')} AS p FROM ct WHERE v = 1)
+SELECT unit_id, {R('g', 6)} AS g, {R('z', 6)} AS z, {R('p', 6)} AS p_sim, CASE WHEN z > 1.96e0 AND p < 0.05e0 THEN 'hot' WHEN z < -1.96e0 AND p < 0.05e0 THEN 'cold' ELSE 'none' END AS spot FROM g""")
 def _(spark, sf):
-    return rounded(spatial.getis_ord_local(values(spark, sf), b.edges(spark, sf)).select("unit_id", "g", "z"))
+    return rounded(spatial.getis_ord_local(values(spark, sf), b.edges(spark, sf), permutations=999).drop("p_norm"))
+
+
+@query("s5_spatial_correlogram", f"""WITH RECURSIVE walk(src, dst, d) AS (SELECT src, dst, 1 FROM ways UNION SELECT walk.src, ways.dst, d + 1 FROM walk JOIN ways ON ways.src = walk.dst WHERE d < 7),
+al AS (SELECT min(d) AS ord, src, dst FROM walk WHERE src <> dst GROUP BY src, dst),
+dg AS (SELECT ord, src, 1e0 / count(*) AS w FROM al GROUP BY ord, src), {_PERMUTED.format(draws=199)},
+cr AS (SELECT ord, a.k, sum(a.z * c.z * w) AS c FROM al JOIN dg USING (ord, src) JOIN pz a ON a.unit_id = src JOIN pz c ON c.unit_id = dst AND c.k = a.k GROUP BY ord, a.k),
+o AS (SELECT ord, c AS obs, (SELECT sum(z * z) FROM zv) AS z2, (SELECT count(*) FROM zv) AS n FROM cr WHERE k = 0),
+lg AS (SELECT ord, (least(count(*) FILTER (c >= obs - 1e-9 * z2), count(*) FILTER (c < obs - 1e-9 * z2)) + 1) / 2e2 AS p FROM cr JOIN o USING (ord) WHERE k > 0 GROUP BY ord)
+SELECT CAST(ord AS INT) AS "order", {R('n / s0 * obs / z2', 6)} AS moran_i, {R('p', 6)} AS p_sim, p < 0.05e0 AS significant
+FROM o JOIN lg USING (ord) JOIN (SELECT ord, CAST(count(*) AS DOUBLE) AS s0 FROM dg GROUP BY ord) USING (ord)""")
+def _(spark, sf):
+    return rounded(spatial.spatial_correlogram(values(spark, sf), b.edges(spark, sf), 7, 199))
+
+
+SCOPES = {"region": "region", "national": None}
+_SCOPED = """sm0 AS (SELECT unit_id, 'region' AS scope, CAST(region AS VARCHAR) AS place, population FROM unit_frame UNION ALL SELECT unit_id, 'national', 'all', population FROM unit_frame),
+m AS (SELECT scope, place, unit_id, [CAST(population AS DOUBLE), CAST(unit_id % 3 AS DOUBLE)] AS y FROM sm0)"""
+
+
+def scoped(spark, sf):
+    return b.unit_frame(spark, sf).withColumn("parity", F.col("unit_id") % 3)
 
 
-@query("s5_spatial_correlogram", f"""WITH w2 AS (SELECT DISTINCT a.src, c.dst FROM ways a JOIN ways c ON a.dst = c.src WHERE a.src <> c.dst AND NOT EXISTS
- (SELECT 1 FROM ways x WHERE x.src = a.src AND x.dst = c.dst)),
-al AS (SELECT 1 AS ord, src, dst FROM ways UNION ALL SELECT 2, src, dst FROM w2),
-l AS (SELECT ord, src AS unit_id, avg(z) AS lag FROM al JOIN zv ON unit_id = dst GROUP BY ALL)
-SELECT ord AS "order", {R('max(n) / CAST(count(*) AS DOUBLE) * sum(z * lag) / (SELECT sum(z * z) FROM zv)', 6)} AS moran_i FROM l JOIN zv USING (unit_id) GROUP BY 1""")
+@query("s6_autocorrelation_scopes", f"""WITH {_SCOPED},
+zz AS MATERIALIZED (SELECT scope, place, unit_id, v, y[v] - avg(y[v]) OVER w AS z, count(*) OVER w AS n, row_number() OVER (w ORDER BY unit_id) - 1 AS pos
+ FROM m, range(1, 3) v(v) WINDOW w AS (PARTITION BY scope, place, v)),
+pm AS (SELECT scope, place, k, unit_id, row_number() OVER (PARTITION BY scope, place, k ORDER BY md5(scope || ':' || place || ':' || k || ':' || unit_id), unit_id) - 1 AS r FROM m, range(1, 1000) t(k)),
+pz AS MATERIALIZED (SELECT pm.scope, pm.place, k, pm.unit_id, v, z FROM pm JOIN zz ON zz.scope = pm.scope AND zz.place = pm.place AND r = pos UNION ALL SELECT scope, place, 0, unit_id, v, z FROM zz),
+pr AS (SELECT a.scope, a.place, src, dst, count(*) OVER (PARTITION BY a.scope, a.place, src) AS d FROM ways JOIN m a ON a.unit_id = src JOIN m c ON c.unit_id = dst AND c.scope = a.scope AND c.place = a.place),
+cr AS (SELECT pr.scope, pr.place, a.v, a.k, sum(a.z * c.z / d) AS c FROM pr JOIN pz a ON a.scope = pr.scope AND a.place = pr.place AND a.unit_id = src
+ JOIN pz c ON c.scope = pr.scope AND c.place = pr.place AND c.unit_id = dst AND c.k = a.k AND c.v = a.v GROUP BY ALL),
+sz AS (SELECT scope, place, v, max(n) AS n, sum(z * z) AS z2 FROM zz GROUP BY ALL),
+o AS (SELECT scope, place, v, c AS obs, z2, n FROM cr JOIN sz USING (scope, place, v) WHERE k = 0),
+lg AS (SELECT scope, place, v, (least(count(*) FILTER (c >= obs - 1e-9 * z2), count(*) FILTER (c < obs - 1e-9 * z2)) + 1) / 1e3 AS p FROM cr JOIN o USING (scope, place, v) WHERE k > 0 GROUP BY ALL)
+SELECT scope, place, CASE v WHEN 1 THEN 'population' ELSE 'parity' END AS variable, n, {R('n / s0 * obs / z2', 6)} AS moran_i, {R('p', 6)} AS p_sim
+FROM o JOIN lg USING (scope, place, v) JOIN (SELECT scope, place, CAST(count(DISTINCT src) AS DOUBLE) AS s0 FROM pr GROUP BY ALL) USING (scope, place)""")
 def _(spark, sf):
-    return rounded(spatial.spatial_correlogram(values(spark, sf), b.edges(spark, sf), 2).select("order", "moran_i"))
+    return rounded(spatial.autocorrelation_scopes(scoped(spark, sf), b.edges(spark, sf), SCOPES, ["population", "parity"]))
 
 
-@query("s6_autocorrelation_scopes", f"""WITH m AS (SELECT unit_id, 'region' AS scope, CAST(region AS VARCHAR) AS place, population FROM unit_frame UNION ALL SELECT unit_id, 'national', 'all', population FROM unit_frame),
-v AS (SELECT unit_id, scope, place, unnest(['population', 'parity']) AS variable, unnest([CAST(population AS DOUBLE), CAST(unit_id % 3 AS DOUBLE)]) AS x FROM m),
-zz AS (SELECT *, x - avg(x) OVER w AS z, count(*) OVER w AS n FROM v WINDOW w AS (PARTITION BY scope, place, variable)),
-lg AS (SELECT a.scope, a.place, a.variable, a.unit_id, avg(c.z) AS lag FROM ways JOIN zz a ON a.unit_id = src JOIN zz c ON c.unit_id = dst AND c.scope = a.scope AND c.place = a.place AND c.variable = a.variable GROUP BY ALL)
-SELECT scope, place, variable, max(n) AS n, {R('max(n) / CAST(count(lag) AS DOUBLE) * sum(z * lag) / sum(z * z)', 6)} AS moran_i FROM zz LEFT JOIN lg USING (scope, place, variable, unit_id) GROUP BY ALL""")
+@query("s6_local_scopes", f"""WITH RECURSIVE {_SCOPED}, {_drawn("scope, place", "scope || ':' || place || ':' || ")},
+z2 AS (SELECT scope, place, v, sum(pow(y[v] - mean[v], 2)) AS z2 FROM pl JOIN mn USING (scope, place), range(1, 3) v(v) GROUP BY ALL),
+g AS (SELECT *, {_GSTAR} AS g_z, {_P.format('more')} AS p_g, {_P.format('high')} AS p_moran FROM ct JOIN z2 USING (scope, place, v))
+SELECT scope, place, CASE v WHEN 1 THEN 'population' ELSE 'parity' END AS variable, unit_id, {R('(n - 1) * (y - mean) * (near / d - mean) / z2', 6)} AS local_i,
+ CASE WHEN y > mean AND near > d * mean THEN 1 WHEN y <= mean AND near > d * mean THEN 2 WHEN y <= mean THEN 3 ELSE 4 END AS quadrant,
+ {R('p_moran', 6)} AS p_moran, p_moran < 0.05e0 AS significant, {R('g_z', 6)} AS g_z, {R('p_g', 6)} AS p_g,
+ CASE WHEN g_z > 1.96e0 AND p_g < 0.05e0 THEN 'hot' WHEN g_z < -1.96e0 AND p_g < 0.05e0 THEN 'cold' ELSE 'none' END AS spot FROM g""")
 def _(spark, sf):
-    units = b.unit_frame(spark, sf).withColumn("parity", F.col("unit_id") % 3)
-    return rounded(spatial.autocorrelation_scopes(units, b.edges(spark, sf), {"region": "region", "national": None}, ["population", "parity"]))
+    return rounded(spatial.local_scopes(scoped(spark, sf), b.edges(spark, sf), SCOPES, ["population", "parity"]))
