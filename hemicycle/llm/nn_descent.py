@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from hemicycle.functions.ordered import row_index
-from hemicycle.llm.storage import settled
+from hemicycle.llm.storage import settled, written
 
 #: edges of a node, and edges that lead to it, which a round looks at; hubs have
 #: more of the latter, and another sample of them is taken each round
@@ -33,7 +33,7 @@ PIVOTS, DIGITS = 64, 3
 #: the descent ends when a round replaces less than this share of the edges
 SETTLED = 0.1
 #: nodes that a search holds, and those it opens in one round
-BEAM, OPENED = 256, 64
+BEAM, OPENED = 256, 128
 #: queries that meet one copy of a block
 QUERIES = 1024
 #: numbers in one array of pair distances
@@ -264,17 +264,18 @@ def greedy_search(nodes: DataFrame, graph: DataFrame, asked: DataFrame, kind: st
     both = graph.select("src", "dst").unionByName(back.select("src", "dst"))
     around = settled(both.groupBy(F.col("src").alias("node")).agg(F.collect_set("dst").alias("near")))
     queries = settled(asked.join(nodes.select(F.col("node").alias("query"), F.col("vec").alias("q_vec")), "query"))
-    held = asked.select("query", F.col("query").alias("node"), F.lit(0.0).alias("d"), F.lit(True).alias("open"))
+    one = F.lit(1)
+    held = asked.select("query", F.col("query").alias("node"), F.lit(0.0).alias("d"), F.lit(True).alias("open"), one.alias("turn"))
     per_query = Window.partitionBy("query")
     while True:
-        ranked = settled(held.withColumn("_r", F.row_number().over(per_query.orderBy(F.col("open").desc(), "d", "node"))))
-        opened = F.col("open") & (F.col("_r") <= OPENED)
-        next_ones = ranked.filter(opened).join(around, "node").select("query", F.explode("near").alias("node")).distinct()
-        unseen = next_ones.join(ranked.select("query", "node"), ["query", "node"], "left_anti")
+        opened = F.col("open") & (F.col("turn") <= OPENED)
+        next_ones = held.filter(opened).join(around, "node").select("query", F.explode("near").alias("node")).distinct()
+        unseen = next_ones.join(held.select("query", "node"), ["query", "node"], "left_anti")
         scored = _measured(unseen, queries, nodes, kind).withColumn("open", F.lit(True))
-        closed = ranked.select("query", "node", "d", (F.col("open") & ~opened).alias("open"))
-        best = closed.unionByName(scored).withColumn("_r", F.row_number().over(per_query.orderBy("d", "node")))
-        held = settled(best.filter(F.col("_r") <= beam).drop("_r"))
+        closed = held.select("query", "node", "d", (F.col("open") & ~opened).alias("open"))
+        best = closed.unionByName(scored).withColumn("_r", F.row_number().over(per_query.orderBy("d", "node"))).filter(F.col("_r") <= beam)
+        turn = F.row_number().over(per_query.orderBy(F.col("open").desc(), "d", "node"))
+        held = written(best.drop("_r").withColumn("turn", turn), "beam")
         if held.filter("open").isEmpty():
             return held.select("query", "node", "d")
 
