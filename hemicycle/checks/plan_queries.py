@@ -11,6 +11,9 @@ from hemicycle.operators import geometry, graph, integrity, spatial
 from hemicycle.plans import shape, table
 
 
+cte("ways", "SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges")
+
+
 def rounded(df, digits=6):
     """Doubles rounded, so that sums in another order compare equal."""
     return df.select([rnd(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
@@ -414,9 +417,19 @@ cte("centres", "SELECT unit_id, (cx + 0.5e0) * 1000 AS x, (cy + 0.5e0) * 1000 AS
 cte("alone", "SELECT * FROM centres WHERE unit_id NOT IN (SELECT src FROM edges UNION SELECT dst FROM edges)")
 
 
-@query("h2_connect_islands")
+# islands act in id order and skip one that chose them: a first choice is kept unless it is a mutual one of a smaller id
+@query("h2_connect_islands", f"""WITH RECURSIVE d AS MATERIALIZED (SELECT a.unit_id, c.unit_id AS near_id, sqrt(pow(a.x - c.x, 2) + pow(a.y - c.y, 2)) AS dist
+ FROM alone a, centres c WHERE c.unit_id <> a.unit_id),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY dist, near_id) AS rn FROM d),
+q AS MATERIALIZED (SELECT * FROM o WHERE rn <= 40),
+turn AS MATERIALIZED (SELECT unit_id, row_number() OVER (ORDER BY unit_id) AS t FROM alone),
+go(t, taken) AS (SELECT 0, CAST([] AS STRUCT(u BIGINT, v BIGINT)[]) UNION ALL
+ SELECT go.t + 1, list_append(taken, (SELECT struct_pack(u := q.unit_id, v := q.near_id) FROM q JOIN turn USING (unit_id)
+  WHERE turn.t = go.t + 1 AND NOT list_contains(go.taken, struct_pack(u := q.near_id, v := q.unit_id)) ORDER BY q.rn LIMIT 1)) FROM go WHERE go.t < (SELECT count(*) FROM alone)),
+p AS (SELECT unnest(taken) AS p FROM go WHERE t = (SELECT count(*) FROM alone))
+SELECT p.u AS unit_id, p.v AS near_id, {R('dist / 1000', 1)} AS km FROM p JOIN d ON d.unit_id = p.u AND d.near_id = p.v""")
 def _(spark, sf):
-    return graph.connect_islands(centres(spark, sf), b.edges(spark, sf), 1000.0)
+    return graph.connect_islands(centres(spark, sf), b.edges(spark, sf))
 
 
 @query("h2_connect_islands_mainland", f"""WITH d AS (SELECT a.unit_id, c.unit_id AS near_id, sqrt(pow(a.x - c.x, 2) + pow(a.y - c.y, 2)) AS dist
@@ -424,12 +437,19 @@ def _(spark, sf):
 r AS (SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY dist, near_id) AS rn FROM d)
 SELECT unit_id, near_id, {R('dist / 1000', 1)} AS km FROM r WHERE rn = 1 AND dist <= 90000""")
 def _(spark, sf):
-    return graph.connect_islands(centres(spark, sf), b.edges(spark, sf), 1000.0, max_km=90.0, to_islands=False)
+    return graph.connect_islands(centres(spark, sf), b.edges(spark, sf), max_km=90.0, to_islands=False)
 
 
-@query("h3_connect_components")
+# the grid is one component and every other customer stands alone
+@query("h3_connect_components", f"""WITH RECURSIVE hop(a, b) AS (SELECT unit_id, unit_id FROM centres UNION SELECT hop.a, w.dst FROM hop JOIN ways w ON w.src = hop.b),
+cp AS MATERIALIZED (SELECT a AS unit_id, min(b) AS component, count(*) AS size FROM hop GROUP BY a),
+rk AS (SELECT component, size, row_number() OVER (ORDER BY size DESC, component) AS place FROM (SELECT DISTINCT component, size FROM cp)),
+pt AS MATERIALIZED (SELECT unit_id, component, cp.size, place, x, y FROM centres JOIN cp USING (unit_id) JOIN rk USING (component)),
+d AS (SELECT p.component, p.size, p.unit_id AS src, q.unit_id AS dst, sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2)) AS dist FROM pt p JOIN pt q ON q.place < p.place),
+r AS (SELECT *, row_number() OVER (PARTITION BY component ORDER BY dist, src, dst) AS rn FROM d)
+SELECT component, size, src, dst, {R('dist / 1000', 1)} AS km FROM r WHERE rn = 1""")
 def _(spark, sf):
-    return graph.connect_components(centres(spark, sf), b.edges(spark, sf), 1000.0)
+    return graph.connect_components(centres(spark, sf), b.edges(spark, sf))
 
 
 @query("h4_contract_graph", """SELECT DISTINCT LEAST(a.commune, c.commune) AS src, GREATEST(a.commune, c.commune) AS dst
@@ -464,11 +484,17 @@ def _(spark, sf):
     return rounded(graph.graph_stats(b.units(spark, sf), b.edges(spark, sf), with_diameter=False), 9).withColumn("degree_mean", rnd("degree_mean", 6))
 
 
-@query("h6_graph_stats_diameter")
+@query("h6_graph_stats_diameter", f"""WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT a.commune AS src, c.commune AS dst FROM ways JOIN units a ON a.unit_id = src JOIN units c ON c.unit_id = dst WHERE a.commune <> c.commune),
+nd AS (SELECT DISTINCT commune AS unit_id FROM units), dg AS (SELECT unit_id, count(src) AS degree FROM nd LEFT JOIN e ON src = unit_id GROUP BY 1),
+hop(a, b, d) AS (SELECT unit_id, unit_id, 0 FROM nd UNION SELECT hop.a, e.dst, d + 1 FROM hop JOIN e ON e.src = hop.b WHERE d < 26),
+sp AS (SELECT a, b, min(d) AS d FROM hop GROUP BY a, b), cn AS (SELECT a, min(b) AS c FROM sp GROUP BY a)
+SELECT count(*) AS nodes, CAST(sum(degree) // 2 AS BIGINT) AS edges, {R('avg(degree)', 9)} AS degree_mean, max(degree) AS degree_max, min(degree) AS degree_min,
+ {R('quantile_cont(degree, 0.5)', 9)} AS degree_median, (SELECT count(DISTINCT c) FROM cn) AS components, {R('sum(degree) / CAST(count(*) * (count(*) - 1) AS DOUBLE)', 9)} AS density,
+ (SELECT count(DISTINCT c) FROM cn) = 1 AS connected, CASE WHEN (SELECT count(DISTINCT c) FROM cn) = 1 THEN (SELECT max(d) FROM sp) END AS diameter FROM dg""")
 def _(spark, sf):
     groups = b.units(spark, sf).select("unit_id", F.col("commune").alias("group"))
     nodes = groups.select(F.col("group").alias("unit_id")).distinct()
-    return graph.graph_stats(nodes, graph.contract_graph(b.edges(spark, sf), groups))
+    return rounded(graph.graph_stats(nodes, graph.contract_graph(b.edges(spark, sf), groups)), 9)
 
 
 @query("h7_subgraph", "SELECT src, dst FROM edges WHERE src IN (SELECT unit_id FROM units WHERE region = 2) AND dst IN (SELECT unit_id FROM units WHERE region = 2)")
@@ -513,7 +539,6 @@ def values(spark, sf):
     return b.population(spark, sf).select("unit_id", F.col("population").cast("double").alias("value"))
 
 
-cte("ways", "SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges")
 cte("zv", "SELECT unit_id, CAST(population AS DOUBLE) AS value, population - avg(population) OVER () AS z, count(*) OVER () AS n FROM population")
 cte("lagged", "SELECT src AS unit_id, avg(z) AS lag FROM ways JOIN zv ON unit_id = dst GROUP BY 1")
 

@@ -112,7 +112,7 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def connect_islands(
-    nodes: DataFrame, edges: DataFrame, cell: float, max_km: float | None = None, to_islands: bool = True
+    nodes: DataFrame, edges: DataFrame, max_km: float | None = None, to_islands: bool = True
 ) -> DataFrame:
     """New edges from nodes without neighbours to their nearest node.
 
@@ -126,7 +126,7 @@ def connect_islands(
     targets = nodes if to_islands else nodes.join(lonely, "unit_id", "left_anti")
     taken, before = None, None
     while True:
-        chosen = cut_lineage(nearest(lonely, targets, cell, taken))
+        chosen = cut_lineage(nearest(lonely, targets, taken))
         state = chosen.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("unit_id", "near_id"))).first()
         if state == before or not to_islands:
             break
@@ -138,18 +138,19 @@ def connect_islands(
     return out.select("unit_id", "near_id", rnd(F.col("distance") / 1000, 1).alias("km"))
 
 
-def connect_components(nodes: DataFrame, edges: DataFrame, cell: float) -> DataFrame:
+def connect_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """New edges joining every smaller component to the larger ones.
 
     Components are taken by size (then id). When one joins, the main part is
     the union of all earlier ones, so all closest pairs come from one search
-    among nodes of earlier components.
+    among nodes of earlier components: branch and bound, with one best distance
+    a component, and no pairs inside a component.
     """
     parts = connected_components(nodes, edges)
     sizes = parts.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     ranked = cut_lineage(row_index(sizes, (), [F.col("size").desc(), "component"], "place"))
     placed = cut_lineage(nodes.join(parts, "unit_id").join(ranked, "component"))
-    found = nearest(placed.where("place > 0"), placed, cell, earlier="place")
+    found = nearest(placed.where("place > 0"), placed, earlier="place", group="place")
     closest = F.min(F.struct("distance", "unit_id", "near_id"))
     return found.join(placed.select("unit_id", "component", "size"), "unit_id").groupBy("component", "size").agg(
         closest.alias("c")
@@ -175,26 +176,80 @@ def subgraph(nodes: DataFrame, edges: DataFrame, keep: Column) -> DataFrame:
     ).select("src", "dst")
 
 
-def diameter(nodes: DataFrame, edges: DataFrame) -> int:
-    """Longest shortest path, by frontiers grown from all nodes at once."""
-    ways = both_ways(edges)
-    frontier = reached = cut_lineage(nodes.select("unit_id", F.col("unit_id").alias("node")))
+#: sources that search at once, and hops between two checkpoints of a search
+SOURCES, HOPS = 8, 4
+
+
+def hop_counts(ways: DataFrame, sources: list) -> DataFrame:
+    """``unit_id, hops, bits``: bit i says that source i reaches the unit in so many hops.
+
+    All sources search at once. In an undirected graph a step leads to units one
+    hop nearer, equally far or one hop farther, so two steps back are all that
+    a search must remember; each unit has at most one row a source.
+    """
+    spark = ways.sparkSession
+    kind = dict(ways.dtypes)["src"]
+    start = spark.createDataFrame([(s, 1 << i) for i, s in enumerate(sources)], f"unit_id {kind}, bits long")
+    last, front = start.withColumn("bits", F.lit(0).cast("long")), start
+    found = [cut_lineage(start.select("unit_id", F.lit(0).alias("hops"), "bits"))]
     hops = 0
     while True:
-        step = frontier.join(ways, F.col("node") == F.col("src")).select("unit_id", F.col("dst").alias("node")).distinct()
-        frontier = cut_lineage(step.join(reached, ["unit_id", "node"], "left_anti"))
-        if frontier.isEmpty():
-            return hops
-        hops += 1
-        reached = cut_lineage(reached.union(frontier))
+        steps = []
+        for _ in range(HOPS):
+            hops += 1
+            step = front.join(ways, F.col("unit_id") == F.col("src")).groupBy(F.col("dst").alias("unit_id")).agg(F.bit_or("bits").alias("bits"))
+            old = last.unionByName(front).groupBy("unit_id").agg(F.bit_or("bits").alias("_old"))
+            fresh = step.join(old, "unit_id", "left").select("unit_id", F.expr("bits & ~coalesce(_old, 0)").alias("bits")).where("bits <> 0")
+            steps.append(fresh.withColumn("hops", F.lit(hops)))
+            last, front = front, fresh
+        block = steps[0]
+        for s in steps[1:]:
+            block = block.unionByName(s)
+        block = cut_lineage(block.select("unit_id", "hops", "bits"))
+        found.append(block)
+        last, front = (block.where(F.col("hops") == h).select("unit_id", "bits") for h in (hops - 1, hops))
+        if front.isEmpty():
+            break
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def diameter(nodes: DataFrame, edges: DataFrame) -> int:
+    """Longest shortest path of a connected graph, by bounds on eccentricities.
+
+    A search from v bounds the eccentricity of every unit u at distance d by
+    max(d, ecc(v) - d) and ecc(v) + d. Searches start where the bounds say
+    most, and end when no unit's upper bound exceeds the largest lower one.
+    """
+    ways = cut_lineage(both_ways(edges).where("src <> dst").distinct())
+    many = 1 << 30
+    bounds = cut_lineage(nodes.select("unit_id", F.lit(0).alias("low"), F.lit(many).alias("high")).distinct())
+    far = degrees(bounds.select("unit_id"), edges).orderBy(F.col("degree").desc(), "unit_id")
+    sources = [r.unit_id for r in far.limit(1).collect()]
+    while sources:
+        bit = F.explode(F.expr(f"filter(sequence(0, {SOURCES - 1}), b -> shiftright(bits, b) & 1 = 1)")).alias("source")
+        seen = cut_lineage(hop_counts(ways, sources).select("unit_id", "hops", bit))
+        widest = F.broadcast(seen.groupBy("source").agg(F.max("hops").alias("ecc")))  # one row a source
+        now = seen.join(widest, "source").groupBy("unit_id").agg(
+            F.max(F.greatest("hops", F.col("ecc") - F.col("hops"))).alias("_low"), F.min(F.col("ecc") + F.col("hops")).alias("_high")
+        )
+        bounds = cut_lineage(bounds.join(now, "unit_id", "left").select(
+            "unit_id", F.greatest("low", F.coalesce("_low", "low")).alias("low"), F.least("high", F.coalesce("_high", "high")).alias("high")
+        ))
+        best = bounds.agg(F.max("low")).first()[0]
+        open_ = bounds.where(F.col("high") > best)
+        ends = open_.orderBy(F.col("high").desc(), F.col("low").desc(), "unit_id").limit(SOURCES // 2).collect()
+        middle = open_.orderBy("low", "high", "unit_id").limit(SOURCES // 2).collect()
+        sources = sorted({r.unit_id for r in ends + middle})
+    return best
 
 
 def graph_stats(nodes: DataFrame, edges: DataFrame, with_diameter: bool = True) -> DataFrame:
     """Size, degrees, density, components and diameter.
 
-    The diameter is null where the graph is not connected. It searches from
-    every node, so it grows with the square of the nodes; leave it out with
-    ``with_diameter=False`` where the graph is not a small one.
+    The diameter is null where the graph is not connected.
     """
     deg = degrees(nodes.select("unit_id"), edges)
     base = deg.agg(

@@ -126,7 +126,7 @@ def test_islands_one_after_another(spark, seed):
         chosen[i] = min(free, key=lambda j: (math.dist(at[i], at[j]), j))
         new.add((i, chosen[i]))
     nodes = spark.createDataFrame([(i, x, y) for i, (x, y) in at.items()], "unit_id long, x double, y double")
-    got = graph.connect_islands(nodes, spark.createDataFrame(linked, "src long, dst long"), 200.0).collect()
+    got = graph.connect_islands(nodes, spark.createDataFrame(linked, "src long, dst long")).collect()
     assert {r.unit_id: r.near_id for r in got} == chosen
 
 
@@ -143,7 +143,7 @@ def test_components_joined_by_closest_pair(spark):
         expected[c] = min((math.dist(at[a], at[z]), a, z) for a in groups[c] for z in main)[1:]
         main += groups[c]
     nodes = spark.createDataFrame([(i, x, y) for i, (x, y) in at.items()], "unit_id long, x double, y double")
-    got = graph.connect_components(nodes, spark.createDataFrame(linked, "src long, dst long"), 300.0).collect()
+    got = graph.connect_components(nodes, spark.createDataFrame(linked, "src long, dst long")).collect()
     assert {r.component: (r.src, r.dst) for r in got} == expected
 
 
