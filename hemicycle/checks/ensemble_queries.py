@@ -31,12 +31,7 @@ def _(spark, sf):
     return fairshare.matrix(b.district_votes(spark, sf), "votes").select("district", "party", "value")
 
 
-@query("q1_seats_matrix_wide", f"""WITH {ALLOC} SELECT party, {', '.join(f'CAST(sum(seats) FILTER (district = {d}) AS BIGINT) AS "{d}"' for d in range(4))} FROM seats GROUP BY 1""")
-def _(spark, sf):
-    return fairshare.pivoted(fairshare.matrix(_alloc(spark, sf), "seats"), range(4))
-
-
-@query("q1_seats_matrix_wide_all", f"""WITH {ALLOC} SELECT party, {', '.join(f'CAST(COALESCE(sum(seats) FILTER (district = {d}), 0) AS BIGINT) AS "{d}"' for d in range(25))} FROM seats GROUP BY 1""")
+@query("q1_seats_matrix_wide", f"""WITH {ALLOC} SELECT party, {', '.join(f'CAST(COALESCE(sum(seats) FILTER (district = {d}), 0) AS BIGINT) AS "{d}"' for d in range(25))} FROM seats GROUP BY 1""")
 def _(spark, sf):
     return fairshare.pivoted(fairshare.matrix(_alloc(spark, sf), "seats"), range(25))
 
@@ -202,6 +197,24 @@ def _(spark, sf):
     return ensemble.compare_sensitivity(event_stats(spark, sf), KS_METRICS)
 
 
+def _ties(source: str, head: str, part: str, comma: str) -> str:
+    """Sums over tied values; every row of t equal ones adds its share of the group's term."""
+    sums = ", ".join(
+        f"sum((t{c} - 1) / 2e0) AS {c}1, sum((t{c} - 1) * (t{c} - 2) * 1e0) AS {c}3, sum((t{c} - 1) * (2 * t{c} + 5) * 1e0) AS {c}5" for c in "ab"
+    )
+    inner = f"SELECT {head}count(*) OVER (PARTITION BY {comma}a) AS ta, count(*) OVER (PARTITION BY {comma}b) AS tb FROM {source}"
+    return f"{sums} FROM ({inner}) GROUP BY ALL"
+
+
+# areas by power series in logarithms; Kendall exact without ties
+_AREA = "list_sum(list_transform(range(0, 300), lambda k: exp(-z * z / 2 + (2 * k + 1) * ln(greatest(z, 1e-300)) - lgamma(2 * k + 2) + k * ln(2) + lgamma(k + 1))))"
+_KENDALL = f"""CASE WHEN tau IS NULL THEN NULL WHEN a1 = 0 AND b1 = 0 AND n_common <= 33
+ THEN least(1, 2 * (SELECT list_sum(mh.p[1:low + 1]) FROM mh WHERE mh.i = n_common)) WHEN z > 8 THEN 0 ELSE greatest(0, 1 - 2 / sqrt(2 * pi()) * {_AREA}) END"""
+_STUDENT = """CASE WHEN df < 1 THEN NULL WHEN c2 <= 0 THEN 0 WHEN df % 2 = 0
+ THEN greatest(0, 1 - abs(rho) * list_sum(list_transform(range(0, df // 2), lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1) + k * ln(c2))) ) / sqrt(pi()))
+ ELSE greatest(0, 1 - 2 / pi() * (atan2(abs(rho), sqrt(c2)) + COALESCE(abs(rho) * list_sum(list_transform(range(0, (df - 1) // 2), lambda k: exp(lgamma(k + 1) - lgamma(k + 1.5) + (k + 0.5) * ln(c2)))) * sqrt(pi()) / 2, 0))) END"""
+
+
 def concordance_sql(source: str, keys: str) -> str:
     on = " AND ".join(["x.item < y.item"] + [f"x.{k.strip()} = y.{k.strip()}" for k in keys.split(",") if k])
     head = f"{keys}, " if keys else ""
@@ -210,11 +223,16 @@ def concordance_sql(source: str, keys: str) -> str:
     comma = f"{keys}, " if keys else ""
     join = f"JOIN rh USING ({keys})" if keys else ", rh"
     return f"""pr AS (SELECT {xkeys}sign(x.a - y.a) AS sa, sign(x.b - y.b) AS sb FROM {source} x JOIN {source} y ON {on}),
-kt AS (SELECT {head}sum(sa * sb) / sqrt(count(*) FILTER (sa <> 0) * CAST(count(*) FILTER (sb <> 0) AS DOUBLE)) AS tau, count(*) FILTER (sa * sb < 0) AS discordant FROM pr GROUP BY ALL),
+kt AS (SELECT {head}sum(sa * sb) AS tau_n, sum(sa * sb) / sqrt(count(*) FILTER (sa <> 0) * CAST(count(*) FILTER (sb <> 0) AS DOUBLE)) AS tau, count(*) FILTER (sa * sb < 0) AS discordant FROM pr GROUP BY ALL),
 rk AS (SELECT {head}rank() OVER ({part} ORDER BY a) + (count(*) OVER (PARTITION BY {comma}a) - 1) / 2e0 AS ra,
  rank() OVER ({part} ORDER BY b) + (count(*) OVER (PARTITION BY {comma}b) - 1) / 2e0 AS rb FROM {source}),
 rh AS (SELECT {head}corr(ra, rb) AS rho, count(*) AS n_common FROM rk GROUP BY ALL),
-cc AS (SELECT {head}{R('tau', 4)} AS kendall_tau, {R('rho', 4)} AS spearman_rho, n_common, discordant, n_common < 5 AS low_power FROM kt {join})"""
+ti AS (SELECT {head}{_ties(source, head, part, comma)}),
+mh(i, p) AS (SELECT 1, [1e0] UNION ALL SELECT i + 1, list_transform(range(0, i * (i + 1) // 2 + 1), lambda d: list_sum(p[greatest(d - i + 1, 1):d + 1]) / (i + 1)) FROM mh WHERE i < 33),
+pv AS (SELECT *, 1 - rho * rho AS c2, n_common - 2 AS df, abs(tau_n / sqrt(spread)) AS z, least(discordant, n_common * (n_common - 1) // 2 - discordant) AS low
+ FROM (SELECT *, (w * (2 * n_common + 5) - a5 - b5) / 18 + 2 * a1 * b1 / w + COALESCE(a3 * b3 / NULLIF(9 * w * (n_common - 2), 0), 0) AS spread
+  FROM (SELECT *, CAST(n_common AS DOUBLE) * (n_common - 1) AS w FROM kt {join} {"JOIN ti USING (" + keys + ")" if keys else ", ti"}))),
+cc AS (SELECT {head}{R('tau', 4)} AS kendall_tau, {R(_KENDALL, 6)} AS kendall_pval, {R('rho', 4)} AS spearman_rho, {R(_STUDENT, 6)} AS spearman_pval, n_common, discordant, n_common < 5 AS low_power FROM pv)"""
 
 
 cte("user_scores", """SELECT user_id AS item, CAST(round_even(avg(value), 0) AS BIGINT) AS a, count(*) AS b FROM events GROUP BY 1""")
@@ -225,9 +243,9 @@ def _user_scores(spark, sf):
     return e.agg(F.bround(F.avg("value"), 0).cast("long").alias("a"), F.count(F.lit(1)).alias("b"))
 
 
-@query("i8_ranking_concordance", f"WITH {concordance_sql('user_scores', '')} SELECT * FROM cc")
+@query("i8_ranking_concordance", f"WITH RECURSIVE {concordance_sql('user_scores', '')} SELECT * FROM cc")
 def _(spark, sf):
-    return ensemble.ranking_concordance(_user_scores(spark, sf)).drop("kendall_pval", "spearman_pval")
+    return ensemble.ranking_concordance(_user_scores(spark, sf))
 
 
 def sweep(spark, sf):
@@ -238,16 +256,10 @@ def sweep(spark, sf):
 cte("sweep", "SELECT *, (cut_edges % 5) / 4e0 AS penalty FROM event_stats")
 
 
-@query("i9_sweep", "SELECT max_dev_pct, pp_mean, 0e0 AS penalty FROM event_stats WHERE scenario = 'click' UNION ALL SELECT max_dev_pct, pp_mean, 0.5e0 FROM event_stats WHERE scenario = 'error'")
-def _(spark, sf):
-    stats = event_stats(spark, sf)
-    return pareto.sweep({0.0: stats.where("scenario = 'click'"), 0.5: stats.where("scenario = 'error'")}, ["max_dev_pct", "pp_mean", "split_units"])
-
-
 SCENARIOS = {"click": 0.0, "error": 0.25, "purchase": 0.5, "signup": 0.75, "view": 1.0}
 
 
-@query("i9_sweep_all", " UNION ALL ".join(f"SELECT max_dev_pct, pp_mean, {v}e0 AS penalty FROM event_stats WHERE scenario = '{k}'" for k, v in SCENARIOS.items()))
+@query("i9_sweep", " UNION ALL ".join(f"SELECT max_dev_pct, pp_mean, {v}e0 AS penalty FROM event_stats WHERE scenario = '{k}'" for k, v in SCENARIOS.items()))
 def _(spark, sf):
     stats = event_stats(spark, sf)
     return pareto.sweep({v: stats.where(F.col("scenario") == k) for k, v in SCENARIOS.items()}, ["max_dev_pct", "pp_mean", "split_units"])
@@ -340,10 +352,10 @@ CHAIN_SCORE = "sc0 AS (SELECT cut_edges % 12 AS chain, " + ", ".join(f"quantile_
 ) + "), pw AS (SELECT x.config AS config_a, y.config AS config_b, x.chain AS item, x.score AS a, y.score AS b FROM ws x JOIN ws y ON x.chain = y.chain AND x.config < y.config)"
 
 
-@query("i15_weight_sensitivity", f"WITH {CHAIN_SCORE}, {concordance_sql('pw', 'config_a, config_b')} SELECT * FROM cc")
+@query("i15_weight_sensitivity", f"WITH RECURSIVE {CHAIN_SCORE}, {concordance_sql('pw', 'config_a, config_b')} SELECT * FROM cc")
 def _(spark, sf):
     stats = event_stats(spark, sf).withColumn("chain", F.pmod("cut_edges", F.lit(12)))
-    return ensemble.weight_sensitivity(stats, WS).drop("kendall_pval", "spearman_pval")
+    return ensemble.weight_sensitivity(stats, WS)
 
 
 def _overview(spark, sf):

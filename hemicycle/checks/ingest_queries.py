@@ -140,11 +140,11 @@ def stored(spark, sf):
 
 
 @query("a8_write_read_plans", """SELECT 'run' || plan_id % 2 AS run_id, 'free' AS scenario, 1 AS chain_id, plan_id AS draw, CAST(unit_id AS VARCHAR) AS unit_id, district
-FROM plans WHERE unit_id % 41 <> 0 AND plan_id % 2 = 1""")
+FROM plans WHERE unit_id % 41 <> 0""")
 def _(spark, sf):
     folder = scratch_folder(spark, "plans")
     store.write_plans(stored(spark, sf), folder)
-    out = store.read_plans(spark, folder).where("run_id = 'run1'")
+    out = store.read_plans(spark, folder)
     return out.select("run_id", "scenario", F.col("chain_id").cast("int").alias("chain_id"), "draw", "unit_id", F.col("district").cast("int").alias("district"))
 
 
@@ -552,6 +552,22 @@ def _(spark, sf):
     return out.withColumn("used", F.lit(used))
 
 
+@query("c14_enrich_sources", f"""WITH {BLOCKS}, rl AS (SELECT commune, personas * 3 AS inscritos FROM commune_totals)
+SELECT 'census' AS source, unit_id, 'personas' AS used, {spread('personas', 'value')} FROM un LEFT JOIN commune_totals USING (commune)
+UNION ALL SELECT 'roll', unit_id, 'inscritos', {spread('inscritos', 'value')} FROM un LEFT JOIN rl USING (commune)
+UNION ALL SELECT 'blocks', unit_id, 'personas', COALESCE(personas, 0) FROM un LEFT JOIN bk USING (unit_id)
+UNION ALL SELECT 'dwellings', unit_id, 'viviendas', viviendas FROM un""")
+def _(spark, sf):
+    roll = commune_totals(spark, sf).select("commune", (F.col("personas") * 3).alias("inscritos"))
+    given = {"census": {"census": commune_totals(spark, sf)}, "roll": {"roll": roll}, "blocks": {"blocks": blocks(spark, sf)}, "dwellings": {}}
+    out = None
+    for source, tables_ in given.items():
+        df, used = population.enrich_population(keyed_units(spark, sf), source, **tables_)
+        part = df.select(F.lit(source).alias("source"), "unit_id", F.lit(used).alias("used"), F.col(used).cast("long").alias("value"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("c15_commune_code_lookup", """SELECT comuna, "CUT", count(*) AS n FROM raw_rows LEFT JOIN commune_table ON name = upper(trim(comuna)) GROUP BY ALL""")
 def _(spark, sf):
     return cand.commune_codes(raw_rows(spark, sf), communes(spark, sf)).groupBy("comuna", "CUT").agg(F.count(F.lit(1)).alias("n"))

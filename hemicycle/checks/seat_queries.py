@@ -284,7 +284,7 @@ def _(spark, sf):
     )
 
 
-PARTIES = ["ECONOMY", "STANDARD"]
+PARTIES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 BONUS = ", ".join(
     f"max(CASE WHEN party = '{p}' THEN {R('100 * seat_share - 100 * vote_share', 4)} END) AS \"seat_bonus_{p}\"" for p in PARTIES
 )
@@ -321,10 +321,13 @@ def stats_sql(value: str) -> str:
  {R(q('0.05'), 6)} AS p5, {R(q('0.25'), 6)} AS p25, {R(q('0.5'), 6)} AS median, {R(q('0.75'), 6)} AS p75, {R(q('0.95'), 6)} AS p95"""
 
 
-@query("f18_ensemble_summary", f"""WITH {F17_SQL}, l AS (UNPIVOT (SELECT gallagher, enp_votes, enp_seats, "seat_bonus_ECONOMY" FROM f17)
+F18_METRICS = ["gallagher", "loosemore_hanby", "rae", "enp_votes", "enp_seats", "parties_with_seats", *[f"seat_bonus_{p}" for p in PARTIES]]
+
+
+@query("f18_ensemble_summary", f"""WITH {F17_SQL}, l AS (UNPIVOT (SELECT {', '.join(f'CAST("{m}" AS DOUBLE) AS "{m}"' for m in F18_METRICS)} FROM f17)
   ON COLUMNS(*) INTO NAME metric VALUE value) SELECT metric, {stats_sql('value')} FROM l GROUP BY 1""")
 def _(spark, sf):
-    return metrics.ensemble_summary(_ensemble(spark, sf), ["gallagher", "enp_votes", "enp_seats", "seat_bonus_ECONOMY"])
+    return metrics.ensemble_summary(_ensemble(spark, sf), F18_METRICS)
 
 
 @query("f19_ensemble_threshold", f"""WITH {b.magnitude_sql('plan_population', 'plan_id', 44, 3, 8)},

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hemicycle.functions.frames import attach, group_window, ratio, rnd
 from hemicycle.functions.ordered import exact_quantiles, row_index, running
-from hemicycle.functions.probability import kolmogorov_tail, normal_tail
+from hemicycle.functions.probability import inversions_two_sided, kolmogorov_tail, normal_tail, smirnov_two_sided, student_two_sided
 from hemicycle.functions.stats import average_rank, clean, to_long
+from hemicycle.session import cut_lineage
 
 # fixed values: standard metrics, their direction and default weights
 DIRECTIONS = {
@@ -26,6 +28,8 @@ WEIGHT_SETS = {
 }
 EFFECTS = [(0.05, "negligible"), (0.10, "pequeño"), (0.20, "moderado")]
 LARGEST_EFFECT = "grande"
+#: values a side, and items, up to which a p-value is exact
+EXACT_SAMPLE, EXACT_ITEMS = 10_000, 33
 
 
 def _present(df: DataFrame, names: Sequence[str]) -> list[str]:
@@ -109,7 +113,7 @@ def compare_sensitivity(stats: DataFrame, metrics: Sequence[str]) -> DataFrame:
 
     Equal values are counted first; the statistic is the largest gap of two
     running counts, so no scenario has to fit into one task. The p-value is
-    the asymptotic series.
+    exact up to ``EXACT_SAMPLE`` values a side, else the asymptotic series.
     """
     long = to_long(stats, ["scenario"], _present(stats, metrics)).where("value IS NOT NULL")
     counts = long.groupBy("metric", "scenario", "value").agg(F.count(F.lit(1)).alias("_n"))
@@ -129,7 +133,13 @@ def compare_sensitivity(stats: DataFrame, metrics: Sequence[str]) -> DataFrame:
     gap = F.abs(F.col("_ca") / F.col("n_a") - F.col("_cb") / F.col("n_b"))
     out = attach(scanned, pairs, keys).groupBy(*keys, "n_a", "n_b", "median_a", "median_b").agg(F.max(gap).alias("_d"))
     weight = F.sqrt(F.col("n_a") * F.col("n_b") / (F.col("n_a") + F.col("n_b")))
-    p = kolmogorov_tail(weight * F.col("_d"))
+    series = kolmogorov_tail(weight * F.col("_d"))
+    out = cut_lineage(out)
+    small = out.where(F.greatest("n_a", "n_b") <= EXACT_SAMPLE).select(*keys, "_d", F.col("n_a").cast("long"), F.col("n_b").cast("long"))
+    kinds = ", ".join(f"{k} {t}" for k, t in small.dtypes if k in keys)
+    exact = small.repartition(*keys).mapInArrow(_smirnov, f"{kinds}, _p double")
+    out = attach(out, exact, keys)
+    p = F.coalesce("_p", series)
     effect = F.lit(LARGEST_EFFECT)
     for bound, label in reversed(EFFECTS):
         effect = F.when(F.col("_d") < bound, label).otherwise(effect)
@@ -141,6 +151,13 @@ def compare_sensitivity(stats: DataFrame, metrics: Sequence[str]) -> DataFrame:
     )
 
 
+def _smirnov(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        names = [c for c in batch.schema.names if c not in ("_d", "n_a", "n_b")]
+        p = [smirnov_two_sided(*v) for v in zip(*(batch.column(c).to_pylist() for c in ("_d", "n_a", "n_b")), strict=True)]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(p, pa.float64())], names=[*names, "_p"])
+
+
 def _mean_ranks(scores: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
     """Average rank, dense rank and number of ties of each distinct value."""
     counts = scores.groupBy(*keys, column).agg(F.count(F.lit(1)).alias(f"_t_{column}")).withColumn("_one", F.lit(1).cast("long"))
@@ -155,7 +172,9 @@ def ranking_concordance(scores: DataFrame, keys: Sequence[str] = ()) -> DataFram
     ``scores`` is (keys, item, a, b). Discordant pairs are counted without
     forming pairs: two ranks first differ at one binary digit, so per digit
     and common prefix it is enough to count, in order of ``a``, the ones
-    before each zero. p-values use the normal approximation.
+    before each zero. Kendall's p is exact without ties and up to
+    ``EXACT_ITEMS`` items (or at most one inversion), else normal with ties;
+    Spearman's is Student's tail.
     """
     keys = list(keys)
     ranked = scores
@@ -177,6 +196,12 @@ def ranking_concordance(scores: DataFrame, keys: Sequence[str] = ()) -> DataFram
     for column in ("a", "b"):
         t = scores.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_t")).groupBy(*keys).agg(F.sum(pair("_t")).alias(f"_{column}"))
         ties = attach(ties, t, keys)
+    for column in ("a", "b"):
+        t = F.col("_t")
+        tied = scores.groupBy(*keys, column).agg(F.count(F.lit(1)).cast("double").alias("_t")).groupBy(*keys).agg(
+            F.sum(t * (t - 1) * (t - 2)).alias(f"_{column}3"), F.sum(t * (t - 1) * (2 * t + 5)).alias(f"_{column}5")
+        )
+        ties = attach(ties, tied, keys)
     rho = ranked.groupBy(*keys).agg(F.corr("_r_a", "_r_b").alias("_rho"))
     out = attach(attach(attach(sizes, ties, keys), swaps, keys), rho, keys)
     n, all_pairs = F.col("n"), pair("n")
@@ -184,11 +209,16 @@ def ranking_concordance(scores: DataFrame, keys: Sequence[str] = ()) -> DataFram
     right = all_pairs - F.col("_a") - F.col("_b") + F.col("_ab") - wrong
     tau = ratio(right - wrong, F.sqrt((all_pairs - F.col("_a")) * (all_pairs - F.col("_b"))))
     out = out.withColumn("_tau", F.when(n >= 2, tau)).withColumn("_rho", F.when(n >= 2, F.col("_rho")))
-    z_tau = 3 * F.col("_tau") * F.sqrt(n * (n - 1)) / F.sqrt(2 * (2 * n + 5))
-    z_rho = F.col("_rho") * F.sqrt(n - 1)
+    whole = n.cast("double") * (n - 1)
+    spread = (whole * (2 * n + 5) - F.col("_a5") - F.col("_b5")) / 18 + F.try_divide(2 * F.col("_a") * F.col("_b"), whole) + F.coalesce(
+        F.try_divide(F.col("_a3") * F.col("_b3"), 9 * whole * (n - 2)), F.lit(0.0))
+    p_normal = 2 * normal_tail(F.try_divide(right - wrong, F.sqrt(spread)))
+    exact = (F.col("_a") == 0) & (F.col("_b") == 0) & ((n <= EXACT_ITEMS) | (F.least(wrong, all_pairs - wrong) <= 1))
+    p_tau = F.when(F.col("_tau").isNotNull(), F.when(exact, inversions_two_sided(wrong, n)).otherwise(p_normal))
+    p_rho = student_two_sided(F.col("_rho"), n - 2)
     return out.select(
-        *keys, rnd("_tau", 4).alias("kendall_tau"), rnd(2 * normal_tail(z_tau), 6).alias("kendall_pval"),
-        rnd("_rho", 4).alias("spearman_rho"), rnd(2 * normal_tail(z_rho), 6).alias("spearman_pval"),
+        *keys, rnd("_tau", 4).alias("kendall_tau"), rnd(p_tau, 6).alias("kendall_pval"),
+        rnd("_rho", 4).alias("spearman_rho"), rnd(p_rho, 6).alias("spearman_pval"),
         n.alias("n_common"), wrong.cast("long").alias("discordant"), (n < 5).alias("low_power"),
     )
 

@@ -251,6 +251,10 @@ def preserve_violations(
     )
 
 
+# fixed value: reason of an infeasible request
+INDIVISIBLE = "indivisible_unit_exceeds_population_bound"
+
+
 def population_feasibility(units: DataFrame, n_districts: int, tolerance: float, unit_col: str = "unit_id") -> DataFrame:
     """Whether the largest indivisible unit fits into one district."""
     if n_districts < 1:
@@ -266,7 +270,8 @@ def population_feasibility(units: DataFrame, n_districts: int, tolerance: float,
     return out.select(
         "total_population", ideal.alias("ideal"), F.col("_top.unit").alias("largest_unit"),
         F.col("_top.population").alias("largest_population"), needed.alias("required_tolerance"),
-        (needed <= tolerance).alias("feasible"),
+        (needed <= tolerance).alias("feasible"), F.lit(float(tolerance)).alias("requested_tolerance"),
+        F.when(needed > tolerance, INDIVISIBLE).alias("reason"),
     )
 
 

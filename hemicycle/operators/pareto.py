@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hemicycle.functions.frames import attach, ratio, rnd
@@ -11,7 +13,8 @@ from hemicycle.functions.ordered import exact_quantiles, row_index, running
 from hemicycle.functions.stats import clean, to_long
 from hemicycle.session import cut_lineage
 
-_BLOCK = 2000
+#: points of a chunk, and numbers of one comparison
+_BLOCK, _TILE = 4096, 1 << 24
 
 
 def _oriented(col: str, smaller_is_better: bool) -> Column:
@@ -29,32 +32,91 @@ def front_2d(points: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> Dat
     return scanned.where(F.col("_earlier").isNull() | (F.col("_earlier") > F.col(y))).select(*keys, x, y)
 
 
+def _undominated(points: np.ndarray, rivals: np.ndarray) -> np.ndarray:
+    """Which points no rival dominates; compared in tiles."""
+    keep = np.ones(len(points), bool)
+    step = max(1, _TILE // max(1, len(rivals) * points.shape[1]))
+    for begin in range(0, len(points), step):
+        p = points[begin : begin + step, None, :]
+        keep[begin : begin + step] = ~((rivals <= p).all(axis=2) & (rivals < p).any(axis=2)).any(axis=1)
+    return keep
+
+
+def _local_front(dims: Sequence[str], block: int):
+    """Non-dominated points of each slice of ``block`` rows, against the slice's earlier ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = np.zeros((0, len(dims)))
+        for batch in batches:
+            rows = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in dims]).astype(float)
+            for begin in range(0, len(rows), block):
+                part = rows[begin : begin + block]
+                part = part[_undominated(part, best)]
+                part = part[_undominated(part, part)]
+                best = np.concatenate([best, part])[:block]  # the smallest sums come first and strike most
+                yield pa.RecordBatch.from_arrays([pa.array(part[:, i]) for i in range(len(dims))], names=list(dims))
+
+    return run
+
+
+def _beaten(dims: Sequence[str]):
+    """Points of a chunk that some point of another chunk dominates."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = np.column_stack([table.column(c).to_numpy() for c in dims]).astype(float)
+        rival = table.column("rival").to_numpy(zero_copy_only=False)
+        lost = rows[~rival][~_undominated(rows[~rival], rows[rival])]
+        return pa.table({c: lost[:, i] for i, c in enumerate(dims)})
+
+    return run
+
+
 def front_nd(points: DataFrame, dims: Sequence[str], block: int = _BLOCK) -> DataFrame:
     """Distinct non-dominated points in any number of dimensions (minimised).
 
-    A point can only be dominated by one with a smaller sum (equal sums:
-    lexicographically smaller), so the points with the smallest sums are
-    settled first, ``block`` at a time; the survivors of a block, never more
-    than ``block`` rows, then strike out all they dominate elsewhere.
+    The ``block`` points with the smallest sums are sent ahead and strike out
+    what they dominate. The rest is put in the order of sums, each partition
+    keeps its own front, and then chunks of ``block`` survivors meet: a point
+    can only be dominated by one with a smaller or equal sum, so a chunk meets
+    those before it. All chunks meet in one job; no task holds more than two.
     """
-    def dominated(left: str, right: str) -> Column:
-        no_worse, better = F.lit(True), F.lit(False)
-        for d in dims:
-            no_worse = no_worse & (F.col(f"{right}.{d}") <= F.col(f"{left}.{d}"))
-            better = better | (F.col(f"{right}.{d}") < F.col(f"{left}.{d}"))
-        return no_worse & better
-
+    kinds = ", ".join(f"`{d}` double" for d in dims)
     total = sum((F.col(d) for d in dims[1:]), F.col(dims[0]))
-    waiting = cut_lineage(points.select(*dims).dropna().distinct().withColumn("_sum", total))
-    front = None
-    while True:
-        head = cut_lineage(waiting.orderBy("_sum", *dims).limit(block))
-        if head.isEmpty():
-            return front if front is not None else points.select(*dims).limit(0)
-        kept = cut_lineage(head.alias("l").join(F.broadcast(head.alias("r")), dominated("l", "r"), "left_anti"))
-        front = kept.select(*dims) if front is None else front.union(kept.select(*dims))
-        rest = waiting.join(head.select(*dims), list(dims), "left_anti")
-        waiting = cut_lineage(rest.alias("l").join(F.broadcast(kept.alias("r")), dominated("l", "r"), "left_anti"))
+    wide = points.select(*[F.col(d).cast("double").alias(d) for d in dims]).dropna().distinct()
+    waiting = cut_lineage(wide.withColumn("_sum", total))
+    head = waiting.orderBy("_sum", *dims).limit(block).select(*dims).collect()  # ``block`` rows
+    if not head:
+        return wide
+    ahead = np.array([tuple(r) for r in head], float)
+    ahead = ahead[_undominated(ahead, ahead)]
+
+    def strike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in dims]).astype(float)
+            rows = rows[_undominated(rows, ahead)]
+            yield pa.RecordBatch.from_arrays([pa.array(rows[:, i]) for i in range(len(dims))], names=list(dims))
+
+    left = waiting.select(*dims).mapInArrow(strike, kinds).withColumn("_sum", total)
+    slices = left.repartitionByRange("_sum", *dims).sortWithinPartitions("_sum", *dims).select(*dims)
+    local = cut_lineage(slices.mapInArrow(_local_front(dims, block), kinds))
+    placed = row_index(local.withColumn("_sum", total), (), ["_sum", *dims], "_at").withColumn("_chunk", F.expr(f"_at div {block}"))
+    placed = cut_lineage(placed.select(*dims, "_chunk"))
+    last = placed.agg(F.max("_chunk")).first()[0]
+    if not last:
+        return _alone(placed, dims, kinds)
+    meets = F.explode(F.sequence(F.col("_chunk"), F.lit(last)))
+    own = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_chunk")))
+    rivals = placed.select(*dims, F.col("_chunk").alias("_q"), meets.alias("_p"), F.lit(True).alias("rival"))
+    victims = placed.select(*dims, own.alias("_q"), F.col("_chunk").alias("_p"), F.lit(False).alias("rival"))
+    lost = rivals.unionByName(victims).groupBy("_p", "_q").applyInArrow(_beaten(dims), kinds)
+    return placed.select(*dims).join(lost.distinct(), list(dims), "left_anti")
+
+
+def _alone(placed: DataFrame, dims: Sequence[str], kinds: str) -> DataFrame:
+    """The front of a single chunk."""
+    both = placed.select(*dims, F.lit(True).alias("rival")).unionByName(placed.select(*dims, F.lit(False).alias("rival")))
+    lost = both.groupBy(F.lit(0).alias("_p")).applyInArrow(_beaten(dims), kinds)
+    return placed.select(*dims).join(lost.distinct(), list(dims), "left_anti")
 
 
 def pareto(points: DataFrame, minimise: dict[str, bool], missing: bool = True) -> DataFrame:

@@ -8,7 +8,7 @@ from hemicycle.operators import chains, spatial
 from test_catalogue import test_against_sql as check
 
 
-@pytest.mark.parametrize("name", ["q1_seats_matrix_wide_all", "i9_sweep_all"])
+@pytest.mark.parametrize("name", ["q1_seats_matrix_wide", "i9_sweep", "i8_ranking_concordance", "i15_weight_sensitivity"])
 def test_all_districts_and_scenarios(spark, sf, name):
     check(spark, sf, name)
 
