@@ -10,12 +10,14 @@ measured, so neither crowded spots nor far searches form all pairs.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hemicycle.session import cut_lineage
 
 #: points of a leaf at most; finest level, and levels that a step goes down
-LEAF, FINEST, STEP = 16, 24, 2
+LEAF, FINEST, STEP = 64, 24, 2
 
 
 def _tree(points: DataFrame) -> DataFrame:
@@ -37,8 +39,43 @@ def _index(value: str, low: float, size: float) -> Column:
     return F.least(F.lit(cells - 1), F.floor((F.col(value) - low) / (size or 1.0) * cells)).cast("long")
 
 
+def most_barred(exclude: DataFrame | None) -> int:
+    """The largest number of forbidden rows of a search."""
+    if exclude is None:
+        return 0
+    return exclude.groupBy("unit_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+
+
+class Quadtree(NamedTuple):
+    """Points, their cells, and how many points at one spot were kept."""
+
+    points: DataFrame
+    cells: DataFrame
+    room: int
+
+
+def quadtree(right: DataFrame, earlier: str | None = None, room: int = 1) -> Quadtree | None:
+    """Index of (unit_id, x, y); None without points.
+
+    Of the points at one spot only ``room`` with the smallest ids are kept: a
+    search that may not use k of them needs k + 1.
+    """
+    here = F.col("x").isNotNull() & F.col("y").isNotNull()
+    rank = F.col(earlier).cast("long") if earlier else F.lit(0).cast("long")
+    flat = right.filter(here).select(F.col("unit_id").alias("near_id"), F.col("x").cast("double").alias("rx"), F.col("y").cast("double").alias("ry"), rank.alias("rank"))
+    box = flat.agg(F.min("rx").alias("x"), F.min("ry").alias("y"), F.max("rx").alias("mx"), F.max("ry").alias("my")).first()
+    if box.x is None:
+        return None
+    size = max(box.mx - box.x, box.my - box.y)
+    alike = F.row_number().over(Window.partitionBy("rx", "ry", "rank").orderBy("near_id"))
+    flat = flat.withColumn("_r", alike).where(F.col("_r") <= room).drop("_r")
+    points = cut_lineage(flat.withColumn("ix", _index("rx", box.x, size)).withColumn("iy", _index("ry", box.y, size)))
+    return Quadtree(points, _tree(points), room)
+
+
 def nearest(
-    left: DataFrame, right: DataFrame, exclude: DataFrame | None = None, earlier: str | None = None, group: str | None = None
+    left: DataFrame, right: DataFrame, exclude: DataFrame | None = None, earlier: str | None = None, group: str | None = None,
+    index: Quadtree | None = None,
 ) -> DataFrame:
     """Nearest right row of each left row: (unit_id, near_id, distance).
 
@@ -47,21 +84,15 @@ def nearest(
     pairs; ``earlier`` names a column whose right value must be smaller. With
     ``group``, a column of left, only rows whose search may hold the nearest
     pair of their group are followed; the others have no row. Rows without
-    coordinates take no part.
+    coordinates take no part. ``index`` is a quadtree of right, if there is one
+    with room for two points more than a row's forbidden ones.
     """
     here = F.col("x").isNotNull() & F.col("y").isNotNull()
     rank = F.col(earlier).cast("long") if earlier else F.lit(0).cast("long")
-    flat = right.filter(here).select(F.col("unit_id").alias("near_id"), F.col("x").cast("double").alias("rx"), F.col("y").cast("double").alias("ry"), rank.alias("rank"))
-    box = flat.agg(F.min("rx").alias("x"), F.min("ry").alias("y"), F.max("rx").alias("mx"), F.max("ry").alias("my")).first()
-    if box.x is None:
+    index = index or quadtree(right, earlier, 1 if earlier else 2 + most_barred(exclude))
+    if index is None:
         return left.select("unit_id", F.col("unit_id").alias("near_id"), F.lit(0.0).alias("distance")).limit(0)
-    size = max(box.mx - box.x, box.my - box.y)
-    # of points at one spot only as many can be an answer as a search may have to skip
-    most = 1 if earlier else 2 + (exclude.groupBy("unit_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0] if exclude is not None else 0)
-    alike = F.row_number().over(Window.partitionBy("rx", "ry", "rank").orderBy("near_id"))
-    flat = flat.withColumn("_r", alike).where(F.col("_r") <= most).drop("_r")
-    points = cut_lineage(flat.withColumn("ix", _index("rx", box.x, size)).withColumn("iy", _index("ry", box.y, size)))
-    tree = _tree(points)
+    points, tree = index.points, index.cells
 
     seeds = left.filter(here).select(
         "unit_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), rank.alias("mine"), (F.col(group) if group else F.col("unit_id")).alias("party")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hemicycle.functions.frames import attach, group_window, rnd, small_side
-from hemicycle.functions.nearest import nearest
+from hemicycle.functions.nearest import most_barred, nearest, quadtree
 from hemicycle.functions.ordered import exact_quantiles, row_index
 from hemicycle.operators.geometry import segments
 from hemicycle.session import cut_lineage
@@ -124,9 +124,12 @@ def connect_islands(
     nodes = cut_lineage(nodes.select("unit_id", "x", "y"))
     lonely = cut_lineage(degrees(nodes, edges).where("degree = 0").select("unit_id", "x", "y"))
     targets = nodes if to_islands else nodes.join(lonely, "unit_id", "left_anti")
-    taken, before = None, None
+    taken, before, index = None, None, None
     while True:
-        chosen = cut_lineage(nearest(lonely, targets, taken))
+        room = 2 + most_barred(taken)
+        if index is None or index.room < room:
+            index = quadtree(targets, room=room)
+        chosen = cut_lineage(nearest(lonely, targets, taken, index=index))
         state = chosen.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("unit_id", "near_id"))).first()
         if state == before or not to_islands:
             break
