@@ -8,9 +8,14 @@ band the difference of linked sets is at most ``k``; with more than ``k``
 pieces at least one agrees (pigeonhole), which gives the candidates. They are
 verified on the whole sets.
 
-Equal sets are one vertex. Inside a crowded piece documents are first compared
-with one leader; what is connected already is not compared again, so groups of
-near copies don't cost their square.
+Equal sets are one vertex, named by the sum of their hashes. Sets of up to
+eight shingles link only with sets that have one shingle more (eight also with
+ten): those are found by the sums that are left without one or two shingles.
+
+Of two linked sets, the rarest piece that both hold has before it, in the order
+of either, at most as many pieces as the two sets may differ in. A pair is
+looked at only there. Inside a crowded piece sets are first compared with one
+leader; what is connected already is not compared again.
 """
 
 from __future__ import annotations
@@ -19,11 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 from xxhash import xxh3_64_intdigest
 
-from hemicycle.llm.arrays import mix, pack_parts, unpack_parts
+from hemicycle.llm.arrays import mix, parts_of
 from hemicycle.llm.components import components
 from hemicycle.llm.storage import settled
 
@@ -33,11 +38,15 @@ SIMILAR = 80
 #: ratio of the sizes at the two ends of a band
 BAND = 1.5625
 #: keys that one reduce task sorts, about
-KEYS_PER_PART = 1_000_000
+KEYS_PER_PART = 4_000_000
+#: keys and sets that a task collects before it sends them
+BATCH_KEYS, BATCH_SETS = 2_000_000, 60_000
+#: a level beyond this is a further sketch of the level below it
+LEVELS = 64
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-#: of a document in a band: id, signature of its set, band, spare pieces, size of the set
-_OWNER = np.dtype([("doc", "<i8"), ("sig", "<i8"), ("level", "i1"), ("spare", "<i4"), ("n", "<i4")])
+#: of a set in a band: its sum, band and sketch, spare pieces, size
+_OWNER = np.dtype([("sig", "<i8"), ("level", "<i2"), ("spare", "<i4"), ("n", "<i4")])
 _TOPS = np.ceil(8 * BAND ** np.arange(60)).astype(np.int64)
 
 
@@ -54,37 +63,66 @@ def shingles(text: str | None, width: int = WORDS) -> np.ndarray:
     return np.unique(mix(out))
 
 
+def signature(s: np.ndarray) -> np.int64:
+    """Sum of the hashes of a set."""
+    return np.add.reduce(mix(s)).astype(np.int64)
+
+
 def levels(n: int) -> list[int]:
-    """Size bands that a set of ``n`` takes part in: its own and that of its smallest partner."""
+    """Size bands that a set of ``n`` takes part in: its own and that of its smallest partner.
+
+    The lowest band, up to eight shingles, has no pieces.
+    """
     own, low = np.searchsorted(_TOPS, [n, -(-4 * n // 5)])
-    return [int(own)] if own == low else [int(own), int(low)]
+    return [int(x) for x in ([own] if own == low else [own, low]) if x]
 
 
-def pieces(level: int) -> tuple[int, int]:
-    """Number of pieces in a band, and how many of them a set may leave out.
+def most_apart(level: int) -> int:
+    """In how many shingles linked sets of a band differ at most.
 
     Linked sets of ``a <= b`` shingles differ in at most ``(a + b) / 9``, and
     ``b <= 1.25 a``, so in at most a quarter of the band's largest ``a``.
     """
-    most = int(_TOPS[level]) // 4
-    spare = most // 2 + 1
-    return most + 1 + spare, spare
-
-
-def sketch_keys(s: np.ndarray, level: int) -> tuple[np.ndarray, int]:
-    """Keys of the non-empty pieces, or of all if too many are empty; spare pieces left."""
-    count, spare = pieces(level)
-    piece = ((s >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)  # sorted, as s is
-    heads = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]])
-    words = np.bitwise_xor.reduceat(mix(s + np.uint64(1)), heads)
-    number = piece[heads]
-    spare -= count - len(heads)
-    if spare < 0:
-        all_words = np.zeros(count, np.uint64)
-        all_words[number.astype(np.int64)] = words
-        words, number, spare = all_words, np.arange(count, dtype=np.uint64), 0
-    salt = mix(number * _ODD[1] + np.array(level + 1, np.uint64))
-    return mix(words ^ salt), spare
+    return int(_TOPS[level]) // 4
+
+
+def pieces(level: int) -> int:
+    """Number of pieces of a sketch in a band."""
+    most = most_apart(level)
+    return most + 1 + most * 3 // 2 + 1
+
+
+def sketch_keys(s: np.ndarray, level: int) -> list[tuple[np.ndarray, int, int]]:
+    """``keys, level, spare pieces`` of one sketch, or of several, the last with enough pieces.
+
+    Linked sets agree in more pieces than either has to spare. A set whose
+    shingles fell into too few pieces (spare below zero) might agree with
+    another such set in empty ones only; so it is dealt anew, and two sets meet
+    in the first sketch in which one of them has enough.
+    """
+    count, most, made = pieces(level), most_apart(level), []
+    while not made or made[-1][2] < 0:
+        again = len(made)
+        dealt = mix(s + np.uint64(again) * _ODD[2]) if again else s
+        number = ((dealt >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
+        order = np.argsort(number, kind="stable") if again else slice(None)  # sorted, as s is
+        piece, value = number[order], mix(s[order] + np.uint64(1))
+        heads = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]])
+        code = level + LEVELS * again
+        salt = mix(piece[heads] * _ODD[1] + np.array(code + 1, np.uint64))
+        made.append((mix(np.bitwise_xor.reduceat(value, heads) ^ salt), code, len(heads) - most - 1))
+    return made
+
+
+def smaller_sums(s: np.ndarray) -> list[int] | None:
+    """Sums of the sets of at most eight shingles that a set links with and includes."""
+    if not 5 <= len(s) <= 10:
+        return None
+    h, total = mix(s), np.add.reduce(mix(s))
+    if len(s) < 10:
+        return (total - h).astype(np.int64).tolist()
+    i, j = np.triu_indices(10, 1)
+    return (total - h[i] - h[j]).astype(np.int64).tolist()
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -92,69 +130,83 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def set_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, sig_a, sig_b, n_keys``: equal sets have equal signatures."""
+    """``doc_id, n_shingles, sig, n_keys, smaller``: equal sets have equal ``sig``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, a, b, keys = [], [], [], []
+            n, sig, keys, smaller = [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingles(text)
                 n.append(len(s))
-                a.append(np.add.reduce(mix(s)).astype(np.int64) if len(s) else None)
-                b.append(np.add.reduce(mix(s ^ _ODD[0])).astype(np.int64) if len(s) else None)
-                keys.append(sum(pieces(level)[0] for level in levels(len(s))) if len(s) > 3 else 0)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array(x, pa.int64()) for x in (n, a, b, keys)]], names=["doc_id", "n_shingles", "sig_a", "sig_b", "n_keys"]
-            )
+                sig.append(signature(s) if len(s) else None)
+                keys.append(sum(min(len(s), pieces(level)) for level in levels(len(s))))
+                smaller.append(smaller_sums(s))
+            columns = [*(pa.array(x, pa.int64()) for x in (n, sig, keys)), pa.array(smaller, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_shingles", "sig", "n_keys", "smaller"])
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_shingles long, sig_a long, sig_b long, n_keys long")
+    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_shingles long, sig long, n_keys long, smaller array<long>")
 
 
 def _opened(block: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = int.from_bytes(block[:8], "little")
     owners = np.frombuffer(block, _OWNER, n, 8)
     rest = 8 + owners.nbytes
-    count = (len(block) - rest) // 12
-    return np.frombuffer(block, np.uint64, count, rest), owners[np.frombuffer(block, np.uint32, count, rest + 8 * count)]
+    count = (len(block) - rest) // 6
+    return np.frombuffer(block, np.uint32, count, rest), owners[np.frombuffer(block, np.uint16, count, rest + 4 * count)]
+
+
+def _several(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted keys: which occur more than once, and how often these do."""
+    sizes = np.diff(np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)])
+    held = np.repeat(sizes, sizes)
+    return held > 1, held[held > 1]
 
 
 def shared_pieces(docs: DataFrame, parts: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``key, doc_id, level, spare, n, held``: the pieces that several documents hold.
+    """``key, sig, level, spare, own, n, held``: the pieces that several sets hold.
 
     A task emits the keys of equal sets once. Keys are dealt to ``parts`` as
-    blocks of numbers; a part is sorted and keys of one document dropped.
+    blocks of numbers; a part is sorted and keys of one set dropped. Within a
+    part 32 bits tell keys apart: a chance meeting is one candidate more.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
+        seen: set[int] = set()
         held: list[tuple] = []
         total = 0
 
         def flush() -> pa.RecordBatch:
-            """A block for each part: its documents once, then keys beside the places of their documents."""
+            """A block for each part: its sets once, then keys beside the places of their sets."""
             owners = np.array([h[1:] for h in held], _OWNER)
-            place = np.repeat(np.arange(len(held), dtype=np.uint32), [len(h[0]) for h in held])
-            made = []
-            for part, block in pack_parts(np.concatenate([h[0] for h in held]), [place], parts):
-                key, own = unpack_parts([block], [np.uint64, np.uint32])
-                used, own = np.unique(own, return_inverse=True)
-                made.append((part, len(used).to_bytes(8, "little") + owners[used].tobytes() + key.tobytes() + own.astype(np.uint32).tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in made], pa.int32()), pa.array([b for _, b in made], pa.binary())], names=["part", "block"])
+            key = np.concatenate([h[0] for h in held])
+            place = np.repeat(np.arange(len(held), dtype=np.uint16), [len(h[0]) for h in held])
+            part = parts_of(key, parts)
+            order = np.argsort(part.astype(np.uint16) if parts <= 65536 else part, kind="stable")
+            key, place, part = key[order].astype(np.uint32), place[order], part[order]
+            heads = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            blocks = []
+            for begin, end in zip(heads, np.r_[heads[1:], len(part)], strict=True):
+                own = place[begin:end]  # ascending, as the sort is stable
+                new = np.r_[True, own[1:] != own[:-1]]
+                used = owners[own[new]]
+                blocks.append(len(used).to_bytes(8, "little") + used.tobytes() + key[begin:end].tobytes() + (np.cumsum(new) - 1).astype(np.uint16).tobytes())
+            return pa.RecordBatch.from_arrays([pa.array(part[heads].astype(np.int32)), pa.array(blocks, pa.binary())], names=["part", "block"])
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = shingles(text)
-                if len(s) < 4 or doc_id is None:  # smaller sets link only with equal ones
+                bands = levels(len(s))
+                if not bands or doc_id is None:
                     continue
-                mark = (np.add.reduce(mix(s)), np.add.reduce(mix(s ^ _ODD[0])))
-                if mark in seen:
+                sig = signature(s)
+                if sig in seen:
                     continue
-                seen.add(mark)
-                for level in levels(len(s)):
-                    keys, spare = sketch_keys(s, level)
-                    held.append((keys, doc_id, mark[0].astype(np.int64), level, spare, len(s)))
-                    total += len(keys)
-                if total >= 500_000:
+                seen.add(sig)
+                for level in bands:
+                    for keys, code, spare in sketch_keys(s, level):
+                        held.append((keys, sig, code, spare, len(s)))
+                        total += len(keys)
+                if total >= BATCH_KEYS or len(held) >= BATCH_SETS:
                     yield flush()
                     held, total = [], 0
         if held:
@@ -168,34 +220,33 @@ def shared_pieces(docs: DataFrame, parts: int, id_col: str = "doc_id", text_col:
         for part in list(blocks):
             key, own = (np.concatenate(x) for x in zip(*map(_opened, blocks.pop(part)), strict=True))
             order = np.argsort(key, kind="stable")
-            sizes = np.diff(np.r_[np.flatnonzero(np.r_[True, np.diff(key[order]) != 0]), len(order)])
-            order = order[np.repeat(sizes > 1, sizes)]
+            order = order[_several(key[order])[0]]
+            key, own = key[order], own[order]
+            order = np.lexsort((own["level"], own["sig"], key))
             key, own = key[order], own[order]
-            doc, sig, level, spare, n = (own[c] for c in ("doc", "sig", "level", "spare", "n"))
-            order = np.lexsort((doc, sig, key))
-            k, g = key[order], sig[order]
-            new = np.r_[True, k[1:] != k[:-1]]
-            order = order[new | np.r_[True, g[1:] != g[:-1]]]  # equal sets once
-            sizes = np.diff(np.r_[np.flatnonzero(np.r_[True, np.diff(key[order]) != 0]), len(order)])
-            order, held = order[np.repeat(sizes > 1, sizes)], np.repeat(sizes, sizes)[np.repeat(sizes > 1, sizes)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (key[order].view(np.int64), doc[order], level[order].astype(np.int32), spare[order].astype(np.int32), n[order], held.astype(np.int32))],
-                names=["key", "doc_id", "level", "spare", "n", "held"],
-            )
+            new = np.r_[True, (key[1:] != key[:-1]) | (own["sig"][1:] != own["sig"][:-1]) | (own["level"][1:] != own["level"][:-1])]
+            key, own = key[new], own[new]  # equal sets once
+            several, held = _several(key)
+            key, own = key[several].astype(np.int64) + (np.int64(part) << np.int64(32)), own[several]
+            level = own["level"].astype(np.int32)
+            count = own["spare"] + (_TOPS[level % LEVELS] // 4).astype(np.int32) + np.int32(1)
+            columns = (key, own["sig"], level, own["spare"], count, own["n"], held.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], names=["key", "sig", "level", "spare", "own", "n", "held"])
 
     made = _texts(docs, id_col, text_col).mapInArrow(emit, "part int, block binary")
-    return made.repartition(parts, "part").mapInArrow(reduce, "key long, doc_id long, level int, spare int, n int, held int")
+    return made.repartition(parts, "part").mapInArrow(reduce, "key long, sig long, level int, spare int, own int, n int, held int")
 
 
 def set_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, members``: the sorted hashes of each document's set, as bytes."""
+    """``sig, members``: the sorted hashes of each document's set, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc_id", "members"])
+            sets = [shingles(t) for t in batch.column(1).to_pylist()]
+            columns = [pa.array([signature(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["sig", "members"])
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, members binary")
+    return _texts(docs, id_col, text_col).mapInArrow(run, "sig long, members binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -211,60 +262,81 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 linked.append(100 * common >= SIMILAR * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    left = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("members").alias("y"))
+    left = sets.select(F.col("sig").alias("a"), F.col("members").alias("x"))
+    right = sets.select(F.col("sig").alias("b"), F.col("members").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _may_link() -> Column:
+    """Sizes and places of one shared piece allow a link of the sets ``sig`` and ``other``."""
+    fits = 100 * F.least("n", "o") >= SIMILAR * F.greatest("n", "o")
+    return fits & (9 * F.greatest("at", "o_at") <= F.col("n") + F.col("o"))
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    return met.select(F.least("sig", "other").alias("a"), F.greatest("sig", "other").alias("b")).distinct()
+
+
+def _candidates(shared: DataFrame) -> DataFrame:
+    """``key, sig, n, at, held``: the pieces at which a set has to look for partners, and how many it has before each.
+
+    Linked sets agree in more pieces than the spare ones. A set with no more
+    shared pieces than that has no partner. Of the others, in one order of all
+    keys, the most crowded spare ones can go: one more agrees.
+    """
+    for _ in range(2):
+        mine = Window.partitionBy("sig", "level")
+        placed = shared.withColumns({"_rank": F.row_number().over(mine.orderBy("held", "key")), "_several": F.count("*").over(mine)})
+        placed = placed.filter("_several > spare").withColumns({"at": F.expr("own - _several + _rank - 1"), "kept": F.expr("_rank <= _several - spare")})
+        keys = placed.groupBy("key").agg(F.min("sig").alias("_a"), F.max("sig").alias("_b")).filter("_a <> _b").select("key")
+        placed = settled(placed.join(keys, "key"))
+        shared = placed.drop("_rank", "_several", "at", "kept")
+    return placed.filter("kept").select("key", "sig", "n", "at", "held")
+
+
+def linked_sets(docs: DataFrame, parts: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``a, b``: enough links of different sets of nine shingles or more to connect all that are linked."""
+    member = settled(_candidates(settled(shared_pieces(docs, parts, id_col, text_col))))
+    wanted = member.select("sig").distinct()
+    sets = settled(set_table(docs, id_col, text_col).join(wanted, "sig", "left_semi").dropDuplicates(["sig"]))
+
+    # first every set with the leader of its key, then what is still apart with all others of the key
+    degree = member.groupBy("sig").agg(F.sum("held").alias("degree"))
+    best = F.max_by(F.struct(F.col("sig").alias("other"), F.col("n").alias("o"), F.col("at").alias("o_at")), F.struct("degree", "sig"))
+    lead = member.join(degree, "sig").groupBy("key").agg(best.alias("_l")).select("key", "_l.*")
+    near = _pairs(member.join(lead, "key").filter((F.col("sig") != F.col("other")) & _may_link()))
+    first = settled(verified(near, sets))
+    label = components(first).select(F.col("id").alias("sig"), F.col("component").alias("_new"))
+    now = member.join(label, "sig", "left").withColumn("component", F.coalesce("_new", "sig")).drop("_new")
+    ends = now.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).filter("_a <> _b").select("key")
+    now = settled(now.join(ends, "key").select("key", "sig", "n", "at", "component"))
+    other = now.select("key", F.col("sig").alias("other"), F.col("n").alias("o"), F.col("at").alias("o_at"), F.col("component").alias("_c"))
+    apart = _pairs(now.join(other, "key").filter((F.col("component") < F.col("_c")) & _may_link()))
+    return first.unionByName(verified(apart, sets))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs``.
 
     Documents without words have an empty set and are a component of their
     own, as are rows with a null id (component null). Rows that share an id
-    are one vertex. An empty table gives an empty result; other columns are
-    not read.
+    are one vertex, with the links of all their texts. An empty table gives an
+    empty result; other columns are not read.
     """
     spark = docs.sparkSession
     sizes = settled(set_sizes(docs, id_col, text_col))
-    filled = sizes.filter("n_shingles > 0 and doc_id is not null")
-    kinds = filled.groupBy("n_shingles", "sig_a", "sig_b").agg(F.min("doc_id").alias("kind"))
-    same = filled.join(kinds, ["n_shingles", "sig_a", "sig_b"]).select("doc_id", "kind")
-    total = sizes.agg(F.coalesce(F.sum("n_keys"), F.lit(0))).first()[0]
+    kinds = settled(sizes.filter("n_shingles > 0 and doc_id is not null").groupBy("sig").agg(
+        F.min("doc_id").alias("kind"), F.max("n_shingles").alias("n"), F.max("n_keys").alias("n_keys"), F.first("smaller").alias("smaller")))
+    total = kinds.agg(F.coalesce(F.sum("n_keys"), F.lit(0))).first()[0]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // KEYS_PER_PART))
-    shared = settled(shared_pieces(docs, parts, id_col, text_col))
-
-    member = settled(shared.join(same, "doc_id").groupBy("key", "level", "kind").agg(F.max("spare").alias("spare"), F.max("n").alias("n"), F.max("held").alias("held")))
-    for _ in range(2):
-        # Linked sets agree in more pieces than the spare ones. Sets with no more shared pieces than that have no
-        # partner; of the others, in one order of all keys, the most crowded spare ones can go: one more agrees.
-        ranked = F.row_number().over(Window.partitionBy("kind", "level").orderBy("held", "key"))
-        own = F.count("*").over(Window.partitionBy("kind", "level"))
-        placed = member.withColumns({"_rank": ranked, "_own": own}).filter("_own > spare")
-        several = placed.groupBy("key").agg(F.min("kind").alias("_a"), F.max("kind").alias("_b")).filter("_a <> _b").select("key")
-        member = settled(placed.join(several, "key"))
-    member = member.filter("_rank <= _own - spare")
-    wanted = member.select(F.col("kind").alias("doc_id")).distinct()
-    picked = docs.join(wanted, docs[id_col].cast("long") == wanted["doc_id"], "left_semi")
-    sets = settled(set_table(picked, id_col, text_col).dropDuplicates(["doc_id"]))
 
-    fits = 100 * F.least("n", "o") >= SIMILAR * F.greatest("n", "o")
-    links = same.filter("doc_id <> kind").select(F.col("doc_id").alias("a"), F.col("kind").alias("b"))
-
-    # first every set with the leader of its key, then what is still apart with all others of the key
-    degree = member.groupBy("kind").agg(F.sum("held").alias("degree"))
-    best = F.max_by(F.struct(F.col("kind").alias("other"), F.col("n").alias("o")), F.struct("degree", -F.col("kind")))
-    lead = member.join(degree, "kind").groupBy("key").agg(best.alias("_l")).select("key", "_l.*")
-    near = member.join(lead, "key").filter((F.col("kind") != F.col("other")) & fits)
-    pairs = near.select(F.least("kind", "other").alias("a"), F.greatest("kind", "other").alias("b")).distinct()
-    first = settled(verified(pairs, sets))
-    label = components(first).select(F.col("id").alias("kind"), F.col("component").alias("_new"))
-    now = member.join(label, "kind", "left").withColumn("component", F.coalesce("_new", "kind")).drop("_new")
-    ends = now.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).filter("_a <> _b").select("key")
-    now = settled(now.join(ends, "key").select("key", "kind", "n", "component"))
-    other = now.select("key", F.col("kind").alias("other"), F.col("n").alias("o"), F.col("component").alias("_c"))
-    apart = now.join(other, "key").filter((F.col("component") < F.col("_c")) & fits)
-    pairs = apart.select(F.least("kind", "other").alias("a"), F.greatest("kind", "other").alias("b")).distinct()
-    found = first.unionByName(verified(pairs, sets))
-    label = components(found.unionByName(links))
+    larger = kinds.filter("smaller is not null").select("kind", F.col("n").alias("o"), F.explode("smaller").alias("sig"))
+    least = kinds.filter("n <= 8").select("sig", F.col("kind").alias("b"), "n")
+    short = larger.join(least, "sig").filter(100 * F.col("n") >= SIMILAR * F.col("o")).select(F.col("kind").alias("a"), "b")
+    same = sizes.join(kinds.select("sig", "kind"), "sig").filter("doc_id <> kind").select(F.col("doc_id").alias("a"), F.col("kind").alias("b"))
+    links = linked_sets(docs, parts, id_col, text_col)
+    ends = [kinds.select(F.col("sig").alias(x), F.col("kind").alias(f"_{x}")) for x in "ab"]
+    links = links.join(ends[0], "a").join(ends[1], "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    label = components(links.unionByName(short).unionByName(same))
     out = sizes.join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

@@ -129,6 +129,56 @@ def test_jaccard(spark, docs, texts, empty):
     assert jaccard.jaccard_components(empty).collect() == []
 
 
+def test_jaccard_short_and_crowded(spark):
+    def shingles(t):
+        w = t.split()
+        return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(400)]
+    base = [rng.sample(words, 90), rng.sample(words, 13), rng.sample(words, 12), rng.sample(words, 20), rng.sample(words, 30)]
+    rows = []
+    for i in range(700):
+        t = list(base[0] if i < 400 else rng.choice(base))
+        for _ in range(rng.randint(0, 6) if len(t) == 90 else rng.choice([0, 0, 0, 1])):
+            t[rng.randrange(len(t))] = rng.choice(words)  # most are too far from each other, all share pieces
+        cut = rng.randint(0, 3)
+        rows.append((i if i % 50 else 7, " ".join(t[cut : len(t) - rng.randint(0, 3)])))
+    rows += [(800 + i, " ".join(base[1][: 4 + i])) for i in range(10)]
+    sets = [shingles(t) for _, t in rows]
+    low = {i: i for i, _ in rows}
+    linked = [(rows[i][0], rows[j][0]) for i, x in enumerate(sets) for j, y in enumerate(sets[:i]) if 100 * len(x & y) >= 80 * len(x | y)]
+    while True:
+        before = dict(low)
+        for a, b in linked:
+            low[a] = low[b] = min(low[a], low[b])
+        if low == before:
+            break
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted((i, len(s), low[i]) for (i, _), s in zip(rows, sets))
+
+
+def test_jaccard_sketches():
+    rng = np.random.default_rng(4)
+    for n in [*range(4, 40), 150]:
+        for _ in range(60):
+            x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+            y = np.union1d(x[rng.integers(0, 2) :], rng.integers(0, 2**63, rng.integers(0, 1 + n // 5)).astype(np.uint64))
+            common = len(np.intersect1d(x, y))
+            if common * 100 < 80 * (len(x) + len(y) - common) or common == len(x) == len(y):
+                continue
+            if min(len(x), len(y)) <= 8:
+                a, b = sorted((x, y), key=len)
+                assert jaccard.signature(a) in jaccard.smaller_sums(b)
+                continue
+            found = False
+            for level in set(jaccard.levels(len(x))) & set(jaccard.levels(len(y))):
+                for kx, code, spare in jaccard.sketch_keys(x, level):
+                    for ky, other, spared in jaccard.sketch_keys(y, level):
+                        found |= code == other and len(np.intersect1d(kx, ky)) > max(spare, spared, 0)
+            assert found
+
+
 def test_toxicity(spark, empty):
     rng = random.Random(2)
     words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(80)]
