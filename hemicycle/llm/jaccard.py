@@ -163,7 +163,7 @@ def _several(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shared_pieces(docs: DataFrame, parts: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``key, sig, level, spare, own, n, held``: the pieces that several sets hold.
+    """``key, sig, level, top, spare, own, n, held``: the pieces that several sets hold.
 
     A task emits the keys of equal sets once. Keys are dealt to ``parts`` as
     blocks of numbers; a part is sorted and keys of one set dropped. Within a
@@ -229,12 +229,13 @@ def shared_pieces(docs: DataFrame, parts: int, id_col: str = "doc_id", text_col:
             several, held = _several(key)
             key, own = key[several].astype(np.int64) + (np.int64(part) << np.int64(32)), own[several]
             level = own["level"].astype(np.int32)
-            count = own["spare"] + (_TOPS[level % LEVELS] // 4).astype(np.int32) + np.int32(1)
-            columns = (key, own["sig"], level, own["spare"], count, own["n"], held.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], names=["key", "sig", "level", "spare", "own", "n", "held"])
+            top = _TOPS[level % LEVELS]
+            count = own["spare"] + (top // 4).astype(np.int32) + np.int32(1)
+            columns = (key, own["sig"], level, top, own["spare"], count, own["n"], held.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], names=["key", "sig", "level", "top", "spare", "own", "n", "held"])
 
     made = _texts(docs, id_col, text_col).mapInArrow(emit, "part int, block binary")
-    return made.repartition(parts, "part").mapInArrow(reduce, "key long, sig long, level int, spare int, own int, n int, held int")
+    return made.repartition(parts, "part").mapInArrow(reduce, "key long, sig long, level int, top long, spare int, own int, n int, held int")
 
 
 def set_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -268,9 +269,12 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _may_link() -> Column:
-    """Sizes and places of one shared piece allow a link of the sets ``sig`` and ``other``."""
+    """Sizes and places of one shared piece allow a link of the sets ``sig`` and ``other``.
+
+    They meet in the band of the smaller one only.
+    """
     fits = 100 * F.least("n", "o") >= SIMILAR * F.greatest("n", "o")
-    return fits & (9 * F.greatest("at", "o_at") <= F.col("n") + F.col("o"))
+    return fits & (F.least("n", "o") <= F.col("top")) & (9 * F.greatest("at", "o_at") <= F.col("n") + F.col("o"))
 
 
 def _pairs(met: DataFrame) -> DataFrame:
@@ -278,7 +282,7 @@ def _pairs(met: DataFrame) -> DataFrame:
 
 
 def _candidates(shared: DataFrame) -> DataFrame:
-    """``key, sig, n, at, held``: the pieces at which a set has to look for partners, and how many it has before each.
+    """``key, sig, n, top, at, held``: the pieces at which a set has to look for partners, and how many it has before each.
 
     Linked sets agree in more pieces than the spare ones. A set with no more
     shared pieces than that has no partner. Of the others, in one order of all
@@ -291,14 +295,18 @@ def _candidates(shared: DataFrame) -> DataFrame:
         keys = placed.groupBy("key").agg(F.min("sig").alias("_a"), F.max("sig").alias("_b")).filter("_a <> _b").select("key")
         placed = settled(placed.join(keys, "key"))
         shared = placed.drop("_rank", "_several", "at", "kept")
-    return placed.filter("kept").select("key", "sig", "n", "at", "held")
+    return placed.filter("kept").select("key", "sig", "n", "top", "at", "held")
 
 
-def linked_sets(docs: DataFrame, parts: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``a, b``: enough links of different sets of nine shingles or more to connect all that are linked."""
+def linked_sets(docs: DataFrame, kinds: DataFrame, parts: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``a, b``: enough links of different sets of nine shingles or more to connect all that are linked.
+
+    ``kinds`` has a document (``kind``) of each set (``sig``).
+    """
     member = settled(_candidates(settled(shared_pieces(docs, parts, id_col, text_col))))
-    wanted = member.select("sig").distinct()
-    sets = settled(set_table(docs, id_col, text_col).join(wanted, "sig", "left_semi").dropDuplicates(["sig"]))
+    wanted = kinds.join(member.select("sig").distinct(), "sig", "left_semi").select("sig", "kind")
+    picked = docs.join(wanted, docs[id_col].cast("long") == wanted["kind"], "left_semi")
+    sets = settled(set_table(picked, id_col, text_col).dropDuplicates(["sig"]))  # of a repeated id also others
 
     # first every set with the leader of its key, then what is still apart with all others of the key
     degree = member.groupBy("sig").agg(F.sum("held").alias("degree"))
@@ -309,7 +317,7 @@ def linked_sets(docs: DataFrame, parts: int, id_col: str = "doc_id", text_col: s
     label = components(first).select(F.col("id").alias("sig"), F.col("component").alias("_new"))
     now = member.join(label, "sig", "left").withColumn("component", F.coalesce("_new", "sig")).drop("_new")
     ends = now.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).filter("_a <> _b").select("key")
-    now = settled(now.join(ends, "key").select("key", "sig", "n", "at", "component"))
+    now = settled(now.join(ends, "key").select("key", "sig", "n", "top", "at", "component"))
     other = now.select("key", F.col("sig").alias("other"), F.col("n").alias("o"), F.col("at").alias("o_at"), F.col("component").alias("_c"))
     apart = _pairs(now.join(other, "key").filter((F.col("component") < F.col("_c")) & _may_link()))
     return first.unionByName(verified(apart, sets))
@@ -334,7 +342,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = kinds.filter("n <= 8").select("sig", F.col("kind").alias("b"), "n")
     short = larger.join(least, "sig").filter(100 * F.col("n") >= SIMILAR * F.col("o")).select(F.col("kind").alias("a"), "b")
     same = sizes.join(kinds.select("sig", "kind"), "sig").filter("doc_id <> kind").select(F.col("doc_id").alias("a"), F.col("kind").alias("b"))
-    links = linked_sets(docs, parts, id_col, text_col)
+    links = linked_sets(docs, kinds, parts, id_col, text_col)
     ends = [kinds.select(F.col("sig").alias(x), F.col("kind").alias(f"_{x}")) for x in "ab"]
     links = links.join(ends[0], "a").join(ends[1], "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
     label = components(links.unionByName(short).unionByName(same))
