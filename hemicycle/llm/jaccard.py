@@ -30,7 +30,7 @@ from xxhash import xxh3_64_intdigest
 
 from hemicycle.llm.arrays import mix, parts_of
 from hemicycle.llm.components import components
-from hemicycle.llm.storage import settled
+from hemicycle.llm.storage import settled, written
 
 WORDS = 5
 #: linked: SHARE_TOP * intersection >= ... in whole numbers, 100 * i >= 80 * u
@@ -87,7 +87,11 @@ def most_apart(level: int) -> int:
 
 
 def pieces(level: int) -> int:
-    """Number of pieces of a sketch in a band."""
+    """Number of pieces of a sketch in a band.
+
+    More pieces tell sets apart no better: one that lost its only shingle is
+    empty and has no key.
+    """
     most = most_apart(level)
     return most + 1 + most * 3 // 2 + 1
 
@@ -268,13 +272,16 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _fits() -> Column:
+    return 100 * F.least("n", "o") >= SIMILAR * F.greatest("n", "o")
+
+
 def _may_link() -> Column:
     """Sizes and places of one shared piece allow a link of the sets ``sig`` and ``other``.
 
     They meet in the band of the smaller one only.
     """
-    fits = 100 * F.least("n", "o") >= SIMILAR * F.greatest("n", "o")
-    return fits & (F.least("n", "o") <= F.col("top")) & (9 * F.greatest("at", "o_at") <= F.col("n") + F.col("o"))
+    return _fits() & (F.least("n", "o") <= F.col("top")) & (9 * F.greatest("at", "o_at") <= F.col("n") + F.col("o"))
 
 
 def _pairs(met: DataFrame) -> DataFrame:
@@ -306,13 +313,14 @@ def linked_sets(docs: DataFrame, kinds: DataFrame, parts: int, id_col: str = "do
     member = settled(_candidates(settled(shared_pieces(docs, parts, id_col, text_col))))
     wanted = kinds.join(member.select("sig").distinct(), "sig", "left_semi").select("sig", "kind")
     picked = docs.join(wanted, docs[id_col].cast("long") == wanted["kind"], "left_semi")
-    sets = settled(set_table(picked, id_col, text_col).dropDuplicates(["sig"]))  # of a repeated id also others
+    # of a repeated id also others; as a table it has a size, by which Spark chooses the joins with the pairs
+    sets = written(set_table(picked, id_col, text_col).dropDuplicates(["sig"]), "sets")
 
     # first every set with the leader of its key, then what is still apart with all others of the key
     degree = member.groupBy("sig").agg(F.sum("held").alias("degree"))
-    best = F.max_by(F.struct(F.col("sig").alias("other"), F.col("n").alias("o"), F.col("at").alias("o_at")), F.struct("degree", "sig"))
+    best = F.max_by(F.struct(F.col("sig").alias("other"), F.col("n").alias("o")), F.struct("degree", "sig"))
     lead = member.join(degree, "sig").groupBy("key").agg(best.alias("_l")).select("key", "_l.*")
-    near = _pairs(member.join(lead, "key").filter((F.col("sig") != F.col("other")) & _may_link()))
+    near = _pairs(member.join(lead, "key").filter((F.col("sig") != F.col("other")) & _fits()))
     first = settled(verified(near, sets))
     label = components(first).select(F.col("id").alias("sig"), F.col("component").alias("_new"))
     now = member.join(label, "sig", "left").withColumn("component", F.coalesce("_new", "sig")).drop("_new")
