@@ -1,4 +1,4 @@
-"""Allocation windows against the seat-by-seat definition."""
+"""Allocation windows against hand cases and the rules that a result must keep."""
 
 import random
 
@@ -9,17 +9,18 @@ from hemicycle.functions.rules import CENSUS_SEATS, LAW_SEATS, TOTAL_SEATS
 from hemicycle.operators import seats
 
 
-def one_by_one(votes, n, threshold=0.0, caps=None):
-    votes = {p: max(0, v) for p, v in votes.items()}
-    total = sum(votes.values())
-    won = dict.fromkeys(votes, 0)
-    open_to = [p for p in votes if total and votes[p] / total >= threshold]
-    for _ in range(n if total else 0):
-        free = [p for p in open_to if won[p] < (caps or {}).get(p, n)]
-        if not free:
-            break
-        won[max(free, key=lambda p: (votes[p] / (won[p] + 1), votes[p], p))] += 1
-    return won
+def broken_rules(won, votes, n, threshold=0.0, caps=None):
+    """What a result of a divisor method violates: totals, thresholds, caps, or the order of quotients."""
+    clean, caps = {p: max(0, v) for p, v in votes.items()}, caps or {}
+    total = sum(clean.values())
+    room = {p: min(n, caps.get(p, n)) if total and clean[p] / total >= threshold else 0 for p in clean}
+    found = [] if set(won) == set(votes) else ["parties"]
+    found += ["total"] if sum(won.values()) != min(n, sum(room.values())) else []
+    found += [f"room of {p}" for p in won if not 0 <= won[p] <= room[p]]
+    lasts = [(clean[p] / won[p], clean[p], p) for p in won if won[p]]
+    nexts = [(clean[p] / (won[p] + 1), clean[p], p) for p in won if won[p] < room[p]]
+    found += ["order"] if lasts and nexts and min(lasts) < max(nexts) and min(lasts)[2] != max(nexts)[2] else []
+    return found
 
 
 def result(df, keys=("party",)):
@@ -55,16 +56,20 @@ def test_two_level_caps(spark):
 @pytest.mark.parametrize("threshold", [0.0, 0.1, 0.3])
 def test_random_against_definition(spark, threshold):
     draw = random.Random(11)
-    rows, expected = [], {}
+    rows, cases = [], {}
     for d in range(250):
         n = draw.randint(0, 9)
         votes = {f"p{i}": draw.choice([0, -3, 7, 7, 14, 21, draw.randint(0, 60)]) for i in range(draw.randint(1, 7))}
         caps = {p: draw.randint(0, 4) for p in votes if draw.random() < 0.4}
         rows += [(d, p, v, n, caps.get(p)) for p, v in votes.items()]
-        expected |= {(d, p): s for p, s in one_by_one(votes, n, threshold, caps).items()}
+        cases[d] = (votes, n, threshold, caps)
     df = spark.createDataFrame(rows, "district int, party string, votes long, magnitude int, cap int")
     won = seats.dhondt(df, F.col("magnitude"), threshold=threshold)
-    assert result(won, ("district", "party")) == expected
+    got = {d: {} for d in cases}
+    for (d, party), s in result(won, ("district", "party")).items():
+        got[d][party] = s
+    assert {d: rules for d in cases if (rules := broken_rules(got[d], *cases[d]))} == {}
+    assert broken_rules({"a": 2, "b": 1}, {"a": 9, "b": 8}, 3) == [] and broken_rules({"a": 3, "b": 0}, {"a": 9, "b": 8}, 3) == ["order"]
 
 
 def test_magnitudes_against_definition(spark):
