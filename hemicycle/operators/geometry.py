@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from hemicycle.functions.frames import attach, ratio, rnd
+from hemicycle.functions.frames import attach, ratio, rnd, shuffled, sized, small_side
 from hemicycle.session import cut_lineage
 
 # executors get these small helpers with the task, without an installed package
@@ -73,7 +73,7 @@ def shared_borders(vertices: DataFrame) -> DataFrame:
     """Common border length of adjacent units (src < dst), once per pair."""
     sides = segments(vertices).select("unit_id", "ax", "ay", "bx", "by", "length").distinct()
     left, right = sides.withColumnRenamed("unit_id", "src"), sides.drop("length").withColumnRenamed("unit_id", "dst")
-    return left.join(right, ["ax", "ay", "bx", "by"]).where("src < dst").groupBy("src", "dst").agg(F.sum("length").alias("border"))
+    return left.join(shuffled(right), ["ax", "ay", "bx", "by"]).where("src < dst").groupBy("src", "dst").agg(F.sum("length").alias("border"))
 
 
 def spatial_summary(vertices: DataFrame, units: DataFrame, group: str | None = None) -> DataFrame:
@@ -200,7 +200,7 @@ def enclosing_circles(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     circles = cut_lineage(solved(start, F.array("a", "b", "c", "d")))
     while True:
         away = F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy"))
-        outside = points.join(circles, keys).where(away > F.col("r") * (1 + 1e-9) + 1e-12)
+        outside = points.join(sized(circles), keys).where(away > F.col("r") * (1 + 1e-9) + 1e-12)
         worst = outside.groupBy(*keys).agg(F.max(F.struct(away.alias("far"), "x", "y")).alias("_w"))
         worst = cut_lineage(worst.select(*keys, F.struct("_w.x", "_w.y").alias("_w")))
         if worst.isEmpty():
@@ -228,8 +228,8 @@ def compactness(vertices: DataFrame) -> DataFrame:
 def reock_by_plan(plans: DataFrame, vertices: DataFrame) -> DataFrame:
     """Mean Reock of the districts of each plan; fails outside [0, 1]."""
     corners = hull_points(cut_lineage(hulls(vertices)))
-    areas = area_perimeter(vertices).select("unit_id", "area")
-    points = plans.join(corners, "unit_id").select("plan_id", "district", "x", "y")
+    areas = small_side(area_perimeter(vertices).select("unit_id", "area"))
+    points = plans.join(sized(corners), "unit_id").select("plan_id", "district", "x", "y")
     circles = enclosing_circles(points, ["plan_id", "district"])
     area = plans.join(areas, "unit_id").groupBy("plan_id", "district").agg(F.sum("area").alias("area"))
     value = F.col("area") / (math.pi * F.col("r") * F.col("r"))

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from hemicycle.functions.frames import attach, group_window, rnd, small_side
+from hemicycle.functions.frames import attach, group_window, rnd, shuffled, small_side
 from hemicycle.functions.nearest import most_barred, nearest, quadtree
 from hemicycle.functions.ordered import exact_quantiles, row_index
 from hemicycle.operators.geometry import segments
@@ -29,7 +29,7 @@ def adjacency(vertices: DataFrame, contiguity: str = "queen", within: str | None
         sides = sides.select("unit_id", *keys, *([within] if within else [])).distinct()
     on = keys + ([within] if within else [])
     left, right = sides.withColumnRenamed("unit_id", "src"), sides.withColumnRenamed("unit_id", "dst")
-    return left.join(right, on).where("src < dst").select("src", "dst").distinct()
+    return left.join(shuffled(right), on).where("src < dst").select("src", "dst").distinct()
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -99,7 +99,7 @@ def contiguity(edges: DataFrame, plans: DataFrame) -> DataFrame:
     """Whether each district of each plan is one connected piece."""
     inside = edge_sides(edges.select("src", "dst"), plans).where("src_district = dst_district").select("plan_id", "src", "dst")
     parts = connected_components(plans, inside, ["plan_id"])
-    placed = plans.join(parts, ["plan_id", "unit_id"]).groupBy("plan_id", "district", "component").agg(F.count(F.lit(1)).alias("_n"))
+    placed = plans.join(shuffled(parts), ["plan_id", "unit_id"]).groupBy("plan_id", "district", "component").agg(F.count(F.lit(1)).alias("_n"))
     return placed.groupBy("plan_id", "district").agg(
         F.count(F.lit(1)).alias("components"), F.sum("_n").alias("n_units"), (F.count(F.lit(1)) == 1).alias("contiguous")
     )

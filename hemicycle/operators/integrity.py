@@ -123,7 +123,7 @@ def split_measures(
 def split_severity_uniform(plans: DataFrame, units: DataFrame, unit_col: str) -> DataFrame:
     """Severity when no population is known: every unit weighs the same."""
     by_unit = (
-        plans.join(units.select("unit_id", unit_col), "unit_id").select("plan_id", unit_col, "district").distinct()
+        plans.join(small_side(units.select("unit_id", unit_col)), "unit_id").select("plan_id", unit_col, "district").distinct()
         .groupBy("plan_id", unit_col).agg(F.count(F.lit(1)).alias("_n"))
     )
     return by_unit.groupBy("plan_id").agg((F.sum(F.col("_n") - 1) / F.count(F.lit(1))).alias("split_severity"))

@@ -36,7 +36,7 @@ def plan_compactness(districts: DataFrame) -> DataFrame:
 def plan_summary(plans: DataFrame, units: DataFrame, measures: DataFrame, borders: DataFrame, edges: DataFrame) -> DataFrame:
     """Per district: units, population, area, compactness, deviation, cuts."""
     shape = dissolve(plans, measures, borders)
-    pop = plans.join(units.select("unit_id", "population"), "unit_id").groupBy("plan_id", "district").agg(
+    pop = plans.join(small_side(units.select("unit_id", "population")), "unit_id").groupBy("plan_id", "district").agg(
         F.sum("population").alias("population")
     )
     sides = edge_sides(edges.select("src", "dst"), plans).where("src_district <> dst_district")
