@@ -31,7 +31,7 @@ _POINT = T.StructType([T.StructField(c, T.DoubleType()) for c in "xy"])
 def segments(vertices: DataFrame) -> DataFrame:
     """Directed segments (x, y) -> (x2, y2) with a canonical key (a, b)."""
     following = vertices.select(*RING, (F.col("seq") - 1).alias("seq"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    pairs = vertices.select(*RING, "seq", "x", "y").join(following, [*RING, "seq"]).where("x <> x2 OR y <> y2")
+    pairs = vertices.select(*RING, "seq", "x", "y").join(shuffled(following), [*RING, "seq"]).where("x <> x2 OR y <> y2")
     forward = (F.col("x") < F.col("x2")) | ((F.col("x") == F.col("x2")) & (F.col("y") <= F.col("y2")))
     pick = lambda a, b: F.when(forward, F.col(a)).otherwise(F.col(b))
     return pairs.withColumns(

@@ -26,3 +26,12 @@ def test_plans_do_not_travel_to_a_long_unit_table(spark):
     assert _joins(short) == (1, 0)
     assert met.agg(F.sum("population")).first()[0] == short.agg(F.sum("population")).first()[0] == 2 * 2 * sum(range(40))
     assert left.count() == 100 and left.where("population IS NULL").count() == 20
+
+
+def test_vertices_do_not_travel_to_their_successors(spark):
+    corners = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 0.0)]
+    ring = F.array(*[F.struct(F.lit(0).alias("part"), F.lit(0).alias("ring"), F.lit(i).alias("seq"), F.lit(x).alias("x"), F.lit(y).alias("y")) for i, (x, y) in enumerate(corners)])
+    outlines = spark.range(30).select(F.col("id").alias("unit_id"), F.inline(ring))
+    sides = geometry.segments(outlines)
+    assert _joins(sides) == (0, 1)
+    assert sides.count() == 90
