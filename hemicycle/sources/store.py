@@ -20,13 +20,23 @@ MANIFEST = (
 )
 
 
+#: parts of a run and scenario that may go to different tasks
+WRITE_PARTS = 64
+
+
 def write_plans(plans: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Long plan rows as snappy Parquet by run and scenario."""
+    """Long plan rows as snappy Parquet by run and scenario.
+
+    A task sorts its rows by folder, so rows are first dealt to tasks of
+    Spark's advisory size, whatever files they were read from.
+    """
     typed = plans.where("unit_id IS NOT NULL").select(
         F.col("run_id").cast("string"), F.col("scenario").cast("string"), F.col("chain_id").cast("tinyint"),
         F.col("draw").cast("int"), F.col("unit_id").cast("string"), F.col("district").cast("smallint"),
     )
-    typed.write.mode(mode).partitionBy("run_id", "scenario").option("compression", "snappy").parquet(path)
+    parts = typed.withColumn("_part", F.pmod(F.xxhash64("draw", "unit_id"), F.lit(WRITE_PARTS)))
+    dealt = parts.hint("rebalance", "run_id", "scenario", "_part").drop("_part")
+    dealt.write.mode(mode).partitionBy("run_id", "scenario").option("compression", "snappy").parquet(path)
 
 
 def read_plans(spark: SparkSession, path: str) -> DataFrame:
