@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hemicycle.functions.frames import attach, ratio, rnd
+from hemicycle.functions.frames import attach, ratio, rnd, sized
 from hemicycle.functions.ordered import exact_quantiles, row_index, running
 from hemicycle.functions.stats import clean, to_long
 from hemicycle.session import cut_lineage
@@ -166,13 +166,39 @@ def sweep(ensembles: dict[float, DataFrame], metrics: Sequence[str]) -> DataFram
     return out
 
 
+#: parts of the points whose own fronts are the witnesses of a resampling
+_WITNESSES = 16
+
+
+def _may_lead(placed: DataFrame, drawn, replicates: int) -> DataFrame:
+    """The rows of ``placed`` that may be on the front of some replicate.
+
+    The fronts of a few parts of the points lie close to any resampled front.
+    Those of their points that a replicate draws bound its front: a point is
+    left out only if every replicate draws one that is smaller in x and not
+    larger in y. That bound falls with x, so a running minimum finds it.
+    """
+    part = F.pmod(F.xxhash64("penalty", "_pos"), F.lit(_WITNESSES)).alias("_part")
+    fronts = front_2d(placed.select("x", "y", part), "x", "y", ["_part"])
+    steps = cut_lineage(fronts.select("x", "y").distinct())
+    seen = drawn(placed.join(sized(steps), ["x", "y"], "left_semi")).groupBy("replicate", "x").agg(F.min("y").alias("y"))
+    every = steps.select("x").distinct().withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    best = running(every.join(seen, ["replicate", "x"], "left"), ["replicate"], ["x"], {"_best": ("min", "y")})
+    bound = best.groupBy("x").agg(F.when(F.count("_best") == replicates, F.max("_best")).alias("_bound"))
+    lines = placed.select("penalty", "_pos", "x", "y", F.lit(0).alias("_kind"), F.lit(None).cast("double").alias("_bound")).unionByName(
+        bound.select("x", F.lit(1).alias("_kind"), "_bound"), allowMissingColumns=True)
+    met = running(lines, (), ["x", "_kind", "penalty", "_pos"], {"_least": ("min", "_bound")}, exclusive=True)
+    return met.where((F.col("_kind") == 0) & (F.col("_least").isNull() | (F.col("y") < F.col("_least"))))
+
+
 def bootstrap_bands(
     plans: DataFrame, x: str, y: str, replicates: int = 200, points: int = 60, seed: int = 0
 ) -> DataFrame:
     """5-95 % bands of the front under resampling within each penalty.
 
     Draw j of a replicate takes the plan at a hashed position of its penalty
-    group, so a replicate is just another key. Every front segment writes the
+    group, so a replicate is just another key. Draws that cannot be on a front
+    are left out where they are made. Every front segment writes the
     grid points it covers; both ends continue flat. Both metrics are
     minimised. Empty below four plans or ten usable replicates.
     """
@@ -181,11 +207,13 @@ def bootstrap_bands(
     grid = full.agg(F.min("x").alias("_a"), F.max("x").alias("_b"), F.count(F.lit(1)).alias("_front"))
     placed = row_index(valid, ["penalty"], ["x", "y"], "_pos")
     sizes = placed.groupBy("penalty").agg(F.count(F.lit(1)).alias("_m"))
-    draws = attach(placed, sizes, ["penalty"]).where("_m >= 2").select(
-        "penalty", "_pos", "_m", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")
-    )
+    placed = cut_lineage(attach(placed, sizes, ["penalty"]).where("_m >= 2"))
+    draws = placed.select("penalty", "_pos", "_m", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
     hit = F.pmod(F.xxhash64(F.lit(seed), "replicate", "penalty", "_pos"), F.col("_m"))
-    drawn = draws.select("penalty", "replicate", hit.alias("_pos")).distinct().join(placed, ["penalty", "_pos"])
+    draws = draws.select("penalty", "replicate", hit.alias("_pos"))
+    drawn = lambda some: draws.join(sized(some.select("penalty", "_pos", "x", "y")), ["penalty", "_pos"]).distinct()
+    near = cut_lineage(_may_lead(placed, drawn, replicates))
+    drawn = drawn(near).select("replicate", "x", "y")
     fronts = row_index(front_2d(drawn, "x", "y", ["replicate"]), ["replicate"], ["x"], "_i")
     following = fronts.select("replicate", (F.col("_i") - 1).alias("_i"), F.col("x").alias("x2"), F.col("y").alias("y2"))
     segments = fronts.join(following, ["replicate", "_i"])
