@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from hemicycle.checks import bridge
 from hemicycle.functions.frames import small_side
 from hemicycle.operators import geometry
 
@@ -35,3 +36,27 @@ def test_vertices_do_not_travel_to_their_successors(spark):
     sides = geometry.segments(outlines)
     assert _joins(sides) == (0, 1)
     assert sides.count() == 90
+
+
+def test_unit_tables_do_not_travel_to_each_other(spark, tmp_path):
+    """Spark takes a table of ids for small by its file, so it would broadcast all units, orders or parts."""
+    def put(name, df):
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+
+    put("nation", spark.range(2).selectExpr("cast(id as int) n_nationkey", "cast(0 as int) n_regionkey"))
+    put("customer", spark.range(30).selectExpr("id c_custkey", "cast(id % 2 as int) c_nationkey"))
+    put("orders", spark.range(60).selectExpr("id o_orderkey", "id % 20 o_custkey"))
+    put("part", spark.range(4).selectExpr("id p_partkey", "concat('T', id % 2) p_type", "concat('B', id) p_brand"))
+    put("lineitem", spark.range(240).selectExpr("id % 60 l_orderkey", "id % 4 l_partkey", "cast(1 as double) l_quantity"))
+    people = bridge.population(spark, str(tmp_path))
+    assert _joins(people) == (0, 1)
+    assert {r.unit_id: r.population for r in people.collect()} == {u: 3 if u < 20 else 0 for u in range(30)}
+    frame = bridge.unit_frame(spark, str(tmp_path))
+    assert _joins(frame) == (1, 2)  # nations alone are broadcast
+    assert frame.count() == 30 and frame.agg(F.sum("population")).first()[0] == 60
+    votes = bridge.unit_votes(spark, str(tmp_path))
+    assert _joins(votes) == (1, 1)  # few parts, counted
+    assert votes.agg(F.sum("votes")).first()[0] == 240
+    districts = bridge.district_votes(spark, str(tmp_path))
+    assert _joins(districts) == (1, 2)
+    assert {(r.district, r.party): r.votes for r in districts.collect()} == {(d, f"B{b}"): 60 for d in (0, 1) for b in (d, d + 2)}
