@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from hemicycle.checks import bridge as b
 from hemicycle.checks.base import R, cte, query
-from hemicycle.functions.frames import rnd
+from hemicycle.functions.frames import rnd, shuffled
 from hemicycle.operators import geometry, graph, integrity, spatial
 from hemicycle.plans import shape, table
 
@@ -319,14 +319,14 @@ def _(spark, sf):
 @query("g4_convex_hull_ratio", f"SELECT unit_id, {R('area / hull', 6)} AS convex_hull_ratio FROM shape_measures")
 def _(spark, sf):
     v = b.shapes(spark, sf)
-    both = geometry.area_perimeter(v).join(geometry.hull_area(geometry.hulls(v)), "unit_id")
+    both = geometry.area_perimeter(v).join(shuffled(geometry.hull_area(geometry.hulls(v))), "unit_id")
     return rounded(both.select("unit_id", (F.col("area") / F.col("hull_area")).alias("convex_hull_ratio")))
 
 
 @query("g5_reock", f"SELECT unit_id, {R('area / (pi() * r * r)', 6)} AS reock FROM shape_measures")
 def _(spark, sf):
     v = b.shapes(spark, sf)
-    both = geometry.area_perimeter(v).join(geometry.enclosing_circles(v, ["unit_id"]), "unit_id")
+    both = geometry.area_perimeter(v).join(shuffled(geometry.enclosing_circles(v, ["unit_id"])), "unit_id")
     return rounded(both.select("unit_id", (F.col("area") / (F.pi() * F.col("r") * F.col("r"))).alias("reock")))
 
 

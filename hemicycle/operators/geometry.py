@@ -205,6 +205,7 @@ def enclosing_circles(points: DataFrame, keys: Sequence[str]) -> DataFrame:
         worst = cut_lineage(worst.select(*keys, F.struct("_w.x", "_w.y").alias("_w")))
         if worst.isEmpty():
             return circles.drop("basis")
+        worst = sized(worst)
         grown = solved(circles.join(worst, keys), F.concat("basis", F.array("_w")))
         circles = cut_lineage(circles.join(worst, keys, "left_anti").unionByName(grown))
 
@@ -213,7 +214,7 @@ def compactness(vertices: DataFrame) -> DataFrame:
     """Polsby-Popper, Schwartzberg, hull ratio, Reock and their mean."""
     hull = cut_lineage(hulls(vertices))
     circles = enclosing_circles(hull_points(hull), ["unit_id"])
-    out = area_perimeter(vertices).join(hull_area(hull), "unit_id").join(circles.select("unit_id", "r"), "unit_id")
+    out = area_perimeter(vertices).join(shuffled(hull_area(hull)), "unit_id").join(shuffled(circles.select("unit_id", "r")), "unit_id")
     out = out.select(
         "unit_id",
         polsby_popper(F.col("area"), F.col("perimeter")).alias("polsby_popper"),

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from hemicycle.checks import bridge
+from hemicycle.checks import base, bridge, plan_queries  # noqa: F401
 from hemicycle.functions.frames import small_side
 from hemicycle.operators import geometry
 
@@ -60,3 +60,15 @@ def test_unit_tables_do_not_travel_to_each_other(spark, tmp_path):
     districts = bridge.district_votes(spark, str(tmp_path))
     assert _joins(districts) == (1, 2)
     assert {(r.district, r.party): r.votes for r in districts.collect()} == {(d, f"B{b}"): 60 for d in (0, 1) for b in (d, d + 2)}
+
+
+def test_hulls_and_circles_do_not_travel_to_their_units(spark, tmp_path):
+    """A stored table counts as small too; one row a unit grows with the units."""
+    spark.range(12).selectExpr("id c_custkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    for name in ("g4_convex_hull_ratio", "g5_reock"):
+        out = base.QUERIES[name](spark, str(tmp_path))
+        assert _joins(out)[0] == 0, name
+        assert out.count() == 12
+    out = geometry.compactness(bridge.shapes(spark, str(tmp_path)))
+    assert _joins(out)[0] == 0
+    assert out.where("reock BETWEEN 0 AND 1 AND convex_hull_ratio BETWEEN 0 AND 1.000001").count() == 12
