@@ -65,6 +65,23 @@ def test_global(spark, graph, tables, monkeypatch, block):
     assert row.p_sim == pytest.approx((min(larger, 99 - larger) + 1) / 100)
 
 
+def test_batches_hold_few_draws(spark, graph, tables, monkeypatch):
+    """Values of a few draws are stored at a time, and what the batches find together is the same."""
+    whole = spatial.moran_global(*tables, permutations=99).first()
+    for name, value in {"BLOCK": 64, "CHUNK": 16, "RUN": 7, "LEAST": 10, "DRAWN": 1}.items():
+        monkeypatch.setattr(permutation, name, value)
+    made, step = [], permutation._values_of_draws
+
+    def watched(chunks, values, keys, first, last, width):
+        made.append(range(first, last))
+        return step(chunks, values, keys, first, last, width)
+
+    monkeypatch.setattr(permutation, "_values_of_draws", watched)
+    assert spatial.moran_global(*tables, permutations=99).first() == whole
+    assert [k for part in made for k in part] == list(range(1, 100)) and max(map(len, made)) == 10
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_local(graph, tables):
     y, _, near = graph
     ids = sorted(y)
