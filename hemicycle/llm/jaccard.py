@@ -13,9 +13,10 @@ eight shingles link only with sets that have one shingle more (eight also with
 ten): those are found by the sums that are left without one or two shingles.
 
 Of two linked sets, the rarest piece that both hold has before it, in the order
-of either, at most as many pieces as the two sets may differ in. A pair is
-looked at only there. Inside a crowded piece sets are first compared with one
-leader; what is connected already is not compared again.
+of either, at most as many pieces as the two sets may differ in. Later pieces of
+a set are not looked at. Inside a piece sets are first compared with one leader.
+What is not connected then meets the other sets of the same leader in chunks,
+where an inverted index of shingles counts all intersections at once.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ BAND = 1.5625
 KEYS_PER_PART = 4_000_000
 #: keys and sets that a task collects before it sends them
 BATCH_KEYS, BATCH_SETS = 2_000_000, 60_000
+#: shingles in a chunk of the sets that have one leader, about
+CHUNK = 131_072
 #: a level beyond this is a further sketch of the level below it
 LEVELS = 64
 
@@ -276,33 +279,110 @@ def _fits() -> Column:
     return 100 * F.least("n", "o") >= SIMILAR * F.greatest("n", "o")
 
 
-def _may_link() -> Column:
-    """Sizes and places of one shared piece allow a link of the sets ``sig`` and ``other``.
-
-    They meet in the band of the smaller one only.
-    """
-    return _fits() & (F.least("n", "o") <= F.col("top")) & (9 * F.greatest("at", "o_at") <= F.col("n") + F.col("o"))
-
-
-def _pairs(met: DataFrame) -> DataFrame:
-    return met.select(F.least("sig", "other").alias("a"), F.greatest("sig", "other").alias("b")).distinct()
-
-
 def _candidates(shared: DataFrame) -> DataFrame:
-    """``key, sig, n, top, at, held``: the pieces at which a set has to look for partners, and how many it has before each.
+    """``key, sig, n, held``: the pieces at which a set has to look for partners.
 
     Linked sets agree in more pieces than the spare ones. A set with no more
     shared pieces than that has no partner. Of the others, in one order of all
-    keys, the most crowded spare ones can go: one more agrees.
+    keys, the most crowded spare ones can go: one more agrees. What a set has
+    before the rarest piece that it shares with a linked one is in the
+    difference of the two, which is at most a quarter of its size.
     """
     for _ in range(2):
         mine = Window.partitionBy("sig", "level")
         placed = shared.withColumns({"_rank": F.row_number().over(mine.orderBy("held", "key")), "_several": F.count("*").over(mine)})
-        placed = placed.filter("_several > spare").withColumns({"at": F.expr("own - _several + _rank - 1"), "kept": F.expr("_rank <= _several - spare")})
+        placed = placed.filter("_several > spare").withColumns({"_at": F.expr("own - _several + _rank - 1"), "kept": F.expr("_rank <= _several - spare")})
+        placed = placed.withColumn("kept", F.expr("kept and 4 * _at <= n")).drop("_rank", "_several", "_at")
         keys = placed.groupBy("key").agg(F.min("sig").alias("_a"), F.max("sig").alias("_b")).filter("_a <> _b").select("key")
-        placed = settled(placed.join(keys, "key"))
-        shared = placed.drop("_rank", "_several", "at", "kept")
-    return placed.filter("kept").select("key", "sig", "n", "top", "at", "held")
+        placed = written(placed.join(keys, "key"), "pieces")
+        shared = placed.drop("kept")
+    return placed.filter("kept").select("key", "sig", "n", "held")
+
+
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All numbers of some ranges, one after the other."""
+    return np.arange(size.sum()) + np.repeat(begin - np.cumsum(size) + size, size)
+
+
+def close_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, component: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of linked sets of different components; without ``right`` among ``left``.
+
+    Each set of the left meets the sets that hold its shingles by an inverted
+    index of the right ones, which gives the sizes of all intersections.
+    """
+    among = right is None
+    right = left if among else right
+    sizes = np.array([len(s) for s in right], np.int64)
+    members = np.concatenate(right)
+    order = np.argsort(members, kind="stable")
+    owner = np.repeat(np.arange(len(right)), sizes)[order]
+    members = members[order]
+    heads = np.flatnonzero(np.r_[True, members[1:] != members[:-1]])
+    runs = np.diff(np.r_[heads, len(members)])
+    names = members[heads]
+    found_a, found_b = [], []
+    for i, s in enumerate(left):
+        at = np.searchsorted(names, s).clip(0, len(names) - 1)
+        at = at[names[at] == s]
+        common = np.bincount(owner[_ranges(heads[at], runs[at])], minlength=len(right))
+        linked = (100 * common >= SIMILAR * (len(s) + sizes - common)) & (other != component[i])
+        if among:
+            linked[: i + 1] = False
+        j = np.flatnonzero(linked)
+        found_a.append(np.full(len(j), i))
+        found_b.append(j)
+    return np.concatenate(found_a), np.concatenate(found_b)
+
+
+def linked_in_groups(homes: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, b``: the links between sets of one group ``lead`` and different ``component`` of ``homes (lead, sig, n, component)``.
+
+    A group is cut into chunks of about ``CHUNK`` shingles, and each two of
+    them meet in a task: a group of any size is held by none, and the rows
+    made for it grow with its sets times its chunks.
+    """
+    chunks = homes.groupBy("lead").agg(F.expr(f"cast(ceil(sum(n) / {CHUNK}) as int)").alias("_chunks"))
+    dealt = homes.join(chunks, "lead").withColumn("_own", F.expr("cast(pmod(xxhash64(sig), _chunks) as int)"))
+    dealt = dealt.withColumn("_met", F.explode(F.expr("sequence(0, _chunks - 1)"))).drop("_chunks", "n")
+    dealt = dealt.withColumns({"_i": F.least("_own", "_met"), "_j": F.greatest("_own", "_met")}).drop("_met")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+            sig = np.array([r[0] for r in rows], np.int64)
+            component = np.array([r[1] for r in rows], np.int64)
+            if (component == component[0]).all():
+                return
+            members = [np.frombuffer(r[3], np.uint64) for r in rows]
+            own = np.array([r[2] for r in rows])
+            if i == j:
+                a, b = close_pairs(members, None, component, component)
+                yield from zip(sig[a].tolist(), sig[b].tolist(), strict=True)
+                return
+            x, y = np.flatnonzero(own == i), np.flatnonzero(own == j)
+            if len(x) and len(y):
+                a, b = close_pairs([members[k] for k in x], [members[k] for k in y], component[x], component[y])
+                yield from zip(sig[x[a]].tolist(), sig[y[b]].tolist(), strict=True)
+
+        def out(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        now, rows = None, []
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for lead, i_, j_, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now != (lead, i_, j_):
+                    if len(rows) > 1:
+                        _, i, j = now
+                        found.extend(links(rows))
+                    now, rows = (lead, i_, j_), []
+                rows.append(row)
+            yield out(found)
+        if len(rows) > 1:
+            _, i, j = now
+            yield out(list(links(rows)))
+
+    met = dealt.join(sets, "sig").repartition("lead", "_i", "_j").sortWithinPartitions("lead", "_i", "_j")
+    return met.select("lead", "_i", "_j", "sig", "component", "_own", "members").mapInArrow(run, "a long, b long")
 
 
 def linked_sets(docs: DataFrame, kinds: DataFrame, parts: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -310,25 +390,24 @@ def linked_sets(docs: DataFrame, kinds: DataFrame, parts: int, id_col: str = "do
 
     ``kinds`` has a document (``kind``) of each set (``sig``).
     """
-    member = settled(_candidates(settled(shared_pieces(docs, parts, id_col, text_col))))
+    member = _candidates(written(shared_pieces(docs, parts, id_col, text_col), "shared"))
     wanted = kinds.join(member.select("sig").distinct(), "sig", "left_semi").select("sig", "kind")
     picked = docs.join(wanted, docs[id_col].cast("long") == wanted["kind"], "left_semi")
     # of a repeated id also others; as a table it has a size, by which Spark chooses the joins with the pairs
     sets = written(set_table(picked, id_col, text_col).dropDuplicates(["sig"]), "sets")
 
-    # first every set with the leader of its key, then what is still apart with all others of the key
+    # first every set with the leader of its key, then what is still apart with all others of the same leader
     degree = member.groupBy("sig").agg(F.sum("held").alias("degree"))
     best = F.max_by(F.struct(F.col("sig").alias("other"), F.col("n").alias("o")), F.struct("degree", "sig"))
     lead = member.join(degree, "sig").groupBy("key").agg(best.alias("_l")).select("key", "_l.*")
-    near = _pairs(member.join(lead, "key").filter((F.col("sig") != F.col("other")) & _fits()))
+    led = written(member.drop("held").join(lead, "key").filter("sig <> other"), "led")
+    near = led.filter(_fits()).select(F.least("sig", "other").alias("a"), F.greatest("sig", "other").alias("b")).distinct()
     first = settled(verified(near, sets))
     label = components(first).select(F.col("id").alias("sig"), F.col("component").alias("_new"))
-    now = member.join(label, "sig", "left").withColumn("component", F.coalesce("_new", "sig")).drop("_new")
+    now = led.join(label, "sig", "left").withColumn("component", F.coalesce("_new", "sig"))
     ends = now.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).filter("_a <> _b").select("key")
-    now = settled(now.join(ends, "key").select("key", "sig", "n", "top", "at", "component"))
-    other = now.select("key", F.col("sig").alias("other"), F.col("n").alias("o"), F.col("at").alias("o_at"), F.col("component").alias("_c"))
-    apart = _pairs(now.join(other, "key").filter((F.col("component") < F.col("_c")) & _may_link()))
-    return first.unionByName(verified(apart, sets))
+    homes = written(now.join(ends, "key").select(F.col("other").alias("lead"), "sig", "n", "component").distinct(), "homes")
+    return first.unionByName(linked_in_groups(homes, sets))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

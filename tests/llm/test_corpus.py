@@ -158,6 +158,29 @@ def test_jaccard_short_and_crowded(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted((i, len(s), low[i]) for (i, _), s in zip(rows, sets))
 
 
+def test_jaccard_groups_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "CHUNK", 400)
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 40).astype(np.uint64)
+    rows, homes = [], []
+    for sig in range(120):  # copies of one set, of which more than half are too far from it
+        s = np.unique(np.r_[base[rng.random(40) > rng.choice([0.02, 0.1, 0.2])], rng.integers(0, 2**63, rng.integers(0, 4)).astype(np.uint64)])
+        rows.append((sig, s.tobytes()))
+        homes.append((7, sig, len(s), sig if sig % 4 else 0))
+    homes += [(8, 5, 40, 5), (8, 6, 40, 6), (9, 5, 40, 5)]
+    sets = [set(np.frombuffer(m, np.uint64).tolist()) for _, m in rows]
+    want = {
+        (a, b) for b in range(120) for a in range(b)
+        if (a % 4 or b % 4) and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    }
+    made = jaccard.linked_in_groups(
+        spark.createDataFrame(homes, "lead long, sig long, n long, component long"), spark.createDataFrame(rows, "sig long, members binary"))
+    got = [(min(r), max(r)) for r in made.collect()]
+    assert set(got) == want and len(want) > 100
+    # one group of near copies meets in chunks: no join makes a row for a pair
+    assert "SortMergeJoin [key" not in made._jdf.queryExecution().toString()
+
+
 def test_jaccard_sketches():
     rng = np.random.default_rng(4)
     for n in [*range(4, 40), 150]:
