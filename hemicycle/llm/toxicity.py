@@ -54,7 +54,8 @@ class Postings:
         new = np.r_[True, (word[1:] != word[:-1]) | (block[1:] != block[:-1])] if len(word) else np.zeros(0, bool)
         self.begin = np.flatnonzero(new)  # of each run of a word in a block
         self.end = np.r_[self.begin[1:], len(word)] if len(word) else self.begin
-        self.block = block[self.begin]
+        self.size = self.end - self.begin
+        self.block = block[self.begin].astype(np.min_scalar_type(self.blocks))  # small numbers are sorted by their digits
         self.top = np.maximum.reduceat(self.weight, self.begin) if len(word) else self.weight
         self.runs = np.searchsorted(word[self.begin], np.arange(words + 1))  # of each word
         found = np.bincount(word, minlength=words)
@@ -63,12 +64,13 @@ class Postings:
         self.row[common] = np.arange(len(common))
         self.dense = self[common.tolist()].reshape(len(common), self.blocks * BLOCK)
 
-    def common(self, vectors: list[tuple[tuple[int, ...], np.ndarray]]) -> np.ndarray:
+    def common(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """What common words add to the cosines of some texts with every example."""
         x = np.zeros((len(vectors), len(self.dense)))
         for i, (at, w) in enumerate(vectors):
-            row = self.row[list(at)] if at else np.zeros(0, np.int64)
-            x[i, row[row >= 0]] = w[row >= 0]
+            row = self.row[at]
+            dense = row >= 0
+            x[i, row[dense]] = w[dense]
         return x @ self.dense
 
     def __getitem__(self, at: list[int]) -> np.ndarray:
@@ -86,7 +88,7 @@ def _ranges(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     """All numbers of some ranges, and the range of each."""
     size = end - begin
     which = np.repeat(np.arange(len(size)), size)
-    return np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + begin[which], which
+    return np.arange(len(which)) + (begin - np.cumsum(size) + size)[which], which
 
 
 @dataclass
@@ -104,34 +106,37 @@ class Model:
         self.place = {s: i for i, s in enumerate(self.weight)}
         self.idf = np.array(list(self.weight.values()))
 
-    def known(self, counts: Counter) -> tuple[tuple[int, int], ...]:
-        place = self.place
-        return tuple(sorted((place[s], c) for s, c in counts.items() if s in place))
+    def known(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """Places and counts of the words that the model has, by place."""
+        place = np.fromiter((self.place.get(s, -1) for s in counts), np.int64, len(counts))
+        order = np.argsort(place, kind="stable")[np.count_nonzero(place < 0) :]
+        return place[order], np.fromiter(counts.values(), np.int64, len(counts))[order]
 
-    def vector(self, known: tuple[tuple[int, int], ...]) -> tuple[tuple[int, ...], np.ndarray]:
+    def vector(self, known: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Stems of a text that the model knows, with unit weights."""
-        if not known:
-            return (), np.zeros(0)
-        at, counts = zip(*known, strict=True)
-        w = (1 + np.log(counts)) * self.idf[list(at)]
+        at, counts = known
+        if not len(at):
+            return at, np.zeros(0)
+        w = (1 + np.log(counts)) * self.idf[at]
         return at, w / np.linalg.norm(w)
 
-    def nearest(self, at: tuple[int, ...], w: np.ndarray, skip: int = -1, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, at: np.ndarray, w: np.ndarray, skip: int = -1, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Exactly the nearest examples with a cosine over zero, best first; ties by place."""
         post = self.postings
         if common is None:
             common = post.common([(at, w)])[0]
         common = common.reshape(post.blocks, BLOCK)
-        terms = np.array(at, np.int64)
-        rare = post.row[terms] < 0
-        terms, w = terms[rare], w[rare]
+        rare = post.row[at] < 0
+        terms, w = at[rare], w[rare]
         runs, term = _ranges(post.runs[terms], post.runs[terms + 1])
-        block = post.block[runs]
-        bound = common.max(axis=1) + np.bincount(block, w[term] * post.top[runs], post.blocks)
+        block, w = post.block[runs], w[term]
+        bound = common.max(axis=1) + np.bincount(block, w * post.top[runs], post.blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         by_block = np.argsort(block, kind="stable")  # the runs of each block
-        first = np.searchsorted(block[by_block], np.arange(post.blocks + 1))
+        runs, w = runs[by_block], w[by_block]
+        last = np.cumsum(np.bincount(block, minlength=post.blocks))
+        first = np.concatenate(([0], last[:-1]))
         ids, cos, worst = np.zeros(0, np.int64), np.zeros(0), 0.0
         begin = 0
         while begin < len(order):
@@ -141,16 +146,17 @@ class Model:
                 blocks = blocks[bound[blocks] >= worst - 1e-9]
                 if not len(blocks):
                     break
-            pick, which = _ranges(first[blocks], first[blocks + 1])
-            pick = by_block[pick]
+            pick, which = _ranges(first[blocks], last[blocks])
             chosen = runs[pick]
-            size = post.end[chosen] - post.begin[chosen]
-            entry = np.arange(size.sum()) + np.repeat(post.begin[chosen] - np.cumsum(size) + size, size)
-            slot = np.repeat(which * BLOCK, size) + post.inside[entry]
-            sums = np.bincount(slot, np.repeat(w[term[pick]], size) * post.weight[entry], len(blocks) * BLOCK) + common[blocks].ravel()
-            places = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            use = (sums > max(0.0, worst - 1e-9)) & (places != skip)
-            ids, cos = np.r_[ids, places[use]], np.r_[cos, sums[use]]
+            size, start = post.size[chosen], post.begin[chosen]
+            of = np.repeat(np.arange(len(pick)), size)  # the run of each entry
+            entry = np.arange(len(of)) + (start - np.cumsum(size) + size)[of]
+            slot = (which * BLOCK)[of] + post.inside[entry]
+            sums = np.bincount(slot, w[pick][of] * post.weight[entry], len(blocks) * BLOCK) + common[blocks].ravel()
+            use = sums > max(0.0, worst - 1e-9)
+            places = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()[use]
+            other = places != skip
+            ids, cos = np.concatenate((ids, places[other])), np.concatenate((cos, sums[use][other]))
             if len(ids) > NEIGHBOURS:
                 best = np.lexsort((ids, -cos))[:NEIGHBOURS]
                 ids, cos = ids[best], cos[best]
@@ -168,7 +174,7 @@ class Model:
         for begin in range(0, len(texts), TEXTS):
             vectors = [self.vector(self.known(stems(t))) for t in texts[begin : begin + TEXTS]]
             for (at, w), common in zip(vectors, self.postings.common(vectors), strict=True):
-                near, cos = self.nearest(at, w, common=common) if at else (np.zeros(0, np.int64), np.zeros(0))
+                near, cos = self.nearest(at, w, common=common) if len(at) else (np.zeros(0, np.int64), np.zeros(0))
                 a, b = self.curve
                 vote = np.clip(self.vote(near, cos), 1e-6, 1 - 1e-6)
                 p = 1 / (1 + np.exp(-(a * np.log(vote / (1 - vote)) + b)))
@@ -204,7 +210,7 @@ def build(examples: list[tuple[int, int, Counter]], found: dict[str, tuple[int,
     model = Model(weight, np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float), Postings(*place, len(weight), 0), share, (1.0, 0.0))
     vectors = [model.vector(model.known(r[2])) for r in rows]
     if rows:
-        word = np.concatenate([np.array(at, np.int64) for at, _ in vectors])
+        word = np.concatenate([at for at, _ in vectors])
         at = np.repeat(np.arange(len(rows)), [len(at) for at, _ in vectors])
         model.postings = Postings(word, at, np.concatenate([w for _, w in vectors]), len(weight), len(rows))
     votes = []

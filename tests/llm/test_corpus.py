@@ -222,6 +222,28 @@ def test_toxicity(spark, empty):
     assert toxicity.score_toxicity(empty.select("doc_id", "text"), labels).collect() == []
 
 
+def test_toxicity_vectors_are_arrays():
+    """Words of a text by place, without a tuple for each; the nearest are those of brute force."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("abcdefghijklmnop") * rng.randint(1, 9) for _ in range(rng.randint(1, 40))) for _ in range(150)]
+    examples = [(i, i % 2, toxicity.stems(t)) for i, t in enumerate([*texts, texts[0], texts[0]])]
+    found = {}
+    for _, label, words in examples:
+        for w in words:
+            k, h = found.get(w, (0, 0))
+            found[w] = k + 1, h + label
+    model = toxicity.build(examples, found, {0: 76, 1: 76})
+    for text in [*texts[:30], "zz a bb zz a", "zz"]:
+        words = toxicity.stems(text)
+        place, count = model.known(words)
+        assert isinstance(place, np.ndarray) and list(zip(place.tolist(), count.tolist())) == sorted((model.place[s], c) for s, c in words.items() if s in model.place)
+        at, w = model.vector((place, count))
+        ids, cos = model.nearest(at, w)
+        brute = w @ model.postings[list(at)].reshape(len(at), -1) if len(at) else np.zeros(1)
+        best = np.sort(brute[brute > 0])[::-1][: toxicity.NEIGHBOURS]
+        assert np.allclose(cos, best) and np.allclose(brute[ids], cos)
+
+
 def test_toxicity_terms(spark):
     rng = random.Random(8)
     # far more than 128 words speak for the label, and clean words share their first letters
