@@ -7,12 +7,20 @@ the type of a column. Every ``read_*`` is a thin reader around a
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
-
+import hashlib
+from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
+from functools import reduce
+from urllib.parse import unquote
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from hemicycle.functions.ordered import row_index
 from hemicycle.functions.text import normalize_cut
+from hemicycle.session import cut_lineage
 
 # fixed values: accepted headers of each canonical column, first match wins
 CUT_HEADERS = ["CUT", "cod_cut", "COD_CUT", "CODIGO_COMUNA", "cod_comuna", "COD_COMUNA", "Cod_Comuna", "codigo_cut"]
@@ -31,6 +39,14 @@ RESULT_HEADERS = {
                         "circunscripcion", "circunscripción"],
 }
 
+#: bytes of the largest file that is hashed in one cell; longer ones are streamed
+CELL = 1 << 26
+_MARK = b"\xef\xbb\xbf"
+_SUFFIX = r"(\.[^.]*)$"
+# fixed values: names that Hadoop's codecs unpack, and the option to leave one as it is, whose name is shaded in Spark's jars
+PACKED = [".bz2", ".deflate", ".gz", ".lz4", ".passthrough", ".snappy", ".zst"]
+_UNPACKED = ["io.compress.passthrough.extension", "org.apache.hadoop.shaded.io.compress.passthrough.extension"]
+
 
 def read_text_table(spark: SparkSession, path: str | list[str], sep: str = ",") -> DataFrame:
     """Delimited file with a header, all columns as strings."""
@@ -218,12 +234,95 @@ def list_layers(files: DataFrame, layers: DataFrame) -> DataFrame:
         "layer", F.coalesce("files", F.lit(0)).alias("files"), F.col("files").isNotNull().alias("available"))
 
 
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``file_name, time, sha256`` of files whose lines, each with a line end, come in order.
+
+    The reader drops a byte order mark and does not say whether the last line
+    has an end; the length of the file tells both.
+    """
+    now, length, time, seen, held = None, 0, 0, 0, b""
+    plain, marked = hashlib.sha256(), hashlib.sha256(_MARK)
+
+    def ended() -> pa.RecordBatch:
+        missing = length - seen
+        if missing not in (-1, 0, 2, 3):
+            raise ValueError(f"{now} has {length} bytes, {seen} were read")
+        digest = plain if missing <= 0 else marked
+        if missing in (0, 3):
+            digest.update(held)
+        name = unquote(now).rsplit("/", 1)[-1]
+        return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([time], pa.int64()), pa.array([digest.hexdigest()])], names=["file_name", "time", "sha256"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        paths, lines = pc.run_end_encode(batch.column(0)), batch.column(3)
+        offsets = np.frombuffer(lines.buffers()[1], np.int32)[lines.offset : lines.offset + len(lines) + 1]
+        data, begin = memoryview(lines.buffers()[2]), 0
+        for path, end in zip(paths.values.to_pylist(), paths.run_ends.to_pylist(), strict=True):
+            if path != now:
+                if now is not None:
+                    yield ended()
+                now, length, time, seen, held = path, batch.column(1)[begin].as_py(), batch.column(2)[begin].as_py(), 0, b""
+                plain, marked = hashlib.sha256(), hashlib.sha256(_MARK)
+            part = data[offsets[begin] : offsets[end]]
+            for digest in (plain, marked):
+                digest.update(held)
+                digest.update(part[:-1])
+            seen, held, begin = seen + len(part), bytes(part[-1:]), end
+    if now is not None:
+        yield ended()
+
+
+@contextmanager
+def _one_file_a_task(spark: SparkSession) -> Iterator[None]:
+    """Files read meanwhile are neither cut nor put together."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in before:
+            spark.conf.set(k, str(1 << 48))
+        yield
+    finally:
+        for k, value in before.items():
+            spark.conf.set(k, value)
+
+
+def _large_digests(spark: SparkSession, base: str, pattern: str, suffixes: Sequence[str]) -> DataFrame:
+    """``file_name, time, sha256`` of files of more than ``CELL`` bytes; a task streams a file.
+
+    A digest needs its bytes in order, so a file is not shared by tasks. Names
+    that Spark would unpack are read as they are.
+    """
+    name, parts = F.col("_metadata.file_name"), []
+    known = [s for s in PACKED if s in suffixes]
+    for suffix in [None, *known]:
+        reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("lineSep", "\n")
+        own = ~F.coalesce(F.regexp_extract(name, _SUFFIX, 1).isin(known), F.lit(False))
+        if suffix:
+            reader = reader.option("io.compression.codecs", "org.apache.hadoop.io.compress.PassthroughCodec")
+            for key in _UNPACKED:
+                reader = reader.option(key, suffix)
+            own = F.endswith(name, F.lit(suffix))
+        rows = reader.text(base).where(own & (F.col("_metadata.file_size") > CELL))
+        parts.append(rows.select(
+            "_metadata.file_path", "_metadata.file_size", F.unix_micros("_metadata.file_modification_time").alias("time"),
+            F.concat(F.col("value").cast("binary"), F.lit(b"\n")).alias("line"),
+        ).mapInArrow(_digests, "file_name string, time long, sha256 string"))
+    with _one_file_a_task(spark):
+        return cut_lineage(reduce(DataFrame.unionByName, parts))
+
+
 def file_provenance(spark: SparkSession, base: str, election: str, authority: str, parser: str, pattern: str = "*") -> DataFrame:
-    """Content hash, name and UTC time of every source file."""
+    """Content hash, name and UTC time of every source file, of any length."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(base)
-    return files.select(
-        F.sha2("content", 256).alias("sha256"), F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"),
-        F.date_format(F.to_utc_timestamp("modificationTime", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("modified"),
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    large = [r[0] for r in files.where(F.col("length") > CELL).select(F.regexp_extract(name, _SUFFIX, 1)).distinct().collect()]
+    found = files.where(F.col("length") <= CELL).select(name.alias("file_name"), F.unix_micros("modificationTime").alias("time"), F.sha2("content", 256).alias("sha256"))
+    if large:
+        found = found.unionByName(_large_digests(spark, base, pattern, large))
+    return found.select(
+        "sha256", "file_name",
+        F.date_format(F.to_utc_timestamp(F.timestamp_micros("time"), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("modified"),
         F.lit(parser).alias("parser_version"), F.lit(authority).alias("authority"), F.lit(election).alias("election_id"),
     )
 

@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 
 from hemicycle.operators import candidates, population, quality
@@ -56,6 +57,32 @@ def test_provenance(spark, tmp_path):
     assert tables.combined_hash(rows).first()[0] == hashlib.sha256("|".join(digests).encode()).hexdigest()
 
 
+def test_provenance_of_long_files(spark, tmp_path, monkeypatch):
+    """Files beyond a cell are streamed, whatever their bytes, ends and names are."""
+    import hashlib
+
+    monkeypatch.setattr(tables, "CELL", 1000, raising=False)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")  # as 2 GB are for real files
+    rng = np.random.default_rng(5)
+    noise = rng.integers(0, 256, 200_000, np.uint8).tobytes()
+    mark = b"\xef\xbb\xbf"
+    files = {
+        "a.parquet": noise, "b.parquet": noise + b"\n", "sub/c d+%20.parquet": mark + noise, "sub/d.gz": mark + noise + b"\n", "e.bz2": noise, "f.snappy": noise,
+        "nodot": noise, "g.zst": b"\n" * 5000, "h.deflate": b"x" * 5000, "i.lz4": b"\r\n" * 3000, "small.gz": b"1", "sub/a.parquet": noise,
+    }
+    (tmp_path / "sub").mkdir()
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    try:
+        rows = tables.file_provenance(spark, str(tmp_path), "e", "x", "1")
+        got = sorted((r.file_name, r.sha256) for r in rows.collect())
+        assert rows.select("modified").where("modified > '2020'").count() == len(files)
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert got == sorted((name.split("/")[-1], hashlib.sha256(content).hexdigest()) for name, content in files.items())
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == "4194304b"
+
+
 def test_latest_runs_and_statuses(spark, tmp_path):
     for scenario, run, value in (("s1", "run_1_aaaa", 1), ("s1", "run_2_bbbb", 2), ("s2", "run_1_cccc", 3), ("s2", "", 4)):
         folder = tmp_path / scenario / run
