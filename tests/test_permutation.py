@@ -82,6 +82,31 @@ def test_batches_hold_few_draws(spark, graph, tables, monkeypatch):
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
 
 
+def test_digests():
+    """Texts of any bytes and of one block or more have their md5 digests, all tails at once."""
+    tails = [b"", *(f":{i}".encode() for i in (0, 7, 12345, *range(99_990, 140_000))), b":" + b"x" * 52, b":" + b"x" * 80, ":ñ".encode()]
+    made = permutation._Digests(tails)
+    for start in (b"", b"1", b"region:4:999", "città:".encode(), b"y" * 51):
+        assert [bytes(d) for d in made.of(start)] == [hashlib.md5(start + t).digest() for t in tails]
+
+
+def test_rows_of_a_draw(spark, graph, tables, monkeypatch):
+    """Blocks and chunks widen with the units, so the packed rows of a draw stay few."""
+    whole = spatial.moran_global(*tables, permutations=19).first()
+    for name, value in {"BLOCK": 64, "CHUNK": 1, "RUN": 8, "PARTS": 4, "WIDEST": 1024}.items():
+        monkeypatch.setattr(permutation, name, value, raising=False)
+    made, step = [], permutation._values_of_draws
+
+    def watched(chunks, values, *rest):
+        met, dealt = step(chunks, values, *rest)
+        made.append(dealt.count() / dealt.select("k").distinct().count())
+        return met, dealt
+
+    monkeypatch.setattr(permutation, "_values_of_draws", watched)
+    assert spatial.moran_global(*tables, permutations=19).first() == whole
+    assert max(made) <= 4 * 8  # 60 units in 4 chunks of 16 and 8 runs
+
+
 def test_local(graph, tables):
     y, _, near = graph
     ids = sorted(y)
