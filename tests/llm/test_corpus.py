@@ -403,6 +403,42 @@ def test_scores(docs, texts, empty):
     assert maxent.score_texts(empty).collect() == []
 
 
+def test_gain_keeps_with_tasks(spark, texts):
+    """What few tasks learnt is not divided by all tasks' tokens; the head is whole words of a count."""
+    rows = [(i, t) for i, t in enumerate(texts)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    gains = []
+    for tasks in (1, 16):
+        found = maxent.score_texts(docs.repartition(tasks)).filter("NOT held_out")
+        gains.append(found.agg(F.sum(F.col("score") - F.col("base_score"))).first()[0])
+    assert gains[1] > 0.3 * gains[0] > 0
+    counts = spark.createDataFrame([(w, 5 if w < 1500 else 2 if w < 2000 else 1) for w in range(9000)], "word long, c long").repartition(7)
+    head, least = maxent.HEAD, maxent.CLASSES * maxent.PER_CLASS
+    try:
+        sizes = {}
+        for maxent.HEAD in (1, 1600, 2000, 1 << 18):
+            model = maxent.start(counts)
+            sizes[maxent.HEAD] = len(model.words)
+            assert (model.place >= 0).sum() == least and sorted(model.counts.tolist(), reverse=True)[:least] == [5] * least
+    finally:
+        maxent.HEAD = head
+    assert sizes == {1: least, 1600: 1500, 2000: 2000, 1 << 18: 9000}
+
+
+def test_contexts_are_words(docs, monkeypatch):
+    """Words out of the head are not one context."""
+    model, seen, whole = maxent.start(maxent.word_counts(docs)), [], maxent.Model.contexts
+
+    def watched(self, words, ends):
+        seen.append(len(set(words.tolist())))
+        return whole(self, words, ends)
+
+    monkeypatch.setattr(maxent.Model, "contexts", watched)
+    words = np.arange(1, 400, dtype=np.uint64)
+    model.logs(words, np.array([len(words)]), model.weights)
+    assert seen == [399] and len(set(whole(model, words, np.array([len(words)]))[0].tolist())) > 300
+
+
 def test_probabilities(docs):
     """Class and word probabilities of the model sum to one."""
     model = maxent.train(docs, maxent.start(maxent.word_counts(docs)))
